@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -90,12 +91,12 @@ class LinearScorer:
     def _margin(self, cleaned: str) -> float:
         words = [w for w in cleaned.split(" ") if len(w) >= 2]
         low, high = self.ngram_range
-        counts: dict[str, int] = {}
-        for n in range(low, high + 1):
-            for i in range(len(words) - n + 1):
-                gram = " ".join(words[i:i + n])
-                if gram in self._terms:
-                    counts[gram] = counts.get(gram, 0) + 1
+        grams, found = words, list(words) if low <= 1 else []
+        for n in range(2, high + 1):
+            grams = [f"{g} {w}" for g, w in zip(grams, words[n - 1:])]
+            if n >= low:
+                found += grams
+        counts = Counter(filter(self._terms.__contains__, found))
         if not counts:
             return self.intercept
         known = np.array([self._terms[g] for g in counts])

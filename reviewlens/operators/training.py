@@ -25,6 +25,10 @@ from reviewlens.operators.vocabulary import WordIndex, fit_vocabulary, fit_word_
 from reviewlens.session import byte_size, materialise
 
 
+# Least feature values per model weight in one training task.
+VALUES_PER_WEIGHT = 16
+
+
 @dataclass(frozen=True)
 class TrainedBaseline:
     model: LinearModel
@@ -40,10 +44,14 @@ def train_logreg(train: DataFrame, key: str, text: str, label: str, config: JobC
     start = time.perf_counter()
     vocab = fit_vocabulary(train, [key], text, config.max_features, config.ngram_range, label)
     vectors = vector_table(train, [key], text, vocab, [label])
+    # Every task of every iteration ships one dense gradient, so a task should hold many
+    # more values than the gradient has. Only small data is merged by this.
+    n_values = vocab.table.agg(F.sum("df")).first()[0] or 0
+    vectors = vectors.coalesce(max(1, n_values // (VALUES_PER_WEIGHT * max(vocab.size, 1))))
     classifier = LogisticRegression(
         labelCol=label, featuresCol="features", maxIter=config.max_iter,
         regParam=1.0 / (config.reg_c * vocab.n_docs), elasticNetParam=0.0,
-        standardization=False, fitIntercept=True, aggregationDepth=3,
+        standardization=False, fitIntercept=True, aggregationDepth=2,
     ).fit(vectors)
     spark = train.sparkSession
     # One number per vocabulary entry: the fitted weights are as bounded as the vocabulary.
@@ -152,8 +160,11 @@ def train_embedding(
     start = time.perf_counter()
     index = fit_word_index(train.select(key, text), key, text, config.num_words)
     words = materialise(last_words(train, key, text, label, index, config.max_len))
+    # As many parallel learners as shuffle parts; the default of one would pull all texts
+    # into a single task. Their vectors are averaged, num_words rows each.
     embedding = Word2Vec(
         vectorSize=config.embedding_dim, minCount=0, maxIter=1, seed=config.seed,
+        numPartitions=int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")),
         inputCol="words", outputCol="features",
     ).fit(words)
     train_set = materialise(embedding.transform(words).select(key, label, "features"))

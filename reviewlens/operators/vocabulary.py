@@ -48,10 +48,11 @@ def term_counts(
     return (
         spread(docs.select(*keys, *carry, text), keys)
         .withColumn("_clean", clean(F.col(text)))
+        # Nothing but keys and flags may pass the explode: a text would be copied per word.
+        .withColumn("empty", F.col("_clean") == "")
         .withColumn("_tokens", word_tokens(F.col("_clean")))
         .select(
-            *keys, *carry,
-            (F.col("_clean") == "").alias("empty"),
+            *keys, *carry, "empty",
             F.explode_outer(ngram_terms(F.col("_tokens"), ngram_range)).alias("term"),
         )
         .groupBy(*keys, *carry, "empty", "term")
@@ -116,11 +117,16 @@ class WordIndex:
 
 def fit_word_index(docs: DataFrame, key: str, text: str, num_words: int) -> WordIndex:
     """The num_words - 1 most frequent words; equal counts go by first appearance."""
-    words = (
-        docs.select(key, F.posexplode(all_tokens(clean(F.col(text)))).alias("pos", "word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("cnt"), F.min(F.struct(key, "pos")).alias("_first"))
-        .select("word", "cnt", F.col(f"_first.{key}").alias("_doc"), F.col("_first.pos").alias("_pos"))
+    # Two steps of plain numbers: a smallest (document, position) pair would be a struct,
+    # and a struct in the buffer turns hash aggregation into sorting every word.
+    per_doc = (
+        spread(docs.select(key, text), [key])
+        .select(key, F.posexplode(all_tokens(clean(F.col(text)))).alias("pos", "word"))
+        .groupBy(key, "word")
+        .agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    )
+    words = per_doc.groupBy("word").agg(
+        F.sum("n").alias("cnt"), F.min(key).alias("_doc"), F.min_by("pos", key).alias("_pos")
     )
     top = top_by_count(words, "cnt", ["_doc", "_pos"], num_words - 1)
     rank = Window.orderBy(F.col("cnt").desc(), "_doc", "_pos")

@@ -14,6 +14,7 @@ from reviewlens.operators import tfidf, wordpiece as W
 from reviewlens.operators.vocabulary import Vocabulary, fit_vocabulary, fit_word_index, term_counts
 from reviewlens.plans import oracle as O
 from reviewlens.plans.text_queries import _train_val
+from reviewlens.session import widen
 from reviewlens.sources import reviews as R
 
 CONFIG = JobConfig()
@@ -105,7 +106,7 @@ def padded_sequences(spark: SparkSession, sf: str) -> DataFrame:
 def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = R.read_documents(spark, sf)
     index = fit_word_index(docs, "doc_id", "text", CONFIG.num_words)
-    encoded = W.encode(docs, KEY, "text", W.piece_vocabulary(index), CONFIG.max_length)
+    encoded = W.encode(widen(docs, KEY), KEY, "text", W.piece_vocabulary(index), CONFIG.max_length)
     return encoded.select(
         "doc_id",
         _joined("input_ids").alias("input_ids"),

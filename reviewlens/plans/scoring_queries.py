@@ -16,6 +16,7 @@ from reviewlens.operators.tfidf import LinearModel
 from reviewlens.operators.vocabulary import fit_word_index
 from reviewlens.plans import oracle as O
 from reviewlens.plans.report_queries import saved_models
+from reviewlens.session import widen
 from reviewlens.sources import models as M
 from reviewlens.sources import reviews as R
 
@@ -110,7 +111,7 @@ class LetterShare:
 
 
 def scorer_map(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scorers.score_texts(R.read_documents(spark, sf), KEY, "text", LetterShare())
+    scored = scorers.score_texts(widen(R.read_documents(spark, sf), KEY), KEY, "text", LetterShare())
     return scored.select(
         "doc_id", "model_name", F.round("p_pos", 6).alias("p_pos"), (F.col("latency_ms") >= 0).alias("timed")
     )
@@ -128,7 +129,7 @@ class CountingSession:
 def onnx_score(spark: SparkSession, sf: str) -> DataFrame:
     docs = R.read_documents(spark, sf)
     pieces = W.piece_vocabulary(fit_word_index(docs, "doc_id", "text", CONFIG.num_words))
-    scored = scorers.score_logits(docs, KEY, "text", pieces, CONFIG.max_length, CountingSession)
+    scored = scorers.score_logits(widen(docs, KEY), KEY, "text", pieces, CONFIG.max_length, CountingSession)
     return scored.select(
         "doc_id",
         F.round("logit_neg", 6).alias("logit_neg"),

@@ -11,7 +11,7 @@ from reviewlens.functions.decision import int_to_label, label_to_int, predicted_
 from reviewlens.functions.tokens import word_tokens
 from reviewlens.operators import splits
 from reviewlens.plans import oracle as O
-from reviewlens.session import scratch_path
+from reviewlens.session import scratch_path, widen
 from reviewlens.sources import reviews as R
 
 CONFIG = JobConfig()
@@ -59,7 +59,8 @@ def clean_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accent_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return R.read_documents(spark, sf).select("doc_id", X.strip_accents("text").alias("plain"))
+    docs = widen(R.read_documents(spark, sf), ["doc_id"])
+    return docs.select("doc_id", X.strip_accents("text").alias("plain"))
 
 
 def labelled_reviews(spark: SparkSession, sf: str) -> DataFrame:

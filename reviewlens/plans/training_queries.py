@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reviewlens import schemas
 from reviewlens.config import JobConfig
 from reviewlens.operators import report, tfidf, training as T
-from reviewlens.operators.evaluate import log_loss
 from reviewlens.operators.scorers import LinearScorer
 from reviewlens.plans import oracle as O
 from reviewlens.plans.text_queries import _train_val, three_parts

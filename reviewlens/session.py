@@ -38,9 +38,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so lost executors cost no recompute."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table in the shared folder, so lost executors cost no recompute.
+
+    A written table beats a checkpoint of rows here: later reads take only the columns they
+    need, and the planner knows its size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,6 +57,16 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def widen(scan: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread a plain file scan that has fewer parts than there are cores.
+
+    For work in Python on inputs of a few files; a scan with enough parts stays as it is.
+    Only for scans: counting the parts of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def byte_size(df: DataFrame) -> int:
     """Payload bytes of an already materialised table of flat columns."""
     widths = [
@@ -72,7 +87,7 @@ def join_by_size(
     how: str,
     right_bytes: int,
     spread_by: list[str],
-    limit: int = BROADCAST_LIMIT_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Join with a small side whose measured size decides the strategy.
 
@@ -83,7 +98,7 @@ def join_by_size(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how!r} cannot repeat its right side")
-    if right_bytes <= limit:
+    if right_bytes <= (BROADCAST_LIMIT_BYTES if limit is None else limit):
         return left.join(F.broadcast(right), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
