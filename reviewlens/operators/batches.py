@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewlens.functions.decision import prediction
 from reviewlens.operators.tfidf import LinearModel, score
 from reviewlens.operators.validate import drop_oversized, validate_batches
+from reviewlens.session import materialise
 
 
 def explode_requests(requests: DataFrame, batch: str, texts: str) -> DataFrame:
@@ -26,7 +27,7 @@ def batch_predict(
     enforce_item_limit: bool = False,
 ) -> DataFrame:
     """(batch, status, count, predictions) for every batch; rejected ones have null predictions."""
-    statuses = validate_batches(rows, batch, text, max_texts, max_chars, enforce_item_limit)
+    statuses = materialise(validate_batches(rows, batch, text, max_texts, max_chars, enforce_item_limit))
     kept = drop_oversized(rows, batch, position, statuses)
     scored = score(kept, [batch, position], text, model)
     regrouped = (

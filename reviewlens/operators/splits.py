@@ -25,11 +25,8 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
 
 
-def split_by_rank(docs: DataFrame, key: str, label: str, seed: int, parts: list[Part], rest: str) -> DataFrame:
-    """Add ``split``: the first part whose upper rank, a function of the class size, holds the row.
-
-    ``key`` must be unique. Classes keep their proportions in every part.
-    """
+def find_cuts(docs: DataFrame, key: str, label: str, seed: int, parts: list[Part]) -> DataFrame:
+    """One row per class: the hash and key at the upper rank of every part."""
     keyed = docs.select(key, label).withColumn("_h", hash_order(key, seed))
     binned = keyed.withColumn("_bin", F.substring("_h", 1, BIN_DIGITS))
     counts = materialise(binned.groupBy(label, "_bin").agg(F.count("*").alias("_n")))
@@ -53,7 +50,7 @@ def split_by_rank(docs: DataFrame, key: str, label: str, seed: int, parts: list[
     in_bin = Window.partitionBy(label, "_i").orderBy("_h", key)
     candidates = join_by_size(binned, cut_bins, [label, "_bin"], "inner", byte_size(cut_bins), [key])
     at_cut = candidates.withColumn("_r", F.row_number().over(in_bin)).filter(F.col("_r") == F.col("_m"))
-    cuts = materialise(
+    return materialise(
         at_cut.groupBy(label).agg(*[
             F.max(F.when(F.col("_i") == i, F.struct("_h", key))).alias(f"_cut{i}") for i in range(len(parts))
         ]).select(label, *[
@@ -61,6 +58,9 @@ def split_by_rank(docs: DataFrame, key: str, label: str, seed: int, parts: list[
             for c in (F.col(f"_cut{i}._h").alias(f"_h{i}"), F.col(f"_cut{i}.{key}").alias(f"_k{i}"))
         ])
     )
+
+
+def split_at_cuts(docs: DataFrame, cuts: DataFrame, key: str, label: str, seed: int, parts: list[Part], rest: str) -> DataFrame:
     tagged = join_by_size(
         docs.withColumn("_h", hash_order(key, seed)), cuts, [label], "left", byte_size(cuts), [key]
     )
@@ -71,13 +71,22 @@ def split_by_rank(docs: DataFrame, key: str, label: str, seed: int, parts: list[
     return tagged.withColumn("split", split).select(*docs.columns, "split")
 
 
+def split_by_rank(docs: DataFrame, key: str, label: str, seed: int, parts: list[Part], rest: str) -> DataFrame:
+    """Add ``split``: the first part whose upper rank, a function of the class size, holds the row.
+
+    ``key`` must be unique. Classes keep their proportions in every part.
+    """
+    cuts = find_cuts(docs, key, label, seed, parts)
+    return split_at_cuts(docs, cuts, key, label, seed, parts, rest)
+
+
+def validation_part(val_ratio: float) -> list[Part]:
+    return [("val", lambda n: F.round(n.cast("double") * F.lit(val_ratio)))]
+
+
 def train_val_split(docs: DataFrame, key: str, label: str, val_ratio: float, seed: int) -> DataFrame:
     """Carve a validation part of exactly round(n * ratio) rows out of each class."""
-    return split_by_rank(
-        docs, key, label, seed,
-        [("val", lambda n: F.round(n.cast("double") * F.lit(val_ratio)))],
-        rest="train",
-    )
+    return split_by_rank(docs, key, label, seed, validation_part(val_ratio), rest="train")
 
 
 def three_way_split(
@@ -98,8 +107,10 @@ def three_way_split(
 
 def predefined_split(docs: DataFrame, is_test: Column, key: str, label: str, val_ratio: float, seed: int) -> DataFrame:
     """Keep a test part given by the data untouched and carve validation out of the rest."""
-    test = docs.filter(is_test).withColumn("split", F.lit("test"))
-    return train_val_split(docs.filter(~is_test), key, label, val_ratio, seed).unionByName(test)
+    parts = validation_part(val_ratio)
+    cuts = find_cuts(docs.filter(~is_test), key, label, seed, parts)
+    tagged = split_at_cuts(docs, cuts, key, label, seed, parts, rest="train")
+    return tagged.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.col("split")))
 
 
 def split_summary(docs: DataFrame, label: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.decision import sigmoid
-from reviewlens.operators.vocabulary import Vocabulary, fit_vocabulary, term_counts
+from reviewlens.operators.vocabulary import Vocabulary, fit_vocabularies, term_counts
 from reviewlens.session import byte_size, join_by_size, materialise, scratch_path
 
 
@@ -95,6 +96,30 @@ class LinearModel:
     intercept: float
 
 
+def class_log_odds_models(
+    docs: DataFrame,
+    keys: list[str],
+    text: str,
+    label: str,
+    limits: dict[str, tuple[int, tuple[int, int]]],
+) -> list[LinearModel]:
+    """Models whose coefficients come straight from class document frequencies.
+
+    ``limits`` gives (max_features, ngram_range) per model key; one pass fits them all.
+    """
+    fitted = fit_vocabularies(docs, keys, text, list(limits.values()), label)
+    models = []
+    for key, vocab in zip(limits, fitted):
+        n_pos, n_neg = vocab.n_pos, vocab.n_docs - vocab.n_pos
+        coef = (
+            F.log((F.col("df_pos") + F.lit(1.0)) / F.lit(n_pos + 2.0))
+            - F.log((F.col("df") - F.col("df_pos") + F.lit(1.0)) / F.lit(n_neg + 2.0))
+        )
+        table = vocab.table.withColumn("coef", coef)
+        models.append(LinearModel(key, replace(vocab, table=table, size_bytes=vocab.size_bytes + 8 * vocab.size), 0.0))
+    return models
+
+
 def class_log_odds_model(
     docs: DataFrame,
     keys: list[str],
@@ -104,23 +129,12 @@ def class_log_odds_model(
     ngram_range: tuple[int, int],
     key: str = "log_odds",
 ) -> LinearModel:
-    """Coefficients straight from class document frequencies, in closed form."""
-    vocab = fit_vocabulary(docs, keys, text, max_features, ngram_range, label)
-    n_pos, n_neg = vocab.n_pos, vocab.n_docs - vocab.n_pos
-    coef = (
-        F.log((F.col("df_pos") + F.lit(1.0)) / F.lit(n_pos + 2.0))
-        - F.log((F.col("df") - F.col("df_pos") + F.lit(1.0)) / F.lit(n_neg + 2.0))
-    )
-    table = vocab.table.withColumn("coef", coef)
-    return LinearModel(key, replace(vocab, table=table, size_bytes=vocab.size_bytes + 8 * vocab.size), 0.0)
+    return class_log_odds_models(docs, keys, text, label, {key: (max_features, ngram_range)})[0]
 
 
-def class_prior_model(docs: DataFrame, label: str, key: str = "class_prior") -> LinearModel:
+def class_prior_model(n_docs: int, n_pos: int, key: str = "class_prior") -> LinearModel:
     """Scores every text with the smoothed share of positive documents."""
-    import math
-
-    row = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("pos")).first()
-    return LinearModel(key, None, math.log((row["pos"] + 1) / (row["n"] - row["pos"] + 1)))
+    return LinearModel(key, None, math.log((n_pos + 1) / (n_docs - n_pos + 1)))
 
 
 def score_models(

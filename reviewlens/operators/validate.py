@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.session import byte_size, join_by_size, materialise
+from reviewlens.session import byte_size, join_by_size
 
 
 def text_reason(text: Column, low: int, high: int) -> Column:
@@ -72,7 +72,7 @@ def drop_oversized(rows: DataFrame, batch: str, position: str, statuses: DataFra
 
     Rejected batches are the small side here, and the join is size-checked and salted, so a
     batch of any size is discarded without gathering it. What is left has a known bound per
-    batch and may be grouped.
+    batch and may be grouped. ``statuses`` should be a materialised table.
     """
-    rejected = materialise(statuses.filter(F.col("status") != 200).select(batch))
+    rejected = statuses.filter(F.col("status") != 200).select(batch)
     return join_by_size(rows, rejected, [batch], "left_anti", byte_size(rejected), [batch, position])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.text import clean
 from reviewlens.functions.tokens import all_tokens, ngram_terms, word_tokens
-from reviewlens.session import byte_size, materialise, spread
+from reviewlens.session import byte_size, materialise, measure, spread
 
 
 def top_by_count(table: DataFrame, count: str, ties: list[str], k: int) -> DataFrame:
@@ -18,9 +18,9 @@ def top_by_count(table: DataFrame, count: str, ties: list[str], k: int) -> DataF
     A plain ORDER BY ... LIMIT k makes every task send k rows to one task, which for a
     vocabulary of tens of thousands and thousands of tasks is too much. Here the counts'
     histogram gives the count at the cut; rows above it are a filter, and only rows exactly
-    at the cut, which at size are few, are ordered.
+    at the cut, which at size are few, are ordered. ``table`` is read three times, so it
+    should be a materialised one.
     """
-    table = materialise(table)
     down = Window.orderBy(F.col(count).desc()).rowsBetween(Window.unboundedPreceding, 0)
     # Distinct counts grow with the square root of the corpus at most, so one task is enough.
     cut = (
@@ -72,23 +72,24 @@ class Vocabulary:
     ngram_range: tuple[int, int]
 
 
-def fit_vocabulary(
+def fit_vocabularies(
     docs: DataFrame,
     keys: list[str],
     text: str,
-    max_features: int,
-    ngram_range: tuple[int, int],
+    limits: list[tuple[int, tuple[int, int]]],
     label: str | None = None,
-) -> Vocabulary:
-    """Terms with the largest total frequency, their document frequency and smooth idf.
+) -> list[Vocabulary]:
+    """One vocabulary per (max_features, ngram_range), all from one pass over the texts.
 
-    With ``label`` the table also has ``df_pos``, the positive documents holding the term.
+    Each holds the terms with the largest total frequency, their document frequency and
+    smooth idf, and with ``label`` also ``df_pos``, the positive documents with the term.
     """
     carry = [label] if label else []
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     totals = docs.agg(F.count("*").alias("n"), F.coalesce(positive, F.lit(0)).alias("pos")).first()
-    per_term = (
-        term_counts(docs, keys, text, ngram_range, carry)
+    widest = (min(r[0] for _, r in limits), max(r[1] for _, r in limits))
+    per_term = materialise(
+        term_counts(docs, keys, text, widest, carry)
         .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(
@@ -97,13 +98,29 @@ def fit_vocabulary(
             *([F.sum(F.col(label).cast("long")).alias("df_pos")] if label else []),
         )
     )
-    top = top_by_count(per_term, "ctf", ["term"], max_features)
-    table = materialise(
+    idf = F.log((F.lit(1.0) + F.lit(totals["n"])) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    fitted = []
+    for max_features, ngram_range in limits:
+        n_words = F.size(F.split("term", " "))
+        terms = per_term if ngram_range == widest else per_term.filter(n_words.between(*ngram_range))
+        top = top_by_count(terms, "ctf", ["term"], max_features)
         # At most max_features rows are left, so one window over all of them is fine.
-        top.withColumn("term_id", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-        .withColumn("idf", F.log((F.lit(1.0) + F.lit(totals["n"])) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    )
-    return Vocabulary(table, byte_size(table), table.count(), totals["n"], totals["pos"], ngram_range)
+        term_id = (F.row_number().over(Window.orderBy("term")) - 1).cast("int")
+        table = materialise(top.withColumn("term_id", term_id).withColumn("idf", idf))
+        rows, size_bytes = measure(table)
+        fitted.append(Vocabulary(table, size_bytes, rows, totals["n"], totals["pos"], ngram_range))
+    return fitted
+
+
+def fit_vocabulary(
+    docs: DataFrame,
+    keys: list[str],
+    text: str,
+    max_features: int,
+    ngram_range: tuple[int, int],
+    label: str | None = None,
+) -> Vocabulary:
+    return fit_vocabularies(docs, keys, text, [(max_features, ngram_range)], label)[0]
 
 
 @dataclass(frozen=True)
@@ -128,7 +145,7 @@ def fit_word_index(docs: DataFrame, key: str, text: str, num_words: int) -> Word
     words = per_doc.groupBy("word").agg(
         F.sum("n").alias("cnt"), F.min(key).alias("_doc"), F.min_by("pos", key).alias("_pos")
     )
-    top = top_by_count(words, "cnt", ["_doc", "_pos"], num_words - 1)
+    top = top_by_count(materialise(words), "cnt", ["_doc", "_pos"], num_words - 1)
     rank = Window.orderBy(F.col("cnt").desc(), "_doc", "_pos")
     table = materialise(top.withColumn("idx", F.row_number().over(rank)).select("word", "idx", "cnt"))
     return WordIndex(table, byte_size(table), num_words)

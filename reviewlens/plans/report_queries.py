@@ -57,7 +57,9 @@ def _part_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of two tiers fitted on train: one with test figures, one with validation only."""
     parts = materialise(three_parts(spark, sf).select("doc_id", "text", "label", "split"))
     train = parts.filter("split = 'train'")
-    models = [_model(train, "baseline", (1, 2)), _model(train, "lstm", (1, 1))]
+    models = tfidf.class_log_odds_models(train, KEY, "text", "label", {
+        "baseline": (CONFIG.max_features, CONFIG.ngram_range), "lstm": (CONFIG.max_features, (1, 1)),
+    })
     scores = tfidf.score_models(parts, KEY, "text", models, ["label", "split"])
     tiers = F.explode(F.array(*[
         F.struct(F.lit(m.key).alias("model_key"), F.col(f"p_{m.key}").alias("p_pos")) for m in models

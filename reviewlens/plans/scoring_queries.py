@@ -25,8 +25,8 @@ KEY = ["doc_id"]
 MODELS = O.MODEL_NAMES
 
 
-def log_odds_model(docs: DataFrame, key: str = "log_odds", ngram_range: tuple[int, int] = CONFIG.ngram_range) -> LinearModel:
-    return tfidf.class_log_odds_model(docs, KEY, "text", "label", CONFIG.max_features, ngram_range, key)
+def log_odds_model(docs: DataFrame) -> LinearModel:
+    return tfidf.class_log_odds_model(docs, KEY, "text", "label", CONFIG.max_features, CONFIG.ngram_range)
 
 
 def scored_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,11 +36,12 @@ def scored_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = R.labelled_reviews(spark, sf)
-    models = [
-        log_odds_model(docs, "tfidf_bigram"),
-        log_odds_model(docs, "tfidf_unigram", (1, 1)),
-        tfidf.class_prior_model(docs, "label"),
-    ]
+    models = tfidf.class_log_odds_models(docs, KEY, "text", "label", {
+        "tfidf_bigram": (CONFIG.max_features, CONFIG.ngram_range),
+        "tfidf_unigram": (CONFIG.max_features, (1, 1)),
+    })
+    vocab = models[0].vocab
+    models.append(tfidf.class_prior_model(vocab.n_docs, vocab.n_pos))
     return tfidf.score_models(docs, KEY, "text", models, ["label"])
 
 

@@ -67,17 +67,18 @@ def widen(scan: DataFrame, keys: list[str]) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and payload bytes of an already materialised table of flat columns."""
+    width: Column = F.lit(0)
+    for f in df.schema.fields:
+        text = isinstance(f.dataType, T.StringType)
+        width = width + (F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(16) if text else F.lit(8))
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return row["n"], row["b"]
+
+
 def byte_size(df: DataFrame) -> int:
-    """Payload bytes of an already materialised table of flat columns."""
-    widths = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) + F.lit(16)
-        if isinstance(f.dataType, T.StringType) else F.lit(8)
-        for f in df.schema.fields
-    ]
-    width: Column = widths[0]
-    for w in widths[1:]:
-        width = width + w
-    return df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0
+    return measure(df)[1]
 
 
 def join_by_size(

@@ -87,7 +87,7 @@ def test_empty_text_ignores_the_intercept(spark, tiny_reviews):
 
 def test_models_side_by_side_equal_each_alone(tiny_reviews, model):
     unigrams = tfidf.class_log_odds_model(tiny_reviews, KEY, "text", "label", 20, (1, 1), "uni")
-    prior = tfidf.class_prior_model(tiny_reviews, "label")
+    prior = tfidf.class_prior_model(10, 5)
     wide = {r["doc_id"]: r for r in tfidf.score_models(tiny_reviews, KEY, "text", [model, unigrams, prior]).collect()}
     for m in (model, unigrams, prior):
         for r in tfidf.score(tiny_reviews, KEY, "text", m).collect():
