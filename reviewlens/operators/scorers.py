@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -64,48 +63,85 @@ def with_prediction_record(scored: DataFrame) -> DataFrame:
 
 @dataclass
 class LinearScorer:
-    """A linear model applied to one text after the other.
+    """A linear model applied to a batch of texts without grouping rows.
 
     For streams, which cannot group a document's words without keeping state. Workers get
-    the terms as one broadcast, whose size the vocabulary limit bounds.
+    the terms as one broadcast, whose size the vocabulary limit bounds. Words become
+    numbers once; an n-gram is then a pair (its first n - 1 words, its last word), looked up
+    for all texts of the batch together.
     """
 
     shared: Any
     intercept: float
     ngram_range: tuple[int, int]
     name: str = "TF-IDF + Logistic Regression"
-    _terms: dict[str, tuple[float, float]] = field(default_factory=dict, repr=False)
+    _words: dict[str, int] = field(default_factory=dict, repr=False)
+    _terms: list[np.ndarray] = field(default_factory=list, repr=False)
+    _pairs: list[np.ndarray] = field(default_factory=list, repr=False)
+    _values: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
     def of(cls, model: LinearModel, limit: int = BROADCAST_LIMIT_BYTES) -> LinearScorer:
         vocab = model.vocab
         if vocab.size_bytes > limit:
             raise ValueError(f"the terms take {vocab.size_bytes} bytes; lower max_features to stream with this model")
-        terms = {r["term"]: (r["idf"], r["coef"]) for r in vocab.table.select("term", "idf", "coef").collect()}
+        terms = [tuple(r) for r in vocab.table.select("term", "idf", "coef").collect()]
         shared = vocab.table.sparkSession.sparkContext.broadcast(terms)
         return cls(shared, float(model.intercept), vocab.ngram_range)
 
     def load(self) -> None:
-        self._terms = self.shared.value
-
-    def _margin(self, cleaned: str) -> float:
-        words = [w for w in cleaned.split(" ") if len(w) >= 2]
-        low, high = self.ngram_range
-        grams, found = words, list(words) if low <= 1 else []
-        for n in range(2, high + 1):
-            grams = [f"{g} {w}" for g, w in zip(grams, words[n - 1:])]
-            if n >= low:
-                found += grams
-        counts = Counter(filter(self._terms.__contains__, found))
-        if not counts:
-            return self.intercept
-        known = np.array([self._terms[g] for g in counts])
-        weight = (1.0 + np.log(np.fromiter(counts.values(), float))) * known[:, 0]
-        return self.intercept + float(weight @ known[:, 1]) / float(np.sqrt(weight @ weight))
+        """Number words and n-grams: per length, sorted pairs and the term each stands for, if any."""
+        rows = self.shared.value
+        self._values = np.array([(idf, coef) for _, idf, coef in rows], dtype=float).reshape(-1, 2)
+        split = [tuple(term.split(" ")) for term, _, _ in rows]
+        self._words = {w: i for i, w in enumerate(sorted({w for words in split for w in words}))}
+        term_of = {words: i for i, words in enumerate(split)}
+        number = {(w,): i for w, i in self._words.items()}
+        self._pairs, self._terms = [], [np.array([term_of.get((w,), -1) for w in self._words], dtype=np.int64)]
+        for n in range(2, self.ngram_range[1] + 1):
+            # Beginnings of longer terms count too, even if they are no terms themselves.
+            grams = {words[:n] for words in split if len(words) >= n}
+            keyed = sorted((number[g[:-1]] * len(self._words) + self._words[g[-1]], g) for g in grams if g[:-1] in number)
+            number = {g: i for i, (_, g) in enumerate(keyed)}
+            self._pairs.append(np.array([k for k, _ in keyed], dtype=np.int64))
+            self._terms.append(np.array([term_of.get(g, -1) for _, g in keyed], dtype=np.int64))
+
+    def _found(self, cleaned: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Row and term number of every occurrence of a known term."""
+        texts = [[w for w in s.split(" ") if len(w) >= 2] for s in cleaned]
+        rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        word = np.fromiter((self._words.get(w, -1) for t in texts for w in t), np.int64, len(rows))
+        gram, at, hits = word, np.arange(len(word)), []
+        for n, terms in enumerate(self._terms, start=1):
+            if n > 1:
+                # Extend by the next word, if it belongs to the same text.
+                inside = at + 1 < len(word)
+                gram, at, begin = gram[inside], at[inside] + 1, begin[inside]
+                together = (rows[at] == rows[begin]) & (word[at] >= 0)
+                gram, at, begin = gram[together], at[together], begin[together]
+                key, pairs = gram * len(self._words) + word[at], self._pairs[n - 2]
+                place = np.minimum(np.searchsorted(pairs, key), max(len(pairs) - 1, 0))
+                known = pairs[place] == key if len(pairs) else np.zeros(len(key), bool)
+                gram, at, begin = place[known], at[known], begin[known]
+            else:
+                known = gram >= 0
+                gram, at = gram[known], at[known]
+                begin = at
+            if n >= self.ngram_range[0]:
+                term = terms[gram] if len(terms) else gram
+                hits.append(np.stack([rows[begin][term >= 0], term[term >= 0]]))
+        return tuple(np.concatenate(hits, axis=1)) if hits else (rows[:0], rows[:0])
 
     def predict(self, cleaned: pd.Series) -> np.ndarray:
-        margins = np.fromiter((self._margin(s) for s in cleaned), float, len(cleaned))
-        return 1.0 / (1.0 + np.exp(-margins))
+        row, term = self._found(cleaned)
+        size = max(len(self._values), 1)
+        pair, tf = np.unique(row * size + term, return_counts=True)
+        row, term = pair // size, pair % size
+        weight = (1.0 + np.log(tf)) * self._values[term, 0]
+        dot = np.bincount(row, weight * self._values[term, 1], len(cleaned))
+        norm = np.sqrt(np.bincount(row, weight * weight, len(cleaned)))
+        z = self.intercept + np.divide(dot, norm, out=np.zeros(len(cleaned)), where=norm > 0)
+        return 1.0 / (1.0 + np.exp(-z))
 
 
 class Session(Protocol):

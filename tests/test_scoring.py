@@ -202,9 +202,16 @@ def test_pluggable_scorer(spark):
     assert got[2]["latency_ms"] == 0.0 and got[1]["prediction"]["label"] == "positive"
 
 
-def test_row_scorer_equals_the_relational_score(tiny_reviews, model):
-    want = {r["doc_id"]: r["p_pos"] for r in tfidf.score(tiny_reviews, KEY, "text", model).collect()}
-    rows = scorers.score_texts(tiny_reviews, KEY, "text", scorers.LinearScorer.of(model)).collect()
+@pytest.mark.parametrize("ngram_range", [(1, 1), (1, 2), (2, 2), (1, 3), (2, 3)])
+@pytest.mark.parametrize("k", [4, 1000])
+def test_batch_scorer_equals_the_relational_score(spark, tiny_reviews, ngram_range, k):
+    model = tfidf.class_log_odds_model(tiny_reviews, KEY, "text", "label", k, ngram_range)
+    texts = tiny_reviews.select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(91, "superb superb superb cast and superb cast"), (92, "zz yy"), (93, "superb"), (94, "lovely zz lovely")],
+        "doc_id bigint, text string",
+    )).coalesce(1)
+    want = {r["doc_id"]: r["p_pos"] for r in tfidf.score(texts, KEY, "text", model).collect()}
+    rows = scorers.score_texts(texts, KEY, "text", scorers.LinearScorer.of(model)).collect()
     assert {r["doc_id"]: r["p_pos"] for r in rows} == pytest.approx(want)
 
 
