@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +156,20 @@ def latency_stats(rows: DataFrame, by: str, latency: str, accuracy: int = 10_000
         F.round("_avg", 2).alias("avg_latency_ms"),
         F.round("_p95", 2).alias("p95_latency_ms"),
     )
+
+
+def evaluation_report(scored: DataFrame, by: str, latency: str | None = None) -> DataFrame:
+    """One row per model: counts, metrics, latency figures if there are any, and the wall time.
+
+    ``scored`` is evaluated here, once, since the time it takes is part of the result.
+    """
+    start = time.perf_counter()
+    kept = [by, "label", "pred", *([latency] if latency else [])]
+    rows = materialise(scored.select(*kept))
+    metrics = materialise(binary_metrics(confusion_counts(rows, [by])))
+    elapsed = round(time.perf_counter() - start, 2)
+    report = metrics.withColumn("total_eval_time_seconds", F.lit(elapsed))
+    if latency is None:
+        return report
+    stats = latency_stats(rows, by, latency).drop("n")
+    return report.join(stats, by, "left")

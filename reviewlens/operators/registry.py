@@ -18,6 +18,7 @@ REQUIRED_ARTIFACTS = [
     ("baseline", "classifier", True),
     ("baseline", "metrics", False),
     ("lstm", "word_index", True),
+    ("lstm", "embedding", True),
     ("lstm", "network", True),
     ("lstm", "metrics", False),
     ("transformer_onnx", "model.onnx", True),

@@ -195,11 +195,18 @@ def history_table(trained: TrainedEmbedding) -> DataFrame:
     return trained.index.table.sparkSession.createDataFrame(trained.history, HISTORY)
 
 
+def score_embedding(
+    docs: DataFrame, key: str, text: str, label: str, trained: TrainedEmbedding, config: JobConfig = JobConfig()
+) -> DataFrame:
+    """(key, label, p_pos, ...) of the embedding tier."""
+    features = embed(docs, key, text, label, trained.index, trained.embedding, config.max_len)
+    return class_probability(trained.classifier.transform(features))
+
+
 def embedding_metrics(
     trained: TrainedEmbedding, val: DataFrame, key: str, text: str, label: str, config: JobConfig = JobConfig()
 ) -> DataFrame:
-    val_set = embed(val, key, text, label, trained.index, trained.embedding, config.max_len)
-    scored = class_probability(trained.classifier.transform(val_set))
+    scored = score_embedding(val, key, text, label, trained, config)
     return log_loss(scored, [], label).select(
         F.lit("Embedding + MLP").alias("model"),
         F.col("accuracy").alias("val_accuracy"),

@@ -179,7 +179,7 @@ ORACLES = {
   (0, 'baseline', (SELECT count(*) > 0 FROM documents JOIN labels USING (doc_id))),
   (1, 'lstm', false), (2, 'transformer', false)) v(ord, model_key, available)""",
     "model_lists": "SELECT 'baseline' AS models_available, 'baseline lstm transformer' AS models_registered",
-    "missing_artifacts": """SELECT artifact_dir, artifact FROM (VALUES ('baseline', 'metrics'), ('lstm', 'network'),
+    "missing_artifacts": """SELECT artifact_dir, artifact FROM (VALUES ('baseline', 'metrics'), ('lstm', 'embedding'), ('lstm', 'network'),
   ('lstm', 'metrics'), ('transformer_onnx', 'model.onnx'), ('transformer_onnx', 'tokenizer.json'),
   ('transformer_onnx', 'tokenizer_config.json'), ('transformer_onnx', 'vocab.txt'),
   ('transformer_onnx', 'special_tokens_map.json'), ('transformer_onnx', 'metrics')) v(artifact_dir, artifact)""",

@@ -34,15 +34,16 @@ def scored_docs(spark: SparkSession, sf: str) -> DataFrame:
     return tfidf.score(docs, KEY, "text", log_odds_model(docs), ["label"])
 
 
-def wide_scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = R.labelled_reviews(spark, sf)
+def wide_scores(spark: SparkSession, sf: str, carry: list[str] = ["label"]) -> DataFrame:
+    # A stand-in latency that does not vary from run to run.
+    docs = R.labelled_reviews(spark, sf).withColumn("latency_ms", F.round(F.length("text") / F.lit(100.0), 2))
     models = tfidf.class_log_odds_models(docs, KEY, "text", "label", {
         "tfidf_bigram": (CONFIG.max_features, CONFIG.ngram_range),
         "tfidf_unigram": (CONFIG.max_features, (1, 1)),
     })
     vocab = models[0].vocab
     models.append(tfidf.class_prior_model(vocab.n_docs, vocab.n_pos))
-    return tfidf.score_models(docs, KEY, "text", models, ["label"])
+    return tfidf.score_models(docs, KEY, "text", models, carry)
 
 
 def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,6 +245,13 @@ def eval_by_model(spark: SparkSession, sf: str) -> DataFrame:
     return E.binary_metrics(E.confusion_counts(long, ["model_key"]))
 
 
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    carry = ["label", "latency_ms"]
+    long = E.with_prediction(compare.to_long(wide_scores(spark, sf, carry), KEY, MODELS, carry))
+    report = E.evaluation_report(long, "model_key", "latency_ms")
+    return report.withColumn("timed", F.col("total_eval_time_seconds") >= 0).drop("total_eval_time_seconds")
+
+
 def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.schema("event_type string, value double").parquet(f"{sf}/events.parquet")
     return E.latency_stats(events.withColumnRenamed("event_type", "model_key"), "model_key", "value")
@@ -255,7 +263,7 @@ QUERIES = {
         linear_scores, decide, legacy_decide, softmax2, argmax_class, batch_predict, scorer_map, onnx_score,
         model_choice, compare_models, disagreement, disagreement_pattern, confidence_band, verdict_roles,
         formatted_report, validate_texts, validate_batches, confusion_counts, binary_metrics, class_report,
-        confusion_matrix, log_loss, eval_by_model, latency_stats,
+        confusion_matrix, log_loss, eval_by_model, evaluation_report, latency_stats,
     )
 }
 
@@ -414,6 +422,19 @@ FROM (SELECT unnest([0, 1]) AS a) LEFT JOIN scored ON label = a GROUP BY a""",
     "eval_by_model": O.with_ctes(
         [*O.long_models(), O.confusion("long", "model_key")], f"SELECT *, {O.METRIC_COLUMNS} FROM cm"
     ),
+    "evaluation_report": O.with_ctes(
+        [
+            *O.long_models(),
+            O.confusion("long", "model_key"),
+            f"m AS (SELECT *, {O.METRIC_COLUMNS} FROM cm)",
+            """r AS (SELECT model_key, round(length(text) / CAST(100.0 AS DOUBLE), 2) AS v,
+  row_number() OVER (PARTITION BY model_key ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY model_key) AS n
+  FROM long JOIN docs USING (doc_id))""",
+            """s AS (SELECT model_key, round(avg(v), 2) AS avg_latency_ms,
+  round(max(v) FILTER (i = floor(n * CAST(0.95 AS DOUBLE))), 2) AS p95_latency_ms FROM r GROUP BY model_key)""",
+        ],
+        "SELECT m.*, avg_latency_ms, p95_latency_ms, true AS timed FROM m JOIN s ON m.model_key = s.model_key",
+    ),
     "latency_stats": O.with_ctes(
         [
             """r AS (SELECT event_type AS model_key, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,

@@ -41,8 +41,7 @@ def train_embedding_mlp(spark: SparkSession, sf: str) -> DataFrame:
     """Validation scores of the embedding tier."""
     train, val = _parts(spark, sf)
     trained = T.train_embedding(train, val, "doc_id", "text", "label", CONFIG)
-    features = T.embed(val, "doc_id", "text", "label", trained.index, trained.embedding, CONFIG.max_len)
-    scored = T.class_probability(trained.classifier.transform(features))
+    scored = T.score_embedding(val, "doc_id", "text", "label", trained, CONFIG)
     return scored.select("doc_id", "label", F.round("p_pos", 4).alias("p_pos"))
 
 

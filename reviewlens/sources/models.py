@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import re
 
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from reviewlens.operators.tfidf import LinearModel
+from reviewlens.operators.training import TrainedEmbedding
 from reviewlens.operators.vocabulary import Vocabulary, WordIndex
 from reviewlens.schemas import METRICS
 from reviewlens.session import byte_size
@@ -54,6 +57,21 @@ def load_word_index(spark: SparkSession, folder: str, num_words: int) -> WordInd
     return WordIndex(table, byte_size(table), num_words)
 
 
+def save_embedding_model(trained: TrainedEmbedding, folder: str) -> None:
+    save_word_index(trained.index, folder)
+    trained.embedding.write().overwrite().save(f"{folder}/embedding")
+    trained.classifier.write().overwrite().save(f"{folder}/network")
+
+
+def load_embedding_model(spark: SparkSession, folder: str, num_words: int) -> TrainedEmbedding:
+    index = load_word_index(spark, folder, num_words)
+    return TrainedEmbedding(
+        Word2VecModel.load(f"{folder}/embedding"),
+        MultilayerPerceptronClassificationModel.load(f"{folder}/network"),
+        index,
+    )
+
+
 def as_metrics(rows: DataFrame) -> DataFrame:
     """Bring metrics rows to the one wide schema; columns a model lacks become null."""
     return rows.select(*[
@@ -88,15 +106,15 @@ def list_artifacts(spark: SparkSession, model_dir: str) -> DataFrame:
     paths = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(model_dir).select("path")
     )
-    below = F.regexp_extract("path", r"/([^/]+)/([^/]+)/[^/]+$", 1)
-    artifact = F.regexp_extract("path", r"/([^/]+)/([^/]+)/[^/]+$", 2)
-    return paths.select(below.alias("artifact_dir"), artifact.alias("artifact")).distinct()
+    root = re.sub(r"^[a-z0-9]+:/*", "", model_dir).strip("/")
+    below = rf"\Q{root}\E/([^/]+)/([^/]+)"
+    return paths.select(
+        F.regexp_extract("path", below, 1).alias("artifact_dir"),
+        F.regexp_extract("path", below, 2).alias("artifact"),
+    ).filter(F.col("artifact") != "").distinct()
 
 
 def length_setting(saved: Column, default: int) -> Column:
     """A length restored from saved metrics, else the default."""
     return F.coalesce(saved, F.lit(default))
 
-
-def with_key(model: LinearModel, key: str) -> LinearModel:
-    return replace(model, key=key)

@@ -96,7 +96,7 @@ def test_availability_and_missing_artifacts(spark, tiny_reviews, tmp_path):
     assert lists["models_available"] == ["baseline"]
     assert lists["models_registered"] == ["baseline", "lstm", "transformer"]
     missing = {(r["artifact_dir"], r["artifact"]) for r in registry.missing_artifacts(required, present).collect()}
-    assert ("lstm", "network") in missing and ("baseline", "vocabulary") not in missing and len(missing) == 9
+    assert ("lstm", "network") in missing and ("baseline", "vocabulary") not in missing and len(missing) == 10
 
 
 def test_shared_folder_is_the_named_one(spark, tmp_path, monkeypatch):

@@ -74,6 +74,20 @@ def test_embedding_tier_stops_early_and_keeps_the_best(reviews):
     assert T.history_table(trained).count() == len(losses)
 
 
+def test_saved_embedding_tier_predicts_alike(spark, reviews, tmp_path):
+    folder = f"{tmp_path}/lstm"
+    trained = T.train_embedding(reviews, reviews, "doc_id", "text", "label", CONFIG)
+    M.save_embedding_model(trained, folder)
+    back = M.load_embedding_model(spark, folder, CONFIG.num_words)
+    want, got = (
+        {r["doc_id"]: r["p_pos"] for r in T.score_embedding(reviews, "doc_id", "text", "label", t, CONFIG).collect()}
+        for t in (trained, back)
+    )
+    assert got == pytest.approx(want) and len(got) == 10
+    present = {(r["artifact_dir"], r["artifact"]) for r in M.list_artifacts(spark, str(tmp_path)).collect()}
+    assert present == {("lstm", "word_index"), ("lstm", "embedding"), ("lstm", "network")}
+
+
 def test_train_all(reviews):
     splits = reviews.withColumn("split", F.lit("train")).unionByName(
         reviews.limit(4).withColumn("split", F.lit("val"))).unionByName(reviews.limit(3).withColumn("split", F.lit("test")))
