@@ -72,21 +72,21 @@ def choose_models(requests: DataFrame, requested: str, available: DataFrame, def
     The registry has one row per model, so it is broadcast.
     """
     ready = available.filter("available")
+    # One key out of the registry's few rows.
     fallback = ready.agg(
         F.coalesce(
             F.max(F.when(F.col("model_key") == default, F.col("model_key"))),
             F.min_by("model_key", "ord"),
-        ).alias("_fallback")
-    )
+        ).alias("key")
+    ).first()["key"]
     named = F.coalesce(F.col(requested), F.lit("")) != ""
     keys = ready.select(F.col("model_key").alias("_found"))
     return (
         requests.join(F.broadcast(keys), F.col(requested) == F.col("_found"), "left")
-        .crossJoin(F.broadcast(fallback))
-        .withColumn("model_key", F.when(named, F.col("_found")).otherwise(F.col("_fallback")))
+        .withColumn("model_key", F.when(named, F.col("_found")).otherwise(F.lit(fallback).cast("string")))
         .withColumn(
             "status",
             F.when(F.col("model_key").isNotNull(), 200).when(named, 404).otherwise(503),
         )
-        .drop("_found", "_fallback")
+        .drop("_found")
     )

@@ -108,8 +108,8 @@ def baseline_metrics(
         F.map_from_entries(F.collect_list(F.struct(
             F.col("class"), F.struct("precision", "recall", "f1_score", "support")
         ))).alias("classification_report")
-    )
-    return settings.crossJoin(F.broadcast(report))  # one row each
+    ).withColumn("model", F.lit("TF-IDF + Logistic Regression"))
+    return settings.join(report, "model")  # one row each
 
 
 @dataclass(frozen=True)

@@ -135,8 +135,11 @@ def max_len_from_metrics(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("model_key") == "lstm", M.length_setting(F.col("max_len"), CONFIG.max_len))
         .otherwise(M.length_setting(F.col("max_length"), CONFIG.max_length)).alias("length"),
     )
-    # Two rows of settings, one per model.
-    return lengths.crossJoin(F.broadcast(settings)).select(
+    # One setting per model of the registry.
+    per_model = F.array(*[
+        F.struct(F.lit(r["model_key"]).alias("model_key"), F.lit(r["length"]).alias("length")) for r in settings.collect()
+    ])
+    return lengths.select("doc_id", "n_ids", F.inline(per_model)).select(
         "doc_id", "model_key", "length", F.least("n_ids", "length").alias("n_kept")
     )
 

@@ -85,10 +85,9 @@ def label_map(spark: SparkSession, sf: str) -> DataFrame:
 
 def shape_preview(spark: SparkSession, sf: str) -> DataFrame:
     docs = R.read_documents(spark, sf)
-    n_columns = len(docs.columns)
-    shape = docs.agg(F.count("*").alias("n_rows"))
+    n_rows, n_columns = docs.count(), len(docs.columns)
     last = docs.orderBy(F.col("doc_id").desc()).limit(5).select("doc_id", "text")
-    return last.crossJoin(F.broadcast(shape)).withColumn("n_columns", F.lit(n_columns))
+    return last.withColumn("n_rows", F.lit(n_rows).cast("long")).withColumn("n_columns", F.lit(n_columns))
 
 
 def non_blank(spark: SparkSession, sf: str) -> DataFrame:
