@@ -27,7 +27,8 @@ def piece_vocabulary(index: WordIndex) -> DataFrame:
     fixed = SPECIAL + list(letters) + [f"##{c}" for c in letters]
     spark = index.table.sparkSession
     head = spark.createDataFrame(list(zip(fixed, range(len(fixed)))), "piece string, piece_id int")
-    words = index.table.filter(F.length("word") >= 2).select(
+    # Longer words are unknown anyway, so num_words short rows bound the vocabulary.
+    words = index.table.filter(F.length("word").between(2, MAX_WORD_CHARS)).select(
         F.col("word").alias("piece"), (F.col("idx") + F.lit(len(fixed) - 1)).alias("piece_id")
     )
     return materialise(head.unionByName(words))
