@@ -5,28 +5,56 @@ Each query runs one operator of this subpackage over its whole table with produc
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import pieces
-
-# Where the public tokenizer files are; every executor has this folder.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+from reviewlens.llm import minhash, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashConfig(width=2))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), model)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op5_piece_codec": op5_piece_codec,
 }
 
 # Queries without an entry can't be expressed in SQL; tests/llm compare them with brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash": """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words
+    FROM documents),
+s AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+        ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS sh
+    FROM w),
+sizes AS (SELECT doc_id, len(sh) AS n, sh FROM s),
+sets AS (SELECT min(doc_id) AS id, list_sort(sh) AS sh, n FROM sizes WHERE n > 0 GROUP BY list_sort(sh), n),
+e AS (SELECT id, n, unnest(sh) AS g FROM sets),
+links AS (
+    SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+    SELECT id AS node, id AS root FROM sets
+    UNION SELECT l.v, r.root FROM reach r JOIN links l ON l.u = r.node AND r.root < l.v),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, coalesce(roots.root, z.doc_id) AS component_id,
+    coalesce(roots.root, z.doc_id) = z.doc_id AS kept
+FROM sizes z LEFT JOIN sets ON sets.sh = list_sort(z.sh) LEFT JOIN roots ON roots.node = sets.id
+""",
+}
