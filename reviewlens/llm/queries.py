@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import minhash, pieces
+from reviewlens.llm import minhash, pieces, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashConfig(width=2))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_documents(table(spark, sf_dir, "documents"), model)
@@ -28,6 +33,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_substring_dedup": op2_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
 }
 
@@ -56,5 +62,21 @@ roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_shingles, coalesce(roots.root, z.doc_id) AS component_id,
     coalesce(roots.root, z.doc_id) = z.doc_id AS kept
 FROM sizes z LEFT JOIN sets ON sets.sh = list_sort(z.sh) LEFT JOIN roots ON roots.node = sets.id
+""",
+    "op2_substring_dedup": """
+WITH w AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words
+    FROM documents),
+wins AS (
+    SELECT doc_id, i, sha256(array_to_string(words[i:i + 34], ' ')) AS s
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+twice AS (SELECT s FROM wins GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM wins SEMI JOIN twice USING (s)),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w),
+stay AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
+    FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN stay USING (doc_id)
 """,
 }
