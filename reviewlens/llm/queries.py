@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewlens.llm import minhash, pieces, repeats
+from reviewlens.llm import minhash, ordermin, pieces, repeats, rollup, secrets, topk
+from reviewlens.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,15 +28,48 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, exact copies go, and documents cleaned of junk marks count anew; batch 1 is sent twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup_table = rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
+    rollup_table.commit(1, rollup.count_changes(docs))
+    first = docs.where("text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first"))
+    copies = docs.select("doc_id", "source", "lang", F.md5("text").alias("digest")).join(first, "digest")
+    copies = copies.where("doc_id <> first").select("doc_id", "source", "lang", F.lit(None).cast("string").alias("text"))
+    rollup_table.commit(2, rollup.count_changes(copies, delete=F.lit(True)))
+    junk = "[%*&$#]{3}"
+    cleaned = docs.where(F.col("text").rlike(junk)).withColumn("text", F.regexp_replace("text", junk, ""))
+    kept = rollup_table.ledger().where("tokens IS NOT NULL").select("doc_id").distinct()
+    rollup_table.commit(3, rollup.count_changes(cleaned.join(kept, "doc_id", "left_semi")))
+    rollup_table.commit(1, rollup.count_changes(docs))
+    return rollup_table.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_secrets": op3_secrets,
     "op5_piece_codec": op5_piece_codec,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_block_topk": op8_block_topk,
+    "op9_token_rollup": op9_token_rollup,
 }
 
 # Queries without an entry can't be expressed in SQL; tests/llm compare them with brute force.
@@ -78,5 +113,29 @@ stay AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
     sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN stay USING (doc_id)
+""",
+    "op8_block_topk": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+""",
+    "op9_token_rollup": """
+WITH firsts AS (SELECT md5(text) AS digest, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1),
+kept AS (
+    SELECT source, lang, regexp_replace(coalesce(text, ''), '[%*&$#]{3}', '', 'g') AS text
+    FROM documents LEFT JOIN firsts ON digest = md5(text) WHERE first IS NULL OR first = doc_id),
+counted AS (
+    SELECT source, lang, 'space-1' AS version, len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens FROM kept
+    UNION ALL
+    SELECT source, lang, 'mark-2',
+        len(regexp_extract_all(text, '\\p{L}+|\\p{N}|[^\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]')) FROM kept)
+SELECT source, lang, version, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM counted GROUP BY source, lang, version
 """,
 }
