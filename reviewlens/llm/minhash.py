@@ -7,10 +7,13 @@ agree on a filled bin with the probability of their similarity. Runs of bins are
 
 Documents with equal sets are one class from the start, and only its smallest id goes on. Classes that
 share a band form a bucket. A bucket does not emit all its pairs: its members are compared with a
-centre (a star). Links are confirmed on the full sets. Members that did not link to their centre stay
-open: buckets whose members still lie in different components get 2, 4, 8 ... times more centres in
-later rounds, until each bucket is one component or each of its pairs in different components was
-compared. So a large bucket of copies costs one star, and no link of a bucket is lost.
+centre (a star), and links are confirmed on the full sets. So a large bucket of copies costs one star.
+
+A star misses links between members that are not similar to the centre. Buckets whose members still lie in
+different components are therefore looked at once more: blocks of members outside the bucket's largest
+component meet blocks of all its members in one task, which compares their signatures and gives up only
+pairs across components that can be similar enough, each pair in its first common band. Those are confirmed
+as well. No link of a bucket is lost, and no table of all its pairs is made.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ class MinHashConfig:
     percent: int = 80  # link where 100 * intersection >= percent * union
     bands: int = 56  # at similarity 0.8, a pair shares no band with probability 2e-6
     rows: int = 7  # bins hashed to one band
+    block_rows: int = 2048  # members of a bucket that a task holds twice
+    margin: float = 0.10  # signatures may fall so much short of the similarity: 5 standard deviations
     broadcast_bytes: int = 8 << 20  # a list of ids up to this size is broadcast
 
 
@@ -91,24 +96,28 @@ def sketch_batches(config: MinHashConfig) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sizes, low, high, bands = [], [], [], []
+                sizes, low, high, bands, marks = [], [], [], [], []
                 for own in shingle_sets(part.column("text"), config.width):
                     sizes.append(len(own))
                     low.append(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     high.append(mix(own ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
                     if len(own):
-                        least = signature(own, bins).reshape(config.bands, config.rows)
+                        least = signature(own, bins)
+                        marks.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+                        least = least.reshape(config.bands, config.rows)
                         bands.append(mix((least * factors).sum(axis=1, dtype=np.uint64) ^ salts))
                     else:
                         bands.append(salts[:0])
+                        marks.append(b"")
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
                 keys = np.concatenate(bands) if bands else salts[:0]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()),
                      pa.array(np.array(low, np.uint64).view(np.int64)),
                      pa.array(np.array(high, np.uint64).view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))],
-                    ["doc_id", "n_shingles", "low", "high", "bands"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
+                     pa.array(marks, pa.binary())],
+                    ["doc_id", "n_shingles", "low", "high", "bands", "marks"])
     return run
 
 
@@ -127,22 +136,92 @@ def confirm_batches(config: MinHashConfig) -> callable:
     return run
 
 
+def compare_batches(config: MinHashConfig) -> callable:
+    """Rows come sorted by (band, i, j): left rows of block i (side 0) meet all rows of block j (side 1)."""
+    least = (config.percent / 100 - config.margin) * config.bands * config.rows
+
+    def likely(rows: pa.RecordBatch) -> pa.RecordBatch:
+        side = rows.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        ids, roots, sizes = (rows.column(n).to_numpy() for n in ("id", "root", "n_shingles"))
+        outer = rows.column("outer").to_numpy(zero_copy_only=False)
+        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(len(rows), -1)
+        bands = rows.column("bands").flatten().to_numpy().reshape(len(rows), -1)
+        band = rows.column("band")[0].as_py()
+        found = []
+        step = max(1, (1 << 23) // max(1, len(right) * marks.shape[1]))
+        for i in range(0, len(left), step):
+            own = left[i: i + step]
+            alike = (marks[own, None, :] == marks[None, right, :]).sum(axis=2) >= least
+            a, b = np.nonzero(alike)
+            a, b = own[a], right[b]
+            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            # Two members outside the largest component meet twice and are taken once.
+            keep = (roots[a] != roots[b]) & (100 * small >= config.percent * large) & (~outer[b] | (ids[a] < ids[b]))
+            a, b = a[keep], b[keep]
+            same = bands[a] == bands[b]
+            first = bands[a, same.argmax(axis=1)] == band
+            found.append((ids[a[first]], ids[b[first]]))
+        u = np.concatenate([x for x, _ in found]) if found else ids[:0]
+        v = np.concatenate([x for _, x in found]) if found else ids[:0]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.stack([batch.column(n).to_numpy() for n in ("band", "i", "j")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if a == b:
+                    continue
+                if held and tuple(keys[a]) != key:
+                    yield likely(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield likely(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+    return run
+
+
+def only(rows: DataFrame, ids: DataFrame, config: MinHashConfig) -> DataFrame:
+    """Rows whose doc_id is in the materialised ids: by broadcast if these are few enough, else by a shuffle."""
+    few = ids.count() * 8 <= config.broadcast_bytes
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough; only texts in pairs are moved."""
     ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    found = ids.count()
-    needed = docs.select("doc_id", "text")
-    if found * 8 <= config.broadcast_bytes:
-        needed = needed.join(F.broadcast(ids), "doc_id", "left_semi")
-    else:
-        needed = needed.join(ids, "doc_id", "left_semi")
-    needed = materialise(needed)
+    needed = materialise(only(docs.select("doc_id", "text"), ids, config))
     with_u = pairs.join(needed.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     with_both = with_u.join(needed.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return with_both.mapInArrow(confirm_batches(config), f"u {kind}, v {kind}")
 
 
+def missed_pairs(crowded: DataFrame, components: DataFrame, sketches: DataFrame, config: MinHashConfig) -> DataFrame:
+    """Pairs (u, v) in different components that share a bucket and may be similar enough."""
+    labelled = materialise(crowded.where("size > 2").join(components.withColumnRenamed("node", "id"), "id", "left").select(
+        "band", "id", "n_shingles", "size", F.coalesce("root", "id").alias("root")))
+    shares = labelled.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(
+        F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("major"))
+    unsettled = materialise(labelled.join(shares.where("roots > 1"), "band").select(
+        "band", "id", "n_shingles", "root", (F.col("root") != F.col("major")).alias("outer"),
+        F.ceil(F.col("size") / config.block_rows).cast("int").alias("blocks")))
+    ids = materialise(unsettled.select(F.col("id").alias("doc_id")).distinct())
+    payload = only(sketches.select("doc_id", "bands", "marks").where("n_shingles > 0"), ids, config)
+    rows = unsettled.join(payload.withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "id")
+    own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    columns = ["id", "n_shingles", "root", "outer", "bands", "marks"]
+    left = rows.where("outer").select("band", own.alias("i"), other.alias("j"), F.lit(0).alias("side"), *columns)
+    right = rows.select("band", other.alias("i"), own.alias("j"), F.lit(1).alias("side"), *columns)
+    dealt = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    kind = crowded.schema["id"].dataType.simpleString()
+    return dealt.mapInArrow(compare_batches(config), f"u {kind}, v {kind}")
+
+
 def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are not read).
 
@@ -152,7 +231,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     its component_id and kept are null. An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles bigint, low bigint, high bigint, bands array<bigint>"
+    schema = f"doc_id {kind}, n_shingles bigint, low bigint, high bigint, bands array<bigint>, marks binary"
     sketches = materialise(docs.select("doc_id", "text").mapInArrow(sketch_batches(config), schema))
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(
@@ -175,33 +254,11 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     pairs = materialise(pairs.select("u", "v").distinct())
     edges = materialise(confirm(pairs, docs, config))
     components = materialise(smallest_linked(links.union(edges)))
-    done, wanted, tested = 0, 1, pairs
-    while True:
-        # Buckets that lie in different components, with the members' components.
-        labelled = crowded.where("size > 2").join(components.withColumnRenamed("node", "id"), "id", "left").select(
-            "band", "id", "n_shingles", "size", "first", F.coalesce("root", "id").alias("root"))
-        split = labelled.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        # Centres are drawn by hash, so that no bucket has to be ranked; earlier ones stay drawn.
-        drawn = F.pmod(F.xxhash64("id", "band"), F.col("size"))
-        unsettled = materialise(labelled.join(split.select("band"), "band").select(
-            "band", "id", "n_shingles", "root",
-            ((drawn < done) | (F.col("id") == F.col("first"))).alias("before"), (drawn < wanted).alias("now")))
-        rest = unsettled.where("NOT before")
-        left = rest.where("now").select(
-            F.col("band").alias("c_band"), F.col("id").alias("c"), F.col("n_shingles").alias("c_size"),
-            F.col("root").alias("c_root"))
-        apart = F.expr("band = c_band AND root <> c_root AND " + close("c_size", "n_shingles", config.percent))
-        more = left.join(rest, apart).select(F.least("c", "id").alias("u"), F.greatest("c", "id").alias("v"))
-        more = materialise(more.distinct().join(tested, ["u", "v"], "left_anti"))
-        if not more.isEmpty():
-            fresh = materialise(confirm(more, docs, config))
-            tested = materialise(tested.union(more))
-            if not fresh.isEmpty():
-                known = components.select(F.col("node").alias("u"), F.col("root").alias("v"))
-                components = materialise(smallest_linked(known.union(fresh)))
-        if rest.where("NOT now").isEmpty():
-            break
-        done, wanted = wanted, 2 * wanted
+    more = materialise(missed_pairs(crowded, components, sketches, config).distinct().join(pairs, ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        fresh = materialise(confirm(more, docs, config))
+        known = components.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        components = materialise(smallest_linked(known.union(fresh)))
     moved = components.where("node <> root").select(F.col("node").alias("doc_id"), "root")
     return sketches.select("doc_id", "n_shingles").join(moved, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
