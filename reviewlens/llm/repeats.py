@@ -12,8 +12,8 @@ deep. No machine holds that tree, so suffixes are split into groups by prefixes
 3. Groups of a size that fits in memory are read by tasks that sort the suffixes of their windows
    (prefix doubling over word ranks, cut at ``length``) and take the leaves under the deep nodes.
 4. Prefixes with more runs than that (a line on every page) are split by the longest prefix, the whole
-   window: a prefix of ``length`` words that two suffixes share is a deep node already, so counting it
-   with a merge before the shuffle is enough.
+   window: a prefix of ``length`` words that two suffixes share is a deep node already, so it is enough to
+   count windows, over the distinct runs of text only and with a merge before the shuffle.
 
 Words are compared by 64-bit hashes of their bytes.
 """
@@ -38,7 +38,7 @@ from reviewlens.session import materialise
 class RepeatConfig:
     length: int = 35  # words in a window
     prefix: int = 18  # words in an anchor
-    group_runs: int = 4096  # runs of one prefix that one task may hold
+    group_runs: int = 32_768  # runs of one prefix that one task may hold: some 10 MB of text
     tree_bytes: int = 8 << 20  # text of the groups that are sorted together
     broadcast_keys: int = 1 << 21  # repeated prefixes up to this number are broadcast
 
@@ -92,7 +92,9 @@ def prefix_batches(config: RepeatConfig) -> callable:
     return run
 
 
-def run_batches(config: RepeatConfig) -> callable:
+def run_batches(config: RepeatConfig, bodies: bool = True) -> callable:
+    """Runs as rows, with their text or without; a column ``places`` (row, first) picks runs of a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -103,17 +105,24 @@ def run_batches(config: RepeatConfig) -> callable:
                 if not len(keys):
                     continue
                 rows = np.array([sequence_hash(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())],
-                                np.uint64)
+                                np.uint64).view(np.int64)
+                if "places" in part.schema.names:
+                    picked = [{(x["row"], x["first"]) for x in p} for p in part.column("places").to_pylist()]
+                    keep = np.array([(int(rows[o]), int(b - first[o])) in picked[o] for b, o in zip(begin, owner)], bool)
+                    keys, begin, sizes, owner = keys[keep], begin[keep], sizes[keep], owner[keep]
+                columns = [pa.array(keys.view(np.int64)), part.column("doc_id").take(pa.array(owner)),
+                           pa.array(rows[owner]), pa.array((begin - first[owner]).astype(np.int32)),
+                           pa.array(sizes.astype(np.int32))]
+                names = ["prefix", "doc_id", "row", "first", "windows"]
+                if not bodies:
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    continue
                 low, high = starts[begin], ends[begin + sizes + config.length - 2]
                 offsets = np.concatenate(([0], np.cumsum(high - low)))
                 body = data[np.arange(offsets[-1]) + np.repeat(low - offsets[:-1], high - low)]
                 texts = pa.Array.from_buffers(
                     pa.large_binary(), len(keys), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), part.column("doc_id").take(pa.array(owner)),
-                     pa.array(rows[owner].view(np.int64)), pa.array((begin - first[owner]).astype(np.int32)),
-                     pa.array(sizes.astype(np.int32)), texts.cast(pa.binary())],
-                    ["prefix", "doc_id", "row", "first", "windows", "body"])
+                yield pa.RecordBatch.from_arrays([*columns, texts.cast(pa.binary())], [*names, "body"])
     return run
 
 
@@ -206,18 +215,37 @@ def window_batches(config: RepeatConfig) -> callable:
                 data, at = text_bytes(part.column("body").view(pa.string()))
                 starts, ends, first = find_words(data, at)
                 whole = joined_hashes(hash_spans(data, starts, ends), config.length)
-                windows = part.column("windows").to_numpy().astype(np.int64)
+                windows = np.diff(first) - config.length + 1
                 owner = np.repeat(np.arange(len(windows)), windows)
                 nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                rows = pa.array(owner)
-                places = part.column("first").to_numpy()[owner] + nth
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[first[owner] + nth].view(np.int64)), part.column("doc_id").take(rows),
-                     part.column("row").take(rows), pa.array(places.astype(np.int32))],
-                    ["window", "doc_id", "row", "first"])
+                    [pa.array(whole[first[owner] + nth].view(np.int64)), part.column("text_key").take(pa.array(owner)),
+                     part.column("copies").take(pa.array(owner)), pa.array(nth.astype(np.int32))],
+                    ["window", "text_key", "copies", "nth"])
     return run
 
 
+def spread_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs with the list of their repeated windows, as stretches."""
+    for batch in batches:
+        lists = [np.sort(np.array(x, np.int64)) for x in batch.column("nths").to_pylist()]
+        run_of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        yield stretches(run_of, np.concatenate(lists) if lists else run_of, batch)
+
+
+def crowded_windows(runs: DataFrame, config: RepeatConfig, found: str) -> DataFrame:
+    """The repeated windows of runs whose prefix has too many runs for one task."""
+    key = F.struct("prefix", F.xxhash64("body").alias("text"), F.length("body").alias("size"))
+    runs = runs.withColumn("text_key", key)
+    texts = materialise(runs.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("body").alias("body")))
+    kind = "struct<prefix: bigint, text: bigint, size: int>"
+    windows = materialise(texts.mapInArrow(
+        window_batches(config), f"window bigint, text_key {kind}, copies bigint, nth int"))
+    twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
+    deep = windows.join(twice, "window", "left_semi").groupBy("text_key").agg(F.collect_list("nth").alias("nths"))
+    return runs.drop("body").join(deep, "text_key").select("doc_id", "row", "first", "nths").mapInArrow(spread_batches, found)
+
+
 def repeated_windows(docs: DataFrame, config: RepeatConfig) -> DataFrame:
     """doc_id, row, first, windows: stretches of windows, by word, that start anywhere else too."""
     if not config.prefix <= config.length:
@@ -226,19 +254,21 @@ def repeated_windows(docs: DataFrame, config: RepeatConfig) -> DataFrame:
     texts = docs.select("doc_id", "text")
     prefixes = docs.select("text").mapInArrow(prefix_batches(config), "prefix bigint")
     shared = materialise(prefixes.groupBy("prefix").agg(F.count("*").alias("runs")).where("runs > 1"))
-    few = shared.count() <= config.broadcast_keys
-    keyed = f"prefix bigint, doc_id {kind}, row bigint, first int, windows int, body binary"
-    runs = texts.mapInArrow(run_batches(config), keyed).join(F.broadcast(shared) if few else shared, "prefix")
+    plain = f"prefix bigint, doc_id {kind}, row bigint, first int, windows int"
+    if shared.count() <= config.broadcast_keys:
+        runs = texts.mapInArrow(run_batches(config), f"{plain}, body binary").join(F.broadcast(shared), "prefix")
+    else:
+        # Too many to broadcast: find the places first, and move only the texts and runs that have some.
+        places = texts.mapInArrow(run_batches(config, bodies=False), plain).join(shared, "prefix").groupBy(
+            F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("row", "first")).alias("places"))
+        picked = texts.join(places, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+        runs = picked.mapInArrow(run_batches(config), f"{plain}, body binary").join(shared, "prefix")
     found = f"doc_id {kind}, row bigint, first int, windows int"
     runs = materialise(runs)
     fitting = runs.where(F.col("runs") <= config.group_runs).drop("runs")
     leaves = fitting.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(tree_batches(config), found)
     crowded = runs.where(F.col("runs") > config.group_runs).drop("runs")
-    windows = materialise(crowded.mapInArrow(
-        window_batches(config), f"window bigint, doc_id {kind}, row bigint, first int"))
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = windows.join(twice, "window", "left_semi").select("doc_id", "row", "first", F.lit(1).alias("windows"))
-    return leaves.union(single)
+    return leaves.union(crowded_windows(crowded, config, found))
 
 
 def keep_batches(config: RepeatConfig, digest: bool) -> callable:
