@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import minhash, ordermin, pieces, repeats, rollup, secrets, topk
+from reviewlens.llm import langid, minhash, ordermin, packing, pieces, repeats, rollup, secrets, topk, toxicity
 from reviewlens.session import scratch_path
 
 
@@ -32,11 +32,20 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_network(docs))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.word_counts(table(spark, sf_dir, "documents")))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -62,14 +71,22 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_table.totals()
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secrets": op3_secrets,
+    "op4_language_id": op4_language_id,
     "op5_piece_codec": op5_piece_codec,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_order_minhash": op7_order_minhash,
     "op8_block_topk": op8_block_topk,
     "op9_token_rollup": op9_token_rollup,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 
 # Queries without an entry can't be expressed in SQL; tests/llm compare them with brute force.
