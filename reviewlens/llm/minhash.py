@@ -263,3 +263,14 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     return sketches.select("doc_id", "n_shingles").join(moved, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
         (F.coalesce("root", "doc_id") == F.col("doc_id")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """The rows of docs, all columns, but for documents that are linked to one with a smaller doc_id.
+
+    One document of each component stays, and so do rows with a null doc_id. Rows with one doc_id are one document.
+    """
+    found = near_duplicates(docs, config)
+    gone = materialise(found.where("NOT kept").select("doc_id").distinct())
+    few = gone.count() * 8 <= config.broadcast_bytes
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -278,52 +278,46 @@ def keep_batches(config: RepeatConfig, digest: bool) -> callable:
                 data, at = text_bytes(part.column("text"))
                 starts, ends, first = find_words(data, at)
                 hashes = hash_spans(data, starts, ends)
-                counts, removed, kept = [], [], []
-                for i, found in enumerate(part.column("repeats")):
+                there = part.column("text").is_valid().to_pylist()
+                removed, kept = [], []
+                for i, found in enumerate(part.column("repeats").to_pylist()):
                     a, b = int(first[i]), int(first[i + 1])
                     gone = np.zeros(b - a + 1, np.int32)
-                    if found.as_py():
-                        row = np.uint64(sequence_hash(hashes[a:b])).astype(np.int64)
-                        hits = np.array([(x["first"], x["windows"]) for x in found.as_py() if x["row"] == row], np.int64)
-                        for begin, size in hits.tolist():
-                            gone[begin] += 1
-                            gone[begin + size + config.length - 1] -= 1
+                    row = int(np.uint64(sequence_hash(hashes[a:b])).astype(np.int64)) if found else 0
+                    for x in found or ():
+                        if x["row"] == row:
+                            gone[x["first"]] += 1
+                            gone[x["first"] + x["windows"] + config.length - 1] -= 1
                     stay = np.cumsum(gone)[:-1] == 0
-                    text = data[at[i]: at[i + 1]].tobytes()
-                    counts.append(b - a)
                     removed.append(b - a - int(stay.sum()))
-                    if not digest and removed[-1] == 0:
-                        kept.append(text)
-                        continue
-                    words = text.split()
+                    text = data[at[i]: at[i + 1]].tobytes()
                     if removed[-1]:
-                        words = [words[j] for j in np.flatnonzero(stay).tolist()]
-                    kept.append(b" ".join(words))
-                if digest:
-                    kept = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
-                else:
-                    kept = pa.array(kept, pa.binary()).view(pa.string())
+                        words = text.split()
+                        text = b" ".join([words[j] for j in np.flatnonzero(stay).tolist()])
+                    elif digest:
+                        text = b" ".join(text.split())
+                    kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode() if there[i] else None)
+                names = [n for n in part.schema.names if n not in ("text", "repeats")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in part.schema.names if n not in ("text", "repeats")),
-                     pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), kept],
-                    [*(n for n in part.schema.names if n not in ("text", "repeats")), "n_words", "n_removed", "kept"])
+                    [*(part.column(n) for n in names), pa.array(np.diff(first).astype(np.int64)),
+                     pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                    [*names, "n_words", "n_removed", "kept"])
     return run
 
 
-def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), digest: bool = False,
+                   others: bool = False) -> DataFrame:
     """Remove every word covered by a window that starts anywhere else too, in whichever document.
 
-    Returns all columns of docs but ``text``, then n_words, n_removed and ``kept``: the words left, joined
-    by one space (a text without repeats as it is), or with ``digest`` their SHA-256. A null or empty text
-    has no words; texts shorter than a window stay whole. Rows that repeat a doc_id are judged one by one,
-    equal rows repeat each other. docs must not have columns named n_words, n_removed, kept or repeats.
+    Returns doc_id, n_words, n_removed and ``kept``: the words left, joined by one space (a text without
+    repeats as it is, null for null), or with ``digest`` their SHA-256. With ``others`` a struct of that name
+    holds the columns of docs but text, whatever their names. A null or empty text has no words; texts shorter
+    than a window stay whole. Rows that repeat a doc_id are judged one by one, and equal rows repeat each other.
     """
-    clash = {"n_words", "n_removed", "kept", "repeats"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns of these names would be lost: {sorted(clash)}")
     repeats = materialise(repeated_windows(docs, config)).groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_list(F.struct("row", "first", "windows")).alias("repeats"))
-    joined = docs.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*others, "n_words bigint", "n_removed bigint", "kept string"])
-    return joined.mapInArrow(keep_batches(config, digest), schema)
+    rows = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")]
+                                           if others else []))
+    joined = rows.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    return joined.mapInArrow(keep_batches(config, digest), f"{carried}, n_words bigint, n_removed bigint, kept string")

@@ -258,3 +258,20 @@ def predict(docs: DataFrame, chain: Chain, config: ToxicityConfig = ToxicityConf
     columns = ", ".join(f"p_{n} double" for n in chain.names)
     return docs.select("doc_id", "text").mapInArrow(
         predict_batches(chain, config), f"doc_id {kind}, {columns}, rejected boolean")
+
+
+def accept_batches(chain: Chain, config: ToxicityConfig) -> callable:
+    verdict = chain.names.index(config.verdict)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = feature_sets(part.column("text"))
+                keep = [chain.predict(chain.lookup(own))[verdict] < config.threshold for own in sets]
+                yield part.filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def accepted(docs: DataFrame, chain: Chain, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """The rows of docs, all columns, that the chain's verdict does not reject."""
+    return docs.mapInArrow(accept_batches(chain, config), docs.schema)

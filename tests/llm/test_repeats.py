@@ -61,14 +61,13 @@ def test_like_brute_force(spark, config):
 
 def test_texts_and_other_columns(spark):
     docs = spark.createDataFrame(
-        [(1, "p  q r s t", 5), (2, "a\nb c q r s", 6), (3, "one  two", 7)], "doc_id bigint, text string, first int")
-    got = {r["doc_id"]: r for r in remove_repeats(docs, RepeatConfig(length=3, prefix=2)).collect()}
-    assert [got[i]["kept"] for i in (1, 2, 3)] == ["p t", "a b c", "one  two"]
-    assert got[3]["first"] == 7 and got[2]["n_removed"] == 3
+        [(1, "p  q r s t", 5), (2, "a\nb c q r s", 6), (3, "one  two", 7), (4, None, 8)],
+        "doc_id bigint, text string, n_words int").withColumnRenamed("n_words", "kept")
+    got = {r["doc_id"]: r for r in remove_repeats(docs, RepeatConfig(length=3, prefix=2), others=True).collect()}
+    assert [got[i]["kept"] for i in (1, 2, 3, 4)] == ["p t", "a b c", "one  two", None]
+    assert got[3]["others"]["kept"] == 7 and got[2]["n_removed"] == 3
 
 
-def test_empty_table_and_clash(spark):
+def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert remove_repeats(empty, RepeatConfig()).count() == 0
-    with pytest.raises(ValueError):
-        remove_repeats(spark.createDataFrame([(1, "a", "b")], "doc_id bigint, text string, kept string"))
