@@ -160,6 +160,7 @@ def fingerprint_documents(docs: DataFrame, config: OrderMinConfig = OrderMinConf
     ranges = max(1, min(rows // config.range_rows, config.most_ranges))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(ids.approxQuantile("at", shares, 0.1 / ranges))) if shares else []
+    cuts = cuts or [0.0]  # ranges are named by a lookup that wants one cut at least
     splits = [-float("inf"), *cuts, float("inf")]
     placed = docs.select("doc_id", "text", F.col("doc_id").cast("double").alias("at"))
     by_range = Bucketizer(splits=splits, inputCol="at", outputCol="group", handleInvalid="keep")
