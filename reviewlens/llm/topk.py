@@ -113,7 +113,7 @@ def search_groups(config: TopKConfig, first_only: bool) -> callable:
             return out
         rows = rows.sort_values("vec_id", kind="stable")
         index = BlockIndex(rows["vec_id"].to_numpy(), np.array(rows["w"].tolist(), np.int64), config.block_rows)
-        found = search(index, queries["query_id"].to_numpy(), np.array(queries["w"].tolist(), np.int64),
+        found = search(index, queries["query_id"].to_numpy(), np.array(queries["asked"].tolist(), np.int64),
                        queries["floor"].to_numpy(), config.k, first_only)
         return pd.DataFrame(dict(zip(out.columns, found)))
     return run
@@ -145,11 +145,13 @@ def top_k(embeddings: DataFrame, config: TopKConfig = TopKConfig()) -> DataFrame
     every_group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
     rows = vectors.select(group.alias("g"), every_batch.alias("b"), "vec_id", "w")
     is_query = F.col("vec_id") % config.every == 0
-    queries = vectors.where(is_query).select(
-        F.col("vec_id").alias("query_id"), "w", F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int").alias("b"))
+    # A table of its own, so that rows and queries don't meet as two uses of one plan.
+    queries = materialise(vectors.where(is_query).select(
+        F.col("vec_id").alias("query_id"), F.col("w").alias("asked"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int").alias("b")))
 
     def visit(asked: DataFrame, first_only: bool) -> DataFrame:
-        asked = asked.select(every_group.alias("g"), "b", "query_id", "w", "floor")
+        asked = asked.select(every_group.alias("g"), "b", "query_id", "asked", "floor")
         return rows.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInPandas(
             search_groups(config, first_only), "query_id bigint, vec_id bigint, score bigint")
 
@@ -157,8 +159,8 @@ def top_k(embeddings: DataFrame, config: TopKConfig = TopKConfig()) -> DataFrame
     if groups > 1:
         seen = visit(queries.withColumn("floor", nothing), True)
         floors = top_rows(seen, config.k).where(F.col("rank") == config.k).select("query_id", F.col("score").alias("f"))
-        queries = queries.join(materialise(floors), "query_id", "left").withColumn(
-            "floor", F.coalesce(F.col("f").cast("double"), nothing)).drop("f")
+        queries = materialise(queries.join(materialise(floors), "query_id", "left").withColumn(
+            "floor", F.coalesce(F.col("f").cast("double"), nothing)).drop("f"))
     else:
         queries = queries.withColumn("floor", nothing)
     return top_rows(visit(queries, False), config.k).select("query_id", "rank", "vec_id", "score")
