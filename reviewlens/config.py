@@ -24,6 +24,8 @@ class JobConfig:
     hidden_units: int = 64
     epochs: int = 9
     patience: int = 3
+    epoch_iterations: int = 5  # optimiser iterations of one round of the perceptron
+    embedding_parts: int = 8  # parallel learners of the word vectors, which are averaged; part of the model
     # WordPiece
     max_length: int = 256
     # Request limits
@@ -31,4 +33,4 @@ class JobConfig:
     text_max_chars: int = 5000
     batch_max_texts: int = 32
     # Model choice
-    default_model: str = "baseline"
+    default_model: str = "lstm"

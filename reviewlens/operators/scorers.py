@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -16,7 +17,6 @@ from reviewlens.functions.decision import prediction, softmax2_positive
 from reviewlens.functions.text import clean
 from reviewlens.operators.tfidf import LinearModel
 from reviewlens.operators.wordpiece import encode
-from reviewlens.session import BROADCAST_LIMIT_BYTES
 
 
 class Scorer(Protocol):
@@ -61,11 +61,15 @@ def with_prediction_record(scored: DataFrame) -> DataFrame:
     return scored.withColumn("prediction", prediction(F.col("p_pos"), F.col("latency_ms")))
 
 
+# Models that a Python worker has built, by token; two at most.
+_LOADED: dict[str, tuple] = {}
+
+
 @dataclass
 class LinearScorer:
     """A linear model applied to a batch of texts without grouping rows.
 
-    For streams, which cannot group a document's words without keeping state. Workers get
+    For calls that cannot group a document's words. Workers get
     the terms as one broadcast, whose size the vocabulary limit bounds. Words become
     numbers once; an n-gram is then a pair (its first n - 1 words, its last word), looked up
     for all texts of the batch together.
@@ -75,22 +79,26 @@ class LinearScorer:
     intercept: float
     ngram_range: tuple[int, int]
     name: str = "TF-IDF + Logistic Regression"
+    token: str = ""  # names the model in a worker that keeps it between tasks
     _words: dict[str, int] = field(default_factory=dict, repr=False)
     _terms: list[np.ndarray] = field(default_factory=list, repr=False)
     _pairs: list[np.ndarray] = field(default_factory=list, repr=False)
     _values: np.ndarray | None = field(default=None, repr=False)
 
     @classmethod
-    def of(cls, model: LinearModel, limit: int = BROADCAST_LIMIT_BYTES) -> LinearScorer:
+    def of(cls, model: LinearModel) -> LinearScorer:
+        """At most ``max_features`` terms go to the workers; score with ``tfidf.score`` where that is too many."""
         vocab = model.vocab
-        if vocab.size_bytes > limit:
-            raise ValueError(f"the terms take {vocab.size_bytes} bytes; lower max_features to stream with this model")
         terms = [tuple(r) for r in vocab.table.select("term", "idf", "coef").collect()]
         shared = vocab.table.sparkSession.sparkContext.broadcast(terms)
-        return cls(shared, float(model.intercept), vocab.ngram_range)
+        return cls(shared, float(model.intercept), vocab.ngram_range, token=uuid.uuid4().hex)
 
     def load(self) -> None:
         """Number words and n-grams: per length, sorted pairs and the term each stands for, if any."""
+        kept = _LOADED.get(self.token)
+        if kept is not None:
+            self._values, self._words, self._pairs, self._terms = kept
+            return
         rows = self.shared.value
         self._values = np.array([(idf, coef) for _, idf, coef in rows], dtype=float).reshape(-1, 2)
         split = [tuple(term.split(" ")) for term, _, _ in rows]
@@ -105,6 +113,10 @@ class LinearScorer:
             number = {g: i for i, (_, g) in enumerate(keyed)}
             self._pairs.append(np.array([k for k, _ in keyed], dtype=np.int64))
             self._terms.append(np.array([term_of.get(g, -1) for _, g in keyed], dtype=np.int64))
+        if self.token:
+            while len(_LOADED) >= 2:
+                _LOADED.pop(next(iter(_LOADED)))
+            _LOADED[self.token] = (self._values, self._words, self._pairs, self._terms)
 
     def _found(self, cleaned: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         """Row and term number of every occurrence of a known term."""

@@ -22,7 +22,7 @@ from reviewlens.operators.evaluate import binary_metrics, class_report, confusio
 from reviewlens.operators.sequences import text_sequences
 from reviewlens.operators.tfidf import LinearModel, score, vector_table
 from reviewlens.operators.vocabulary import WordIndex, fit_vocabulary, fit_word_index
-from reviewlens.session import byte_size, materialise
+from reviewlens.session import byte_size, join_by_size, materialise
 
 
 # Least feature values per model weight in one training task.
@@ -58,7 +58,7 @@ def train_logreg(train: DataFrame, key: str, text: str, label: str, config: JobC
     weights = spark.createDataFrame(
         list(enumerate(map(float, classifier.coefficients.toArray()))), "term_id int, coef double"
     )
-    table = materialise(vocab.table.join(F.broadcast(weights), "term_id"))
+    table = materialise(join_by_size(vocab.table, weights, ["term_id"], "inner", 16 * vocab.size, ["term_id"]))
     model = LinearModel("baseline", replace(vocab, table=table, size_bytes=byte_size(table)), float(classifier.intercept))
     return TrainedBaseline(model, classifier, time.perf_counter() - start)
 
@@ -160,11 +160,11 @@ def train_embedding(
     start = time.perf_counter()
     index = fit_word_index(train.select(key, text), key, text, config.num_words)
     words = materialise(last_words(train, key, text, label, index, config.max_len))
-    # As many parallel learners as shuffle parts; the default of one would pull all texts
-    # into a single task. Their vectors are averaged, num_words rows each.
+    # The default of one learner would pull all texts into a single task. Their number shapes the
+    # fitted vectors, so it is a parameter of the model and not of the cluster.
     embedding = Word2Vec(
         vectorSize=config.embedding_dim, minCount=0, maxIter=1, seed=config.seed,
-        numPartitions=int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        numPartitions=config.embedding_parts,
         inputCol="words", outputCol="features",
     ).fit(words)
     train_set = materialise(embedding.transform(words).select(key, label, "features"))
@@ -174,7 +174,7 @@ def train_embedding(
     weights, best, best_loss, best_epoch, history = None, None, np.inf, 0, []
     for epoch in range(1, config.epochs + 1):
         learner = MultilayerPerceptronClassifier(
-            labelCol=label, featuresCol="features", layers=layers, maxIter=5, seed=config.seed, solver="l-bfgs"
+            labelCol=label, featuresCol="features", layers=layers, maxIter=config.epoch_iterations, seed=config.seed, solver="l-bfgs"
         )
         if weights is not None:
             learner = learner.setInitialWeights(weights)
@@ -221,10 +221,14 @@ def embedding_metrics(
 
 
 def train_targets(
-    target: str, splits: DataFrame, key: str, text: str, label: str, config: JobConfig = JobConfig()
+    target: str, splits: DataFrame, key: str, text: str, label: str, config: JobConfig = JobConfig(),
+    folder: str | None = None,
 ) -> DataFrame:
-    """Train ``baseline``, ``lstm`` (the embedding tier) or ``all``; metrics rows in the wide schema."""
-    from reviewlens.sources.models import as_metrics
+    """Train ``baseline``, ``lstm`` (the embedding tier) or ``all``; metrics rows in the wide schema.
+
+    With ``folder`` each tier's artefacts and metrics are saved below it, where the registry looks for them.
+    """
+    from reviewlens.sources.models import as_metrics, save_embedding_model, save_linear_model, save_metrics
 
     if target not in ("baseline", "lstm", "all"):
         raise ValueError(f"unknown target {target!r}; use baseline, lstm or all")
@@ -235,9 +239,15 @@ def train_targets(
         rows.append(as_metrics(
             baseline_metrics(trained, {"train": train, "val": val, "test": test}, key, text, label, config)
         ).withColumn("model_key", F.lit("baseline")))
+        if folder:
+            save_linear_model(trained.model, f"{folder}/baseline")
+            save_metrics(rows[-1], f"{folder}/baseline")
     if target in ("lstm", "all"):
         trained = train_embedding(train, val, key, text, label, config)
         rows.append(as_metrics(
             embedding_metrics(trained, val, key, text, label, config)
         ).withColumn("model_key", F.lit("lstm")))
+        if folder:
+            save_embedding_model(trained, f"{folder}/lstm")
+            save_metrics(rows[-1], f"{folder}/lstm")
     return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])

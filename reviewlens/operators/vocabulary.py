@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import clean
@@ -84,20 +84,25 @@ def fit_vocabularies(
     Each holds the terms with the largest total frequency, their document frequency and
     smooth idf, and with ``label`` also ``df_pos``, the positive documents with the term.
     """
-    carry = [label] if label else []
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     totals = docs.agg(F.count("*").alias("n"), F.coalesce(positive, F.lit(0)).alias("pos")).first()
     widest = (min(r[0] for _, r in limits), max(r[1] for _, r in limits))
-    per_term = materialise(
-        term_counts(docs, keys, text, widest, carry)
-        .filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(
-            F.sum("tf").alias("ctf"),
-            F.count("*").alias("df"),
-            *([F.sum(F.col(label).cast("long")).alias("df_pos")] if label else []),
-        )
-    )
+    # A document is one row, so its terms need no grouping by document: each occurrence counts for the
+    # total, each different term once more for the documents. Only terms are shuffled, summed before.
+    def marked(terms: Column, occurs: int, documents: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(
+            t.alias("term"), F.lit(occurs).alias("occurs"), F.lit(documents).alias("documents")))
+
+    grams = docs.select(
+        (F.col(label) if label else F.lit(0)).cast("long").alias("_label"),
+        ngram_terms(word_tokens(clean(F.col(text))), widest).alias("_grams"))
+    rows = grams.select("_label", F.explode(F.concat(
+        marked(F.col("_grams"), 1, 0), marked(F.array_distinct("_grams"), 0, 1))).alias("t"))
+    per_term = materialise(rows.groupBy(F.col("t.term").alias("term")).agg(
+        F.sum("t.occurs").alias("ctf"),
+        F.sum("t.documents").alias("df"),
+        *([F.sum(F.col("_label") * F.col("t.documents")).alias("df_pos")] if label else []),
+    ))
     idf = F.log((F.lit(1.0) + F.lit(totals["n"])) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     fitted = []
     for max_features, ngram_range in limits:
@@ -134,18 +139,12 @@ class WordIndex:
 
 def fit_word_index(docs: DataFrame, key: str, text: str, num_words: int) -> WordIndex:
     """The num_words - 1 most frequent words; equal counts go by first appearance."""
-    # Two steps of plain numbers: a smallest (document, position) pair would be a struct,
-    # and a struct in the buffer turns hash aggregation into sorting every word.
-    per_doc = (
-        spread(docs.select(key, text), [key])
-        .select(key, F.posexplode(all_tokens(clean(F.col(text)))).alias("pos", "word"))
-        .groupBy(key, "word")
-        .agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    )
-    words = per_doc.groupBy("word").agg(
-        F.sum("n").alias("cnt"), F.min(key).alias("_doc"), F.min_by("pos", key).alias("_pos")
-    )
-    top = top_by_count(materialise(words), "cnt", ["_doc", "_pos"], num_words - 1)
-    rank = Window.orderBy(F.col("cnt").desc(), "_doc", "_pos")
+    # First appearance as one number, key and position: a smallest pair would be a struct, and a
+    # struct in the buffer turns hash aggregation into sorting every word. Only words are shuffled.
+    seen = docs.select(key, F.posexplode(all_tokens(clean(F.col(text)))).alias("pos", "word"))
+    first = F.col(key).cast("decimal(24,0)") * F.lit(2**31).cast("decimal(12,0)") + F.col("pos")
+    words = seen.groupBy("word").agg(F.count("*").alias("cnt"), F.min(first.cast("decimal(38,0)")).alias("_first"))
+    top = top_by_count(materialise(words), "cnt", ["_first"], num_words - 1)
+    rank = Window.orderBy(F.col("cnt").desc(), "_first")
     table = materialise(top.withColumn("idx", F.row_number().over(rank)).select("word", "idx", "cnt"))
     return WordIndex(table, byte_size(table), num_words)

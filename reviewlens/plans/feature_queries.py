@@ -31,11 +31,11 @@ def _joined(ids: str) -> F.Column:
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     words = word_tokens(clean(F.col("text")))
-    return R.labelled_reviews(spark, sf).select("doc_id", F.posexplode(words).alias("pos", "token"))
+    return R.read_documents(spark, sf).select("doc_id", F.posexplode(words).alias("pos", "token"))
 
 
 def ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    counts = term_counts(R.labelled_reviews(spark, sf), KEY, "text", CONFIG.ngram_range)
+    counts = term_counts(R.read_documents(spark, sf), KEY, "text", CONFIG.ngram_range)
     return counts.filter(F.col("term").isNotNull()).select("doc_id", "term", "tf")
 
 
@@ -133,22 +133,29 @@ def _weights(tf: str, model: str) -> list[str]:
     ]
 
 
-_INDEX = [
-    f"c AS (SELECT doc_id, {O.words(O.clean('text'), 1)} AS w FROM documents)",
-    "t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM c)",
-    "k AS (SELECT word, count(*) AS cnt, min(doc_id * 10000000 + pos) AS first_seen FROM t GROUP BY word)",
-    f"""idx AS (SELECT word, CAST(row_number() OVER (ORDER BY cnt DESC, first_seen) AS INTEGER) AS idx, cnt
+def index_ctes(src: str) -> list[str]:
+    """idx: (word, idx, cnt) of the most frequent words of src."""
+    return [
+        f"c AS (SELECT doc_id, {O.words(O.clean('text'), 1)} AS w FROM {src})",
+        "t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM c)",
+        "k AS (SELECT word, count(*) AS cnt, min(doc_id * 10000000 + pos) AS first_seen FROM t GROUP BY word)",
+        f"""idx AS (SELECT word, CAST(row_number() OVER (ORDER BY cnt DESC, first_seen) AS INTEGER) AS idx, cnt
   FROM k ORDER BY cnt DESC, first_seen LIMIT {O.NUM_WORDS - 1})""",
+    ]
+
+
+_INDEX = [
+    *index_ctes("documents"),
     """seq AS (SELECT c.doc_id, coalesce(s.ids, []) AS ids FROM c LEFT JOIN
   (SELECT doc_id, list(idx ORDER BY pos) AS ids FROM t JOIN idx USING (word) GROUP BY doc_id) s USING (doc_id))""",
 ]
 
 ORACLES = {
     "tokens": O.with_ctes(
-        [O.DOCS, *O.term_freq("d", "docs")],
+        [O.EVERY, *O.term_freq("d", "every")],
         "SELECT doc_id, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS token FROM d_u",
     ),
-    "ngrams": O.with_ctes([O.DOCS, *O.term_freq("d", "docs")], "SELECT doc_id, term, tf FROM d_tf"),
+    "ngrams": O.with_ctes([O.EVERY, *O.term_freq("d", "every")], "SELECT doc_id, term, tf FROM d_tf"),
     "vocabulary": O.with_ctes(
         _FIT, "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, ctf FROM bi_m"
     ),

@@ -115,9 +115,12 @@ def score(name: str, model: str, src: str, keys: str = "doc_id", bigrams: bool =
     ]
 
 
-def scored_docs() -> list[str]:
-    """scored: labelled documents scored by the log-odds model fitted on all of them."""
-    return [DOCS, *fit("bi", "docs"), *score("scored", "bi", "docs")]
+EVERY = "every AS (SELECT doc_id, text FROM documents)"
+
+
+def scored_docs(src: str = "docs") -> list[str]:
+    """scored: documents scored by the log-odds model fitted on the labelled ones; src is docs or every."""
+    return [DOCS, EVERY, *fit("bi", "docs"), *score("scored", "bi", src)]
 
 
 MODEL_NAMES = {
@@ -127,24 +130,26 @@ MODEL_NAMES = {
 }
 
 
-def three_models() -> list[str]:
-    """wide: doc_id, label and the score of three models fitted on the labelled documents."""
+def three_models(src: str = "docs") -> list[str]:
+    """wide: doc_id, label (of docs only) and the score of three models fitted on the labelled documents."""
+    label = "b.label, " if src == "docs" else ""
     return [
-        *scored_docs(),
+        *scored_docs(src),
         *fit("uni", "docs", bigrams=False),
-        *score("scored_uni", "uni", "docs", bigrams=False),
-        """wide AS (SELECT b.doc_id, b.label, b.p AS p_tfidf_bigram, s.p AS p_tfidf_unigram,
+        *score("scored_uni", "uni", src, bigrams=False),
+        f"""wide AS (SELECT b.doc_id, {label}b.p AS p_tfidf_bigram, s.p AS p_tfidf_unigram,
   CASE WHEN b.c = '' THEN CAST(0.5 AS DOUBLE) ELSE (pos + 1) / (n + 2) END AS p_class_prior
   FROM scored b JOIN scored_uni s USING (doc_id), bi_n)""",
     ]
 
 
-def long_models() -> list[str]:
+def long_models(src: str = "docs") -> list[str]:
     """long: one row per document and model."""
+    label = "label, " if src == "docs" else ""
     return [
-        *three_models(),
+        *three_models(src),
         "long AS (" + " UNION ALL ".join(
-            f"SELECT doc_id, label, '{k}' AS model_key, '{n}' AS model_name, p_{k} AS p FROM wide"
+            f"SELECT doc_id, {label}'{k}' AS model_key, '{n}' AS model_name, p_{k} AS p FROM wide"
             for k, n in MODEL_NAMES.items()
         ) + ")",
     ]

@@ -55,7 +55,7 @@ def missing_artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _part_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of two tiers fitted on train: one with test figures, one with validation only."""
-    parts = materialise(three_parts(spark, sf).select("doc_id", "text", "label", "split"))
+    parts = three_parts(spark, sf).select("doc_id", "text", "label", "split")
     train = parts.filter("split = 'train'")
     models = tfidf.class_log_odds_models(train, KEY, "text", "label", {
         "baseline": (CONFIG.max_features, CONFIG.ngram_range), "lstm": (CONFIG.max_features, (1, 1)),

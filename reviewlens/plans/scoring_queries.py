@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +9,9 @@ from reviewlens.config import JobConfig
 from reviewlens.functions import decision as D
 from reviewlens.functions.text import strip_whitespace
 from reviewlens.operators import batches, compare, evaluate as E, registry, scorers, tfidf, validate
-from reviewlens.operators import wordpiece as W
 from reviewlens.operators.tfidf import LinearModel
-from reviewlens.operators.vocabulary import fit_word_index
 from reviewlens.plans import oracle as O
 from reviewlens.plans.report_queries import saved_models
-from reviewlens.session import widen
 from reviewlens.sources import models as M
 from reviewlens.sources import reviews as R
 
@@ -34,33 +29,60 @@ def scored_docs(spark: SparkSession, sf: str) -> DataFrame:
     return tfidf.score(docs, KEY, "text", log_odds_model(docs), ["label"])
 
 
-def wide_scores(spark: SparkSession, sf: str, carry: list[str] = ["label"]) -> DataFrame:
-    # A stand-in latency that does not vary from run to run.
-    docs = R.labelled_reviews(spark, sf).withColumn("latency_ms", F.round(F.length("text") / F.lit(100.0), 2))
+def scored_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, scored by the model that was fitted on the labelled ones."""
+    return tfidf.score(R.read_documents(spark, sf), KEY, "text", log_odds_model(R.labelled_reviews(spark, sf)))
+
+
+def three_scorers(docs: DataFrame) -> list[LinearModel]:
     models = tfidf.class_log_odds_models(docs, KEY, "text", "label", {
         "tfidf_bigram": (CONFIG.max_features, CONFIG.ngram_range),
         "tfidf_unigram": (CONFIG.max_features, (1, 1)),
     })
     vocab = models[0].vocab
-    models.append(tfidf.class_prior_model(vocab.n_docs, vocab.n_pos))
-    return tfidf.score_models(docs, KEY, "text", models, carry)
+    return [*models, tfidf.class_prior_model(vocab.n_docs, vocab.n_pos)]
+
+
+def wide_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the scores of three models fitted on the labelled ones."""
+    return tfidf.score_models(R.read_documents(spark, sf), KEY, "text", three_scorers(R.labelled_reviews(spark, sf)))
+
+
+def wide_scores(spark: SparkSession, sf: str, carry: list[str] = ["label"]) -> DataFrame:
+    # A stand-in latency that does not vary from run to run.
+    docs = R.labelled_reviews(spark, sf).withColumn("latency_ms", F.round(F.length("text") / F.lit(100.0), 2))
+    return tfidf.score_models(docs, KEY, "text", three_scorers(docs), carry)
 
 
 def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_docs(spark, sf).select("doc_id", "label", F.round("p_pos", 6).alias("p_pos"))
+    return scored_all(spark, sf).select("doc_id", F.round("p_pos", 6).alias("p_pos"))
+
+
+def score_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whole, and reduced to their first tag, which cleaning leaves empty and so undecided."""
+    pages = R.read_pages(spark, sf)
+    rows = pages.select("page_id", F.lit("page").alias("part"), F.col("html").alias("text")).unionByName(
+        pages.select("page_id", F.lit("tag").alias("part"), F.regexp_extract("html", "<[^>]+>", 0).alias("text")))
+    scored = tfidf.score(rows, ["page_id", "part"], "text", log_odds_model(R.labelled_reviews(spark, sf)))
+    return scored.select("page_id", "part", F.round("p_pos", 6).alias("p_pos"))
 
 
 def decide(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_docs(spark, sf).select("doc_id", D.prediction(F.col("p_pos")).alias("p")).select(
+    return scored_all(spark, sf).select("doc_id", D.prediction(F.col("p_pos")).alias("p")).select(
         "doc_id", "p.label", "p.confidence", "p.probabilities.positive", "p.probabilities.negative", "p.latency_ms"
     )
 
 
 def legacy_decide(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document; those without a score count as failed."""
-    scored = scored_docs(spark, sf).select("doc_id", "p_pos")
-    docs = R.read_documents(spark, sf).select("doc_id", strip_whitespace(F.lower("text")).alias("text"))
-    return docs.join(scored, "doc_id", "left").select(
+    """Every document and, with its text blanked to a space or to nothing, every page; only the raw text decides
+    what is empty, and what has no score counts as failed."""
+    docs = R.read_documents(spark, sf).select("doc_id", "text").unionByName(
+        R.read_pages(spark, sf).select(
+            (-1 - F.col("page_id")).alias("doc_id"),
+            F.when(F.col("html").contains("&"), " ").otherwise("").alias("text")))
+    tidy = docs.withColumn("tidy", strip_whitespace(F.lower("text")))
+    scored = tfidf.score(tidy, KEY, "tidy", log_odds_model(R.labelled_reviews(spark, sf)), ["text"])
+    return scored.select(
         "doc_id",
         D.legacy_verdict(F.col("text"), F.col("p_pos")).alias("sentiment"),
         F.round(D.legacy_confidence(F.col("text"), F.col("p_pos")), 6).alias("confidence"),
@@ -100,46 +122,15 @@ def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-class LetterShare:
-    """Stand-in scorer: the share of the letter e, moved off 0 and 1."""
-
-    name = "letter share"
-
-    def load(self) -> None:
-        pass
-
-    def predict(self, cleaned: pd.Series) -> np.ndarray:
-        return ((1.0 + cleaned.str.count("e")) / (2.0 + cleaned.str.len())).to_numpy()
-
-
 def scorer_map(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scorers.score_texts(widen(R.read_documents(spark, sf), KEY), KEY, "text", LetterShare())
+    """The linear model as a plugged-in scorer over every document."""
+    scorer = scorers.LinearScorer.of(log_odds_model(R.labelled_reviews(spark, sf)))
+    scored = scorers.score_texts(R.read_documents(spark, sf), KEY, "text", scorer)
     return scored.select(
         "doc_id", "model_name", F.round("p_pos", 6).alias("p_pos"), (F.col("latency_ms") >= 0).alias("timed")
     )
 
 
-class CountingSession:
-    """Stand-in for a model session: logits from the number and the sum of real ids."""
-
-    def run(self, outputs: list[str] | None, inputs: dict[str, np.ndarray]) -> list[np.ndarray]:
-        mask = inputs["attention_mask"]
-        total = (inputs["input_ids"] * mask).sum(axis=1)
-        return [np.stack([mask.sum(axis=1) / 256.0, (total % 1000) / 1000.0], axis=1)]
-
-
-def onnx_score(spark: SparkSession, sf: str) -> DataFrame:
-    docs = R.read_documents(spark, sf)
-    pieces = W.piece_vocabulary(fit_word_index(docs, "doc_id", "text", CONFIG.num_words))
-    scored = scorers.score_logits(widen(docs, KEY), KEY, "text", pieces, CONFIG.max_length, CountingSession)
-    return scored.select(
-        "doc_id",
-        F.round("logit_neg", 6).alias("logit_neg"),
-        F.round("logit_pos", 6).alias("logit_pos"),
-        F.round("p_pos", 6).alias("p_pos"),
-    )
-
-
 def model_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation turn asks for a model by its role; the folder decides what there is."""
     requests = R.read_conversations(spark, sf).select(
@@ -152,24 +143,24 @@ def model_choice(spark: SparkSession, sf: str) -> DataFrame:
     available = registry.availability(
         registry.registry_table(spark), registry.required_artifacts(spark), M.list_artifacts(spark, folder)
     )
-    return registry.choose_models(requests, "requested", available, default="lstm")
+    return registry.choose_models(requests, "requested", available, default=CONFIG.default_model)
 
 
 def compare_models(spark: SparkSession, sf: str) -> DataFrame:
-    long = compare.to_long(wide_scores(spark, sf), KEY, MODELS)
+    long = compare.to_long(wide_all(spark, sf), KEY, MODELS)
     return long.withColumn("p_pos", F.round("p_pos", 6))
 
 
 def disagreement(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.disagreement(wide_scores(spark, sf), KEY, list(MODELS))
+    return compare.disagreement(wide_all(spark, sf), KEY, list(MODELS))
 
 
 def disagreement_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.disagreement_pattern(wide_scores(spark, sf), KEY, list(MODELS))
+    return compare.disagreement_pattern(wide_all(spark, sf), KEY, list(MODELS))
 
 
 def confidence_band(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scored_docs(spark, sf).select("doc_id", F.round(D.confidence(F.col("p_pos")), 4).alias("confidence"))
+    scored = scored_all(spark, sf).select("doc_id", F.round(D.confidence(F.col("p_pos")), 4).alias("confidence"))
     return scored.select(
         "doc_id", "confidence",
         D.confidence_signal(F.col("confidence")).alias("signal"),
@@ -180,12 +171,12 @@ def confidence_band(spark: SparkSession, sf: str) -> DataFrame:
 def verdict_roles(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("p_pos")
     roles = D.verdict_roles(D.verdict(p), F.round(p, 4), F.round(1.0 - p, 4))
-    return scored_docs(spark, sf).select("doc_id", F.inline(roles))
+    return scored_all(spark, sf).select("doc_id", F.inline(roles))
 
 
 def formatted_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Shown figures of every document; one without a score shows dashes."""
-    scored = scored_docs(spark, sf).select("doc_id", F.round(D.confidence(F.col("p_pos")), 4).alias("c"))
+    """Shown figures of every document."""
+    scored = scored_all(spark, sf).select("doc_id", F.round(D.confidence(F.col("p_pos")), 4).alias("c"))
     docs = R.read_documents(spark, sf).select("doc_id", "n_chars")
     return docs.join(scored, "doc_id", "left").select(
         "doc_id",
@@ -260,42 +251,50 @@ def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        linear_scores, decide, legacy_decide, softmax2, argmax_class, batch_predict, scorer_map, onnx_score,
-        model_choice, compare_models, disagreement, disagreement_pattern, confidence_band, verdict_roles,
+        linear_scores, score_markup, decide, legacy_decide, softmax2, argmax_class, batch_predict, scorer_map, model_choice, compare_models, disagreement, disagreement_pattern, confidence_band, verdict_roles,
         formatted_report, validate_texts, validate_batches, confusion_counts, binary_metrics, class_report,
         confusion_matrix, log_loss, eval_by_model, evaluation_report, latency_stats,
     )
 }
 
 _SCORED = O.scored_docs()
+_ALL = O.scored_docs("every")
 _CM = [*_SCORED, O.confusion("scored")]
 _CONF = f"round({O.confidence('p')}, 4)"
 
 
-def _wordpiece_rows() -> str:
-    from reviewlens.plans.feature_queries import ORACLES
-
-    return ORACLES["wordpiece"]
-
-
 def _report_row(name: str, p: str, r: str, n: str) -> str:
     f1 = O.ratio(f"2.0 * {p} * {r}", f"({p} + {r})")
     return f"SELECT '{name}' AS class, {p} AS p, {r} AS r, {f1} AS f, CAST({n} AS BIGINT) AS support FROM cm"
 
 
 ORACLES = {
-    "linear_scores": O.with_ctes(_SCORED, "SELECT doc_id, label, round(p, 6) AS p_pos FROM scored"),
+    "linear_scores": O.with_ctes(_ALL, "SELECT doc_id, round(p, 6) AS p_pos FROM scored"),
+    "score_markup": O.with_ctes(
+        [
+            O.DOCS,
+            *O.fit("bi", "docs"),
+            """rows AS (SELECT page_id, 'page' AS part, html AS text FROM pages
+  UNION ALL SELECT page_id, 'tag', regexp_extract(html, '<[^>]+>') FROM pages)""",
+            *O.score("scored", "bi", "rows", "page_id, part"),
+        ],
+        "SELECT page_id, part, round(p, 6) AS p_pos FROM scored",
+    ),
     "decide": O.with_ctes(
-        _SCORED,
+        _ALL,
         f"""SELECT doc_id, {O.verdict('p')} AS label, {_CONF} AS confidence, round(p, 4) AS positive,
   round(1.0 - p, 4) AS negative, CAST(0.0 AS DOUBLE) AS latency_ms FROM scored""",
     ),
     "legacy_decide": O.with_ctes(
-        _SCORED,
-        f"""SELECT d.doc_id, CASE WHEN d.text = '' THEN 'neutral' WHEN p IS NULL THEN 'error' ELSE {O.verdict('p')} END AS sentiment,
-  CASE WHEN d.text = '' THEN 0.5 ELSE round(coalesce(p, 0.0), 6) END AS confidence
-FROM (SELECT doc_id, regexp_replace(lower(text), '^[{O.WHITESPACE}]+|[{O.WHITESPACE}]+$', '', 'g') AS text FROM documents) d
-LEFT JOIN scored s ON d.doc_id = s.doc_id""",
+        [
+            O.DOCS,
+            *O.fit("bi", "docs"),
+            """rows AS (SELECT doc_id, text, text AS raw FROM documents
+  UNION ALL SELECT -1 - page_id, t, t FROM (SELECT page_id, CASE WHEN contains(html, '&') THEN ' ' ELSE '' END AS t FROM pages))""",
+            *O.score("scored", "bi", "rows"),
+        ],
+        f"""SELECT doc_id, CASE WHEN raw = '' THEN 'neutral' WHEN p IS NULL THEN 'error' ELSE {O.verdict('p')} END AS sentiment,
+  CASE WHEN raw = '' THEN 0.5 ELSE round(coalesce(p, 0.0), 6) END AS confidence FROM scored""",
     ),
     "softmax2": O.with_ctes(
         [
@@ -321,19 +320,8 @@ LEFT JOIN scored s ON d.doc_id = s.doc_id""",
 FROM b JOIN g USING (conv_id)""",
     ),
     "scorer_map": O.with_ctes(
-        [f"c AS (SELECT doc_id, {O.clean('text')} AS c FROM documents)"],
-        """SELECT doc_id, 'letter share' AS model_name, CASE WHEN c = '' THEN 0.5 ELSE
-  round((1.0 + length(c) - length(replace(c, 'e', ''))) / CAST(2.0 + length(c) AS DOUBLE), 6) END AS p_pos, true AS timed FROM c""",
-    ),
-    "onnx_score": O.with_ctes(
-        [
-            f"e AS ({_wordpiece_rows()})",
-            """l AS (SELECT doc_id, n_real, n_real / CAST(256 AS DOUBLE) AS a,
-  (list_sum(list_transform(string_split(input_ids, ' '), lambda s: CAST(s AS BIGINT))) % 1000) / CAST(1000 AS DOUBLE) AS b FROM e)""",
-            "s AS (SELECT *, exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS p FROM l)",
-        ],
-        """SELECT doc_id, round(a, 6) AS logit_neg, round(b, 6) AS logit_pos,
-  CASE WHEN n_real = 2 THEN 0.5 ELSE round(p, 6) END AS p_pos FROM s""",
+        _ALL,
+        "SELECT doc_id, 'TF-IDF + Logistic Regression' AS model_name, round(p, 6) AS p_pos, true AS timed FROM scored",
     ),
     "model_choice": O.with_ctes(
         ["""r AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN '' WHEN 'assistant' THEN
@@ -342,38 +330,38 @@ FROM b JOIN g USING (conv_id)""",
   CAST(CASE WHEN requested IN ('', 'baseline') THEN 200 ELSE 404 END AS INTEGER) AS status FROM r""",
     ),
     "compare_models": O.with_ctes(
-        O.long_models(),
+        O.long_models("every"),
         f"""SELECT doc_id, model_key, model_name, round(p, 6) AS p_pos, {O.verdict('p')} AS verdict,
   {_CONF} AS confidence FROM long""",
     ),
     "disagreement": O.with_ctes(
-        O.three_models(),
+        O.three_models("every"),
         "SELECT doc_id, " + ", ".join(f"{O.verdict(f'p_{m}')} AS verdict_{m}" for m in O.MODEL_NAMES) + ", "
         + "CAST(len(list_distinct([" + ", ".join(O.verdict(f"p_{m}") for m in O.MODEL_NAMES) + "])) AS BIGINT) AS n_verdicts, "
         + "round(greatest(" + ", ".join(f"p_{m}" for m in O.MODEL_NAMES) + ") - least("
         + ", ".join(f"p_{m}" for m in O.MODEL_NAMES) + "), 6) AS spread FROM wide",
     ),
     "disagreement_pattern": O.with_ctes(
-        O.three_models(),
+        O.three_models("every"),
         "SELECT " + ", ".join(f"{O.verdict(f'p_{m}')} AS verdict_{m}" for m in O.MODEL_NAMES)
         + ", count(*) AS n_texts FROM wide GROUP BY ALL",
     ),
     "confidence_band": O.with_ctes(
-        [*_SCORED, f"c AS (SELECT doc_id, {_CONF} AS confidence FROM scored)"],
+        [*_ALL, f"c AS (SELECT doc_id, {_CONF} AS confidence FROM scored)"],
         """SELECT doc_id, confidence,
   CAST(CASE WHEN confidence >= 0.85 THEN 3 WHEN confidence >= 0.65 THEN 2 WHEN confidence >= 0.5 THEN 1 ELSE 0 END AS INTEGER) AS signal,
   CASE WHEN confidence >= 0.85 THEN 'High confidence' WHEN confidence >= 0.65 THEN 'Moderate confidence'
     WHEN confidence >= 0.5 THEN 'Low confidence' ELSE 'No signal' END AS band FROM c""",
     ),
     "verdict_roles": O.with_ctes(
-        _SCORED,
+        _ALL,
         """SELECT doc_id, 'positive' AS class, CASE WHEN p > 0.5 THEN 'Selected verdict' ELSE 'Alternate class' END AS role,
   round(p, 4) AS probability FROM scored
 UNION ALL SELECT doc_id, 'negative', CASE WHEN p > 0.5 THEN 'Alternate class' ELSE 'Selected verdict' END,
   round(1.0 - p, 4) FROM scored""",
     ),
     "formatted_report": O.with_ctes(
-        [*_SCORED, f"c AS (SELECT doc_id, {_CONF} AS c FROM scored)"],
+        [*_ALL, f"c AS (SELECT doc_id, {_CONF} AS c FROM scored)"],
         f"""SELECT d.doc_id, {O.percent('c')} AS confidence, {O.fixed('c', 3, missing='N/A')} AS confidence_3,
   {O.fixed('n_chars / CAST(100.0 AS DOUBLE)', 1, ' ms')} AS latency
 FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""",

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import schemas
 from reviewlens.config import JobConfig
-from reviewlens.operators import report, tfidf, training as T
-from reviewlens.operators.scorers import LinearScorer
+from reviewlens.operators import registry, report, tfidf, training as T
 from reviewlens.plans import oracle as O
 from reviewlens.plans.text_queries import _train_val, three_parts
-from reviewlens.session import materialise
+from reviewlens.plans.feature_queries import index_ctes
+from reviewlens.session import scratch_path
+from reviewlens.sources import models as M
 from reviewlens.sources import reviews as R
 from reviewlens.streaming import reviews as ST
 
@@ -19,67 +22,124 @@ CONFIG = JobConfig()
 
 
 def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = materialise(_train_val(spark, sf).select("doc_id", "text", "label", "split"))
+    """The cuts are small tables; the texts are read from their source wherever they are needed."""
+    docs = _train_val(spark, sf).select("doc_id", "text", "label", "split")
     return docs.filter("split = 'train'"), docs.filter("split = 'val'")
 
 
+def _within(value: F.Column, other: F.Column, gap: float) -> F.Column:
+    return F.max(F.abs(value - other)) < gap
+
+
 def train_logreg(spark: SparkSession, sf: str) -> DataFrame:
-    """Validation scores of the trained classifier."""
+    """What holds at the optimum, and for the model in its three forms: fitted, relational, saved and loaded.
+
+    With a free intercept the mean predicted probability on train is the positive share.
+    """
     train, val = _parts(spark, sf)
     trained = T.train_logreg(train, "doc_id", "text", "label", CONFIG)
-    scored = tfidf.score(val, ["doc_id"], "text", trained.model, ["label"])
-    return scored.select("doc_id", "label", F.round("p_pos", 4).alias("p_pos"))
+    folder = scratch_path(spark, "trained") + "/baseline"
+    M.save_linear_model(trained.model, folder)
+    loaded = replace(M.load_linear_model(spark, folder), key="loaded")
+    both = tfidf.score_models(train, ["doc_id"], "text", [trained.model, loaded], ["label"])
+    vectors = tfidf.vector_table(train, ["doc_id"], "text", trained.model.vocab, ["label"])
+    fitted = T.class_probability(trained.classifier.transform(vectors)).select("doc_id", F.col("p_pos").alias("p_ml"))
+    p = F.col("p_baseline")
+    return both.join(fitted, "doc_id").agg(
+        F.count("*").alias("n_train"),
+        F.round(F.avg(p), 3).alias("mean_p"),
+        (F.abs(F.avg(p - F.col("label"))) < 1e-3).alias("balanced"),
+        _within(p, F.col("p_ml"), 1e-6).alias("same_as_fitted"),
+        _within(p, F.col("p_loaded"), 1e-9).alias("same_reloaded"),
+    ).withColumn("vocab_size", F.lit(trained.model.vocab.size).cast("long")).withColumn("n_val", F.lit(val.count()).cast("long"))
 
 
 def train_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The saved figures, with the accuracies counted again from the fitted classifier's own predictions."""
     train, val = _parts(spark, sf)
     trained = T.train_logreg(train, "doc_id", "text", "label", CONFIG)
-    return T.baseline_metrics(trained, {"train": train, "val": val}, "doc_id", "text", "label", CONFIG)
+    row = T.baseline_metrics(trained, {"train": train, "val": val}, "doc_id", "text", "label", CONFIG)
+    for name, part in (("train", train), ("val", val)):
+        vectors = tfidf.vector_table(part, ["doc_id"], "text", trained.model.vocab, ["label"])
+        own = trained.classifier.transform(vectors).agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        row = row.withColumn(f"{name}_accuracy_ok", F.abs(F.col(f"{name}_accuracy") - F.lit(own)) < 1e-9)
+    return row.select(
+        "model", "vocab_size", "max_features", F.array_join(F.transform("ngram_range", lambda n: n.cast("string")), "-").alias("ngrams"),
+        "C", "train_accuracy_ok", "val_accuracy_ok", (F.col("training_time_seconds") > 0).alias("timed"))
 
 
 def train_embedding_mlp(spark: SparkSession, sf: str) -> DataFrame:
-    """Validation scores of the embedding tier."""
+    """Validation texts with the number of known words the embedding tier reads, and whether it gives a probability."""
     train, val = _parts(spark, sf)
     trained = T.train_embedding(train, val, "doc_id", "text", "label", CONFIG)
-    scored = T.score_embedding(val, "doc_id", "text", "label", trained, CONFIG)
-    return scored.select("doc_id", "label", F.round("p_pos", 4).alias("p_pos"))
+    scored = T.score_embedding(val, "doc_id", "text", "label", trained, CONFIG).select("doc_id", "p_pos")
+    read = T.last_words(val, "doc_id", "text", "label", trained.index, CONFIG.max_len)
+    return read.join(scored, "doc_id", "left").select(
+        "doc_id", "label", F.size("words").cast("long").alias("n_words"), F.col("p_pos").between(0.0, 1.0).alias("scored"))
 
 
 def early_stop_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the rounds kept to the rules: numbered from 1, the least validation loss kept, stopped in time."""
     train, val = _parts(spark, sf)
     trained = T.train_embedding(train, val, "doc_id", "text", "label", CONFIG)
-    return T.history_table(trained).withColumn("is_best", F.col("epoch") == trained.best_epoch)
+    history = T.history_table(trained)
+    n, best = F.count("*"), F.lit(trained.best_epoch)
+    facts = history.agg(
+        ((F.min("epoch") == 1) & (F.max("epoch") == n) & (n <= CONFIG.epochs)).alias("numbered"),
+        (F.min_by("epoch", F.struct("val_loss", "epoch")) == best).alias("best_has_least_loss"),
+        ((n == CONFIG.epochs) | (n - best == CONFIG.patience)).alias("stopped_in_time"),
+        F.every(F.col("loss").between(0, 50) & F.col("val_loss").between(0, 50)
+                & F.col("accuracy").between(0, 1) & F.col("val_accuracy").between(0, 1)).alias("in_range"),
+    )
+    return facts.withColumn("n_val", F.lit(val.count()).cast("long"))
 
 
 def train_all(spark: SparkSession, sf: str) -> DataFrame:
-    splits = materialise(three_parts(spark, sf).select("doc_id", "text", "label", "split"))
-    return report.training_summary(T.train_targets("all", splits, "doc_id", "text", "label", CONFIG))
-
-
-def _scored_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, LinearScorer]:
+    """Train, save, find available, load, score: the loaded models must reach the accuracies that were saved."""
+    splits = three_parts(spark, sf).select("doc_id", "text", "label", "split")
+    folder = scratch_path(spark, "trained")
+    summary = report.training_summary(T.train_targets("all", splits, "doc_id", "text", "label", CONFIG, folder))
+    table = registry.registry_table(spark)
+    there = registry.availability(table, registry.required_artifacts(spark), M.list_artifacts(spark, folder))
+    saved = M.read_metrics(spark, folder, table).select("model_key", F.coalesce("test_accuracy", "val_accuracy").alias("saved"), "model")
+    test, val = splits.filter("split = 'test'"), splits.filter("split = 'val'")
+    linear = tfidf.score(test, ["doc_id"], "text", M.load_linear_model(spark, f"{folder}/baseline"), ["label"])
+    network = M.load_embedding_model(spark, f"{folder}/lstm", CONFIG.num_words)
+    embedded = T.score_embedding(val, "doc_id", "text", "label", network, CONFIG)
+    hit = (F.col("p_pos") > 0.5).cast("int") == F.col("label")
+    counted = None
+    for key, scored in (("baseline", linear), ("lstm", embedded)):
+        row = scored.agg(F.count("*").alias("n_scored"), F.avg(hit.cast("double")).alias("own")).withColumn("model_key", F.lit(key))
+        counted = row if counted is None else counted.unionByName(row)
+    return there.join(saved, "model_key").join(summary.select("model", "measure"), "model").join(counted, "model_key").select(
+        "model_key", "available", "measure", "n_scored", (F.abs(F.col("own") - F.col("saved")) < 1e-9).alias("as_saved"))
+
+
+def _score_stream(spark: SparkSession, sf: str, labels: DataFrame | None = None) -> str:
     docs = R.labelled_reviews(spark, sf)
     model = tfidf.class_log_odds_model(docs, ["doc_id"], "text", "label", CONFIG.max_features, CONFIG.ngram_range)
     # A file stream needs a pattern, not a single file.
-    return ST.read_stream(spark, f"{sf}/documents*.parquet", schemas.REVIEWS), LinearScorer.of(model)
+    stream = ST.read_stream(spark, f"{sf}/documents*.parquet", schemas.REVIEWS)
+    return ST.score_available(
+        spark, stream, ["doc_id"], "text", model, CONFIG.text_min_chars, CONFIG.text_max_chars, labels)
 
 
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    stream, scorer = _scored_stream(spark, sf)
-    scored = ST.score_available(
-        spark, stream, ["doc_id"], "text", scorer, CONFIG.text_min_chars, CONFIG.text_max_chars
-    )
+    """Every document with its status; the rejected ones without a prediction."""
+    schema = ST.scored_schema(R.read_documents(spark, sf), ["doc_id"])
+    scored = ST.read_scores(spark, _score_stream(spark, sf), schema)
     return scored.select(
-        "doc_id", F.round("p_pos", 6).alias("p_pos"), "prediction.label", "prediction.confidence"
+        "doc_id", "status", "reason", F.round("p_pos", 6).alias("p_pos"), "prediction.label", "prediction.confidence"
     )
 
 
 def stream_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    stream, scorer = _scored_stream(spark, sf)
-    scored = ST.score_stream(
-        stream, ["doc_id"], "text", scorer, CONFIG.text_min_chars, CONFIG.text_max_chars
-    )
-    labelled = ST.with_labels(scored, R.read_labels(spark, sf), "doc_id")
-    return ST.counts_available(spark, labelled, ["model_name"])
+    """A second stream over what the first one wrote keeps the counts."""
+    schema = ST.scored_schema(R.read_documents(spark, sf), ["doc_id"], labelled=True)
+    path = _score_stream(spark, sf, R.read_labels(spark, sf))
+    scored = ST.read_stream(spark, f"{path}/batch=*", spark.createDataFrame([], schema).schema)
+    return ST.counts_available(spark, scored.filter("p_pos IS NOT NULL AND label IS NOT NULL"), ["model_key"])
 
 
 QUERIES = {
@@ -90,7 +150,43 @@ QUERIES = {
     )
 }
 
+_TRAIN = [
+    O.DOCS, O.train_val("s", "docs"),
+    "tr AS (SELECT * FROM s WHERE split = 'train')", "va AS (SELECT * FROM s WHERE split = 'val')",
+]
+_FLAGS = "true AS balanced, true AS same_as_fitted, true AS same_reloaded"
+
 ORACLES = {
+    "train_logreg": O.with_ctes(
+        [*_TRAIN, *O.fit("bi", "tr")],
+        f"""SELECT (SELECT count(*) FROM tr) AS n_train, (SELECT round(avg(label), 3) FROM tr) AS mean_p, {_FLAGS},
+  (SELECT count(*) FROM bi_m) AS vocab_size, (SELECT count(*) FROM va) AS n_val""",
+    ),
+    "train_metrics": O.with_ctes(
+        [*_TRAIN, *O.fit("bi", "tr")],
+        """SELECT 'TF-IDF + Logistic Regression' AS model, count(*) AS vocab_size, CAST(50000 AS INTEGER) AS max_features,
+  '1-2' AS ngrams, CAST(1.0 AS DOUBLE) AS C, true AS train_accuracy_ok, true AS val_accuracy_ok, true AS timed FROM bi_m""",
+    ),
+    "train_embedding_mlp": O.with_ctes(
+        [
+            *_TRAIN,
+            *index_ctes("tr"),
+            f"vw AS (SELECT doc_id, label, {O.words(O.clean('text'), 1)} AS w FROM va)",
+            "vk AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM vw) JOIN idx USING (word) GROUP BY doc_id)",
+        ],
+        """SELECT doc_id, label, least(coalesce(n, 0), 200) AS n_words, true AS scored FROM vw LEFT JOIN vk USING (doc_id)""",
+    ),
+    "early_stop_history": O.with_ctes(
+        _TRAIN,
+        """SELECT true AS numbered, true AS best_has_least_loss, true AS stopped_in_time, true AS in_range, count(*) AS n_val
+FROM va""",
+    ),
+    "train_all": O.with_ctes(
+        [O.DOCS, *O.three_parts("s", "docs")],
+        """SELECT 'baseline' AS model_key, true AS available, 'test_accuracy' AS measure, count(*) AS n_scored, true AS as_saved
+FROM s WHERE split = 'test'
+UNION ALL SELECT 'lstm', true, 'val_accuracy', count(*), true FROM s WHERE split = 'val'""",
+    ),
     "stream_score": O.with_ctes(
         [
             O.DOCS,
@@ -98,8 +194,11 @@ ORACLES = {
             "ok AS (SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 1 AND 5000)",
             *O.score("scored", "bi", "ok"),
         ],
-        f"""SELECT doc_id, round(p, 6) AS p_pos, {O.verdict('p')} AS label, round({O.confidence('p')}, 4) AS confidence
-FROM scored""",
+        f"""SELECT d.doc_id, CAST(CASE WHEN s.doc_id IS NULL THEN 422 ELSE 200 END AS INTEGER) AS status,
+  CASE WHEN d.text IS NULL THEN 'missing' WHEN length(d.text) < 1 THEN 'too_short' WHEN length(d.text) > 5000 THEN 'too_long'
+    ELSE 'ok' END AS reason, round(p, 6) AS p_pos, CASE WHEN s.doc_id IS NOT NULL THEN {O.verdict('p')} END AS label,
+  round({O.confidence('p')}, 4) AS confidence
+FROM documents d LEFT JOIN scored s ON d.doc_id = s.doc_id""",
     ),
     "stream_confusion": O.with_ctes(
         [
@@ -109,6 +208,6 @@ FROM scored""",
             *O.score("scored", "bi", "ok"),
             O.confusion("scored"),
         ],
-        "SELECT 'TF-IDF + Logistic Regression' AS model_name, * FROM cm",
+        "SELECT 'log_odds' AS model_key, * FROM cm",
     ),
 }

@@ -64,6 +64,11 @@ METRICS = T.StructType([
     T.StructField("max_len", T.IntegerType()),
     T.StructField("embedding_dim", T.IntegerType()),
     T.StructField("hidden_units", T.IntegerType()),
+    T.StructField("lstm_units", T.IntegerType()),
+    T.StructField("dropout_rate", T.DoubleType()),
+    T.StructField("batch_size", T.IntegerType()),
+    T.StructField("base_model", T.StringType()),
+    T.StructField("num_epochs", T.IntegerType()),
     T.StructField("max_length", T.IntegerType()),
     T.StructField("classification_report", T.MapType(T.StringType(), CLASS_SCORES)),
 ])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,8 +20,9 @@ SALTS = 32
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a fresh temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a fresh temporary
+    folder stands in for it in local mode only and goes when the process ends; on a cluster it
+    would be another folder on every machine, so there the job stops.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,7 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named.rstrip("/")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewlens-"))
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="reviewlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")
 
 

@@ -8,6 +8,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from reviewlens.operators.tfidf import LinearModel
@@ -17,6 +18,9 @@ from reviewlens.schemas import METRICS
 from reviewlens.session import byte_size
 
 
+REPORT = "classification_report"
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -88,17 +92,29 @@ def save_metrics(metrics: DataFrame, folder: str) -> None:
 def read_metrics(spark: SparkSession, model_dir: str, registry: DataFrame) -> DataFrame:
     """(model_key, metrics columns) of every registered model that has metrics.
 
+    They lie beside the artefacts, as ``metrics.json`` or in a folder ``metrics``; one file is one record,
+    indented or not. Unknown keys are passed over, a malformed file fails the read.
     A model without a metrics file has no row; joined to the registry it shows as null.
     """
-    files = spark.read.schema(METRICS).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.json"
-    ).json(model_dir)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/metrics/[^/]+$", 1)
-    return (
-        files.withColumn("artifact_dir", folder)
-        .join(F.broadcast(registry.select("artifact_dir", "model_key")), "artifact_dir")
-        .drop("artifact_dir")
-    )
+    # A nested report holds records per class and a plain number for the accuracy, so its values are read as text.
+    nested = T.MapType(T.StringType(), T.StringType())
+    schema = T.StructType([T.StructField(f.name, nested if f.name == REPORT else f.dataType) for f in METRICS.fields])
+    files = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "FAILFAST").option(
+        "multiLine", True).option("pathGlobFilter", "*.json").json(model_dir)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/(?:metrics/[^/]+|metrics\.json)$", 1)
+    own = files.withColumn("artifact_dir", folder).filter("artifact_dir <> ''").withColumn(
+        REPORT, F.transform_values(REPORT, lambda name, value: class_scores(value)))
+    return own.join(F.broadcast(registry.select("artifact_dir", "model_key")), "artifact_dir").drop("artifact_dir")
+
+
+def class_scores(value: Column) -> Column:
+    """One entry of a classification report: a record with ``f1-score`` or ``f1_score``, or the accuracy alone."""
+    record = F.from_json(value, "precision double, recall double, `f1-score` double, f1_score double, support double")
+    alone = value.try_cast("double")
+    return F.struct(
+        record["precision"].alias("precision"), record["recall"].alias("recall"),
+        F.coalesce(record["f1-score"], record["f1_score"], alone).alias("f1_score"),
+        record["support"].cast("long").alias("support"))
 
 
 def list_artifacts(spark: SparkSession, model_dir: str) -> DataFrame:

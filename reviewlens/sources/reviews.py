@@ -37,8 +37,11 @@ def labelled_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def in_test_part(source: Column) -> Column:
-    """The data's own train/test division: sources numbered 10 and up are the test part."""
-    return F.regexp_extract(source, r"(\d+)$", 1).cast("int") >= 10
+    """The data's own train/test division: sources numbered 10 and up are the test part.
+
+    A source that is null or has no number at its end belongs to the rest.
+    """
+    return F.coalesce(F.regexp_extract(source, r"(\d+)$", 1).try_cast("decimal(38,0)") >= 10, F.lit(False))
 
 
 def read_review_csv(spark: SparkSession, *paths: str) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from reviewlens.functions.decision import prediction
 from reviewlens.operators.evaluate import confusion_counts, with_prediction
-from reviewlens.operators.scorers import Scorer, score_texts, with_prediction_record
-from reviewlens.operators.validate import accepted, validate_texts
+from reviewlens.operators.tfidf import LinearModel, score
+from reviewlens.operators.validate import validate_texts
 from reviewlens.session import scratch_path
 
 
@@ -23,31 +24,64 @@ def read_stream(spark: SparkSession, pattern: str, schema: T.StructType, files_p
     return reader.parquet(pattern)
 
 
-def score_stream(
-    reviews: DataFrame, keys: list[str], text: str, scorer: Scorer, low: int, high: int
+def score_batch(
+    batch: DataFrame, keys: list[str], text: str, model: LinearModel, low: int, high: int, labels: DataFrame | None = None
 ) -> DataFrame:
-    """Validate, clean and score; stateless, so append mode and restarts are exact."""
-    fit_to_score = accepted(validate_texts(reviews, text, low, high))
-    return with_prediction_record(score_texts(fit_to_score, keys, text, scorer))
+    """Every row with status and reason; scores (p_pos, prediction) of the accepted ones, null for the rest.
+
+    Scoring is the same relational job that scores tables, so the model's vocabulary may have any size. With
+    ``labels`` (keys, quality) a known label is added; of that table only the batch's key range is read.
+    """
+    checked = validate_texts(batch, text, low, high).withColumn(text, F.when(F.col("valid"), F.col(text)))
+    scored = score(checked, keys, text, model, ["status", "reason"])
+    fit = F.col("status") == 200
+    out = scored.select(
+        *keys, "status", "reason", F.lit(model.key).alias("model_key"), F.when(fit, F.col("p_pos")).alias("p_pos"),
+        F.when(fit, prediction(F.col("p_pos"))).alias("prediction"))
+    if labels is None:
+        return out
+    ends = batch.agg(F.min(keys[0]), F.max(keys[0])).first()
+    known = labels.filter(F.col(keys[0]).between(*ends)).select(*keys, F.col("quality").alias("label"))
+    return out.join(known, keys, "left")
+
+
+def score_to(
+    reviews: DataFrame, keys: list[str], text: str, model: LinearModel, low: int, high: int, path: str, checkpoint: str,
+    labels: DataFrame | None = None,
+) -> StreamingQuery:
+    """Score micro-batches into one folder each; a batch that is run again overwrites its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = score_batch(batch, keys, text, model, low, high, labels)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-
-def append_to(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to parquet; the sink's log makes every row appear once."""
     return (
-        scored.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
+        reviews.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
+def scored_schema(reviews: DataFrame, keys: list[str], labelled: bool = False) -> str:
+    own = ", ".join(f"`{k}` {reviews.schema[k].dataType.simpleString()}" for k in keys)
+    return (
+        f"{own}, status int, reason string, model_key string, p_pos double, prediction struct<label: string, "
+        "confidence: double, probabilities: struct<positive: double, negative: double>, latency_ms: double>"
+        + (", label int" if labelled else "")
+    )
+
+
 def score_available(
-    spark: SparkSession, reviews: DataFrame, keys: list[str], text: str, scorer: Scorer, low: int, high: int
-) -> DataFrame:
-    """Run the stream over everything there now and read back what it wrote."""
+    spark: SparkSession, reviews: DataFrame, keys: list[str], text: str, model: LinearModel, low: int, high: int,
+    labels: DataFrame | None = None,
+) -> str:
+    """Run the stream over everything there now; the folder it wrote."""
     out = scratch_path(spark, "stream-scores")
-    scored = score_stream(reviews, keys, text, scorer, low, high)
-    append_to(scored, out, scratch_path(spark, "stream-checkpoint")).awaitTermination()
-    return spark.read.schema(scored.schema).parquet(out)
+    score_to(reviews, keys, text, model, low, high, out, scratch_path(spark, "stream-checkpoint"), labels).awaitTermination()
+    return out
+
+
+def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
 def running_confusion(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -65,8 +99,3 @@ def counts_available(spark: SparkSession, scored: DataFrame, by: list[str]) -> D
     )
     query.awaitTermination()
     return spark.table(name)
-
-
-def with_labels(scored: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Join a stream of scores with the table of known labels."""
-    return scored.join(labels.select(key, F.col("quality").alias("label")), key)

@@ -215,11 +215,6 @@ def test_batch_scorer_equals_the_relational_score(spark, tiny_reviews, ngram_ran
     assert {r["doc_id"]: r["p_pos"] for r in rows} == pytest.approx(want)
 
 
-def test_row_scorer_refuses_an_unbounded_model(model):
-    with pytest.raises(ValueError):
-        scorers.LinearScorer.of(model, limit=10)
-
-
 def message(*fields):
     """Encode (number, value) pairs as protocol buffer fields: ints as varints, else bytes."""
     def varint(n):

@@ -2,8 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.operators import evaluate as E
-from reviewlens.operators import tfidf, validate
-from reviewlens.operators.scorers import LinearScorer
+from reviewlens.operators import tfidf
 from reviewlens.streaming import reviews as ST
 
 KEY = ["doc_id"]
@@ -28,32 +27,41 @@ def stream(spark, folder):
     return ST.read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
 
 
-def test_stream_equals_batch(spark, folder, model):
-    streamed = ST.score_available(spark, stream(spark, folder), KEY, "text", LinearScorer.of(model), 1, 5000)
-    fit_to_score = validate.accepted(validate.validate_texts(spark.read.parquet(folder), "text", 1, 5000))
-    want = {r["doc_id"]: r["p_pos"] for r in tfidf.score(fit_to_score, KEY, "text", model).collect()}
-    got = {r["doc_id"]: r["p_pos"] for r in streamed.collect()}
-    assert got == pytest.approx(want) and 23 in got and not {21, 22} & set(got)
+def scores(spark, folder, model, labels=None):
+    path = ST.score_available(spark, stream(spark, folder), KEY, "text", model, 1, 5000, labels)
+    return path, ST.read_scores(spark, path, ST.scored_schema(spark.read.parquet(folder), KEY, labels is not None))
+
+
+def test_stream_equals_batch_and_keeps_rejected_rows(spark, folder, model):
+    got = {r["doc_id"]: r for r in scores(spark, folder, model)[1].collect()}
+    texts = spark.read.parquet(folder).filter("length(text) BETWEEN 1 AND 5000")
+    want = {r["doc_id"]: r["p_pos"] for r in tfidf.score(texts, KEY, "text", model).collect()}
+    assert {k: r["p_pos"] for k, r in got.items() if r["status"] == 200} == pytest.approx(want) and 23 in want
+    assert {k: (r["status"], r["reason"], r["p_pos"], r["prediction"]) for k, r in got.items() if k in (21, 22)} == {
+        21: (422, "too_short", None, None), 22: (422, "too_long", None, None)}
+
+
+def test_a_stream_is_scored_without_any_broadcast(spark, folder, model, always_shuffle):
+    assert scores(spark, folder, model)[1].filter("p_pos IS NOT NULL").count() == 11
 
 
 def test_restarted_stream_scores_only_new_files(spark, folder, model, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
-    scorer = LinearScorer.of(model)
 
     def run():
-        scored = ST.score_stream(stream(spark, folder), KEY, "text", scorer, 1, 5000)
-        ST.append_to(scored, out, checkpoint).awaitTermination()
-        return spark.read.schema(scored.schema).parquet(out).count()
+        ST.score_to(stream(spark, folder), KEY, "text", model, 1, 5000, out, checkpoint).awaitTermination()
+        return ST.read_scores(spark, out, ST.scored_schema(spark.read.parquet(folder), KEY)).count()
 
-    assert run() == 11
+    assert run() == 13
     spark.createDataFrame([(31, "superb")], SCHEMA).write.mode("append").parquet(folder)
-    assert run() == 12
+    assert run() == 14
 
 
 def test_running_counts_end_in_the_batch_counts(spark, folder, tiny_reviews, model):
-    scored = ST.score_stream(stream(spark, folder), KEY, "text", LinearScorer.of(model), 1, 5000)
     labels = tiny_reviews.select("doc_id", F.col("label").alias("quality"))
-    got = ST.counts_available(spark, ST.with_labels(scored, labels, "doc_id"), ["model_name"]).first().asDict()
+    path, rows = scores(spark, folder, model, labels)
+    stream_of_scores = ST.read_stream(spark, f"{path}/batch=*", rows.schema).filter("p_pos IS NOT NULL AND label IS NOT NULL")
+    got = ST.counts_available(spark, stream_of_scores, ["model_key"]).first().asDict()
     batch = E.with_prediction(tfidf.score(tiny_reviews, KEY, "text", model, ["label"]))
     want = E.confusion_counts(batch, []).first().asDict()
     assert {k: got[k] for k in want} == want
