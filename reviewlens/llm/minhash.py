@@ -11,9 +11,10 @@ centre (a star), and links are confirmed on the full sets. So a large bucket of
 
 A star misses links between members that are not similar to the centre. Buckets whose members still lie in
 different components are therefore looked at once more: blocks of members outside the bucket's largest
-component meet blocks of all its members in one task, which compares their signatures and gives up only
-pairs across components that can be similar enough, each pair in its first common band. Those are confirmed
-as well. No link of a bucket is lost, and no table of all its pairs is made.
+component meet blocks of all its members in one task. It compares short fingerprints of the sets (all
+shingles, or for long texts a share of them drawn by hash) and gives up only the pairs across components that
+are similar enough by these. Those are confirmed as well. No link of a bucket is lost, and no table of
+all its pairs is made.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ class MinHashConfig:
     bands: int = 56  # at similarity 0.8, a pair shares no band with probability 2e-6
     rows: int = 7  # bins hashed to one band
     block_rows: int = 2048  # members of a bucket that a task holds twice
-    margin: float = 0.10  # signatures may fall so much short of the similarity: 5 standard deviations
+    prints: int = 512  # fingerprints of a set: about so many at most
+    margin: float = 0.10  # what a share of the fingerprints may fall short of the similarity
     broadcast_bytes: int = 8 << 20  # a list of ids up to this size is broadcast
 
 
@@ -96,28 +98,24 @@ def sketch_batches(config: MinHashConfig) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sizes, low, high, bands, marks = [], [], [], [], []
+                sizes, low, high, bands = [], [], [], []
                 for own in shingle_sets(part.column("text"), config.width):
                     sizes.append(len(own))
                     low.append(mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                     high.append(mix(own ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64))
                     if len(own):
-                        least = signature(own, bins)
-                        marks.append((least & np.uint64(255)).astype(np.uint8).tobytes())
-                        least = least.reshape(config.bands, config.rows)
+                        least = signature(own, bins).reshape(config.bands, config.rows)
                         bands.append(mix((least * factors).sum(axis=1, dtype=np.uint64) ^ salts))
                     else:
                         bands.append(salts[:0])
-                        marks.append(b"")
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32)
                 keys = np.concatenate(bands) if bands else salts[:0]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()),
                      pa.array(np.array(low, np.uint64).view(np.int64)),
                      pa.array(np.array(high, np.uint64).view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
-                     pa.array(marks, pa.binary())],
-                    ["doc_id", "n_shingles", "low", "high", "bands", "marks"])
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))],
+                    ["doc_id", "n_shingles", "low", "high", "bands"])
     return run
 
 
@@ -136,32 +134,57 @@ def confirm_batches(config: MinHashConfig) -> callable:
     return run
 
 
+def print_batches(config: MinHashConfig) -> callable:
+    """Fingerprints of 32 bits of each set, sorted: those with ``level`` leading zero bits, so that few are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                levels, prints = [], []
+                for own in shingle_sets(part.column("text"), config.width):
+                    level = max(0, -(-len(own) // config.prints) - 1).bit_length()
+                    own = np.unique((own >> np.uint64(32)).astype(np.uint32))
+                    levels.append(level)
+                    prints.append(own[own < (1 << (32 - level))].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(levels, pa.int32()), pa.array(prints, pa.binary())],
+                    ["doc_id", "level", "prints"])
+    return run
+
+
 def compare_batches(config: MinHashConfig) -> callable:
     """Rows come sorted by (band, i, j): left rows of block i (side 0) meet all rows of block j (side 1)."""
-    least = (config.percent / 100 - config.margin) * config.bands * config.rows
 
     def likely(rows: pa.RecordBatch) -> pa.RecordBatch:
         side = rows.column("side").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        ids, roots, sizes = (rows.column(n).to_numpy() for n in ("id", "root", "n_shingles"))
+        ids, roots, sizes, levels = (rows.column(n).to_numpy() for n in ("id", "root", "n_shingles", "level"))
         outer = rows.column("outer").to_numpy(zero_copy_only=False)
-        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(len(rows), -1)
-        bands = rows.column("bands").flatten().to_numpy().reshape(len(rows), -1)
-        band = rows.column("band")[0].as_py()
+        prints = [np.frombuffer(x, np.uint32) for x in rows.column("prints").to_pylist()]
+        # Prints of a row that are left at its own level and at the next one.
+        counts = np.array([(len(x), np.searchsorted(x, 1 << (31 - level))) for x, level in zip(prints, levels.tolist())])
+        owner = np.repeat(np.arange(len(right)), [len(prints[i]) for i in right])
+        listed = np.concatenate([prints[i] for i in right]) if len(right) else np.zeros(0, np.uint32)
+        order = np.argsort(listed, kind="stable")
+        listed, owner = listed[order], owner[order]
         found = []
-        step = max(1, (1 << 23) // max(1, len(right) * marks.shape[1]))
-        for i in range(0, len(left), step):
-            own = left[i: i + step]
-            alike = (marks[own, None, :] == marks[None, right, :]).sum(axis=2) >= least
-            a, b = np.nonzero(alike)
-            a, b = own[a], right[b]
-            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        for a in left.tolist():
+            low, high = np.searchsorted(listed, prints[a], "left"), np.searchsorted(listed, prints[a], "right")
+            spans = high - low
+            at = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            shared = np.bincount(owner[at], minlength=len(right))
+            level = np.maximum(levels[a], levels[right])
+            own = np.where(level > levels[a], counts[a, 1], counts[a, 0])
+            others = np.where(level > levels[right], counts[right, 1], counts[right, 0])
+            least = config.percent / 100 - np.where(level > 0, config.margin, 0.01)
+            alike = shared >= least * (own + others - shared)
+            # More than one level apart is too different in size anyway.
+            small, large = np.minimum(sizes[a], sizes[right]), np.maximum(sizes[a], sizes[right])
             # Two members outside the largest component meet twice and are taken once.
-            keep = (roots[a] != roots[b]) & (100 * small >= config.percent * large) & (~outer[b] | (ids[a] < ids[b]))
-            a, b = a[keep], b[keep]
-            same = bands[a] == bands[b]
-            first = bands[a, same.argmax(axis=1)] == band
-            found.append((ids[a[first]], ids[b[first]]))
+            keep = alike & (roots[right] != roots[a]) & (100 * small >= config.percent * large)
+            keep &= ~outer[right] | (ids[right] > ids[a])
+            b = right[keep]
+            found.append((np.full(len(b), ids[a]), ids[b]))
         u = np.concatenate([x for x, _ in found]) if found else ids[:0]
         v = np.concatenate([x for _, x in found]) if found else ids[:0]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
@@ -193,7 +216,8 @@ def only(rows: DataFrame, ids: DataFrame, config: MinHashConfig) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough; only texts in pairs are moved."""
-    ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    ends = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v"))
+    ids = materialise(ends.distinct())
     needed = materialise(only(docs.select("doc_id", "text"), ids, config))
     with_u = pairs.join(needed.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
     with_both = with_u.join(needed.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
@@ -201,7 +225,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, config: MinHashConfig) -> DataFra
     return with_both.mapInArrow(confirm_batches(config), f"u {kind}, v {kind}")
 
 
-def missed_pairs(crowded: DataFrame, components: DataFrame, sketches: DataFrame, config: MinHashConfig) -> DataFrame:
+def missed_pairs(crowded: DataFrame, components: DataFrame, docs: DataFrame, config: MinHashConfig) -> DataFrame:
     """Pairs (u, v) in different components that share a bucket and may be similar enough."""
     labelled = materialise(crowded.where("size > 2").join(components.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "id", "n_shingles", "size", F.coalesce("root", "id").alias("root")))
@@ -211,14 +235,15 @@ def missed_pairs(crowded: DataFrame, components: DataFrame, sketches: DataFrame,
         "band", "id", "n_shingles", "root", (F.col("root") != F.col("major")).alias("outer"),
         F.ceil(F.col("size") / config.block_rows).cast("int").alias("blocks")))
     ids = materialise(unsettled.select(F.col("id").alias("doc_id")).distinct())
-    payload = only(sketches.select("doc_id", "bands", "marks").where("n_shingles > 0"), ids, config)
-    rows = unsettled.join(payload.withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "id")
+    kind = crowded.schema["id"].dataType.simpleString()
+    payload = only(docs.select("doc_id", "text"), ids, config).mapInArrow(
+        print_batches(config), f"doc_id {kind}, level int, prints binary")
+    rows = unsettled.join(materialise(payload).withColumnRenamed("doc_id", "id"), "id")
     own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.expr("sequence(0, blocks - 1)"))
-    columns = ["id", "n_shingles", "root", "outer", "bands", "marks"]
+    columns = ["id", "n_shingles", "root", "outer", "level", "prints"]
     left = rows.where("outer").select("band", own.alias("i"), other.alias("j"), F.lit(0).alias("side"), *columns)
     right = rows.select("band", other.alias("i"), own.alias("j"), F.lit(1).alias("side"), *columns)
     dealt = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    kind = crowded.schema["id"].dataType.simpleString()
     return dealt.mapInArrow(compare_batches(config), f"u {kind}, v {kind}")
 
 
@@ -231,7 +256,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     its component_id and kept are null. An empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles bigint, low bigint, high bigint, bands array<bigint>, marks binary"
+    schema = f"doc_id {kind}, n_shingles bigint, low bigint, high bigint, bands array<bigint>"
     sketches = materialise(docs.select("doc_id", "text").mapInArrow(sketch_batches(config), schema))
     named = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(
@@ -254,7 +279,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     pairs = materialise(pairs.select("u", "v").distinct())
     edges = materialise(confirm(pairs, docs, config))
     components = materialise(smallest_linked(links.union(edges)))
-    more = materialise(missed_pairs(crowded, components, sketches, config).distinct().join(pairs, ["u", "v"], "left_anti"))
+    more = materialise(missed_pairs(crowded, components, docs, config).distinct().join(pairs, ["u", "v"], "left_anti"))
     if not more.isEmpty():
         fresh = materialise(confirm(more, docs, config))
         known = components.select(F.col("node").alias("u"), F.col("root").alias("v"))
