@@ -39,7 +39,7 @@ class RepeatConfig:
     length: int = 35  # words in a window
     prefix: int = 18  # words in an anchor
     group_runs: int = 32_768  # runs of one prefix that one task may hold: some 10 MB of text
-    tree_bytes: int = 8 << 20  # text of the groups that are sorted together
+    tree_bytes: int = 2 << 20  # text of the groups that are sorted together; sorting takes some 25 times as much
     broadcast_keys: int = 1 << 21  # repeated prefixes up to this number are broadcast
 
 
