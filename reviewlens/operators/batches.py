@@ -26,7 +26,7 @@ def batch_predict(
     max_chars: int,
     enforce_item_limit: bool = False,
 ) -> DataFrame:
-    """(batch, status, count, predictions) for every batch; rejected ones have null predictions."""
+    """(batch, status, model, count, predictions) for every batch; rejected ones have null in the last three."""
     statuses = materialise(validate_batches(rows, batch, text, max_texts, max_chars, enforce_item_limit))
     kept = drop_oversized(rows, batch, position, statuses)
     scored = score(kept, [batch, position], text, model)
@@ -40,6 +40,7 @@ def batch_predict(
     return statuses.join(regrouped, batch, "left").select(
         batch,
         "status",
+        F.when(F.col("status") == 200, F.lit(model.key)).alias("model"),
         F.when(F.col("status") == 200, F.col("n")).alias("count"),
         F.when(F.col("status") == 200, F.col("predictions")).alias("predictions"),
     )

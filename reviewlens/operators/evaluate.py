@@ -111,16 +111,41 @@ def log_loss(scored: DataFrame, by: list[str], label: str = "label", p_pos: str
     )
 
 
-def latency_stats(rows: DataFrame, by: str, latency: str, accuracy: int = 10_000) -> DataFrame:
+def latency_stats(
+    rows: DataFrame, by: str, latency: str, accuracy: int = 10_000, margin: float = 2e-4
+) -> DataFrame:
     """Mean and 95th percentile: the sorted element at floor(0.95 n), counted from 0.
 
     The element is exact. An approximate percentile, whose rank error is below
     n / accuracy, brackets it first; then only distinct values inside the bracket are
-    ranked, plus one counter for everything below. A group with a third of all rows costs
-    one mergeable sketch and a sliver of its rows.
+    ranked, plus one counter for everything below. Those counters tell whether the bracket
+    holds the rank; if one doesn't, all are widened and counted again. A group with a third of
+    all rows costs one mergeable sketch and a sliver of its rows.
     """
     timed = rows.filter(F.col(latency).isNotNull()).select(F.col(by), F.col(latency).alias("_v"))
-    margin = 2.0 / accuracy
+    while True:
+        brackets, histogram = bracketed(timed, by, margin, accuracy)
+        below, upto = F.sum(F.when(F.col("_v").isNull(), F.col("_k")).otherwise(0)), F.sum("_k")
+        missed = histogram.groupBy(by).agg(F.first("_rank").alias("_rank"), below.alias("_below"), upto.alias("_upto"))
+        if margin >= 1 or missed.filter("_below > _rank OR _upto <= _rank").isEmpty():
+            break
+        margin *= 32
+    up = Window.partitionBy(by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    p95 = (
+        histogram.withColumn("_upto", F.sum("_k").over(up))
+        .filter(F.col("_upto") > F.col("_rank"))
+        .groupBy(by).agg(F.min("_v").alias("_p95"))
+    )
+    return brackets.join(p95, by, "left").select(
+        by, "n",
+        F.round("_avg", 2).alias("avg_latency_ms"),
+        F.round("_p95", 2).alias("p95_latency_ms"),
+    )
+
+
+def bracketed(timed: DataFrame, by: str, margin: float, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """Per group a bracket of values around the 95th percentile, and the histogram of what lies in it."""
+    ends = [max(0.0, 0.95 - margin), min(1.0, 0.95 + margin)]
     brackets = materialise(
         timed.groupBy(by)
         .agg(
@@ -128,13 +153,12 @@ def latency_stats(rows: DataFrame, by: str, latency: str, accuracy: int = 10_000
             F.sum("_v").alias("_sum"),
             F.min("_v").alias("_min"),
             F.max("_v").alias("_max"),
-            F.percentile_approx("_v", F.array(F.lit(0.95 - margin), F.lit(0.95 + margin)), F.lit(accuracy)).alias("_b"),
+            F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(accuracy)).alias("_b"),
         )
         .select(
             by, "n", (F.col("_sum") / F.col("n")).alias("_avg"),
-            # Few rows: a rank may be off by one beside the margin, so take them all.
-            F.when(F.col("n") < accuracy, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-            F.when(F.col("n") < accuracy, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
+            (F.col("_min") if margin >= 1 else F.col("_b")[0]).alias("_lo"),
+            (F.col("_max") if margin >= 1 else F.col("_b")[1]).alias("_hi"),
             F.floor(F.col("n") * F.lit(0.95)).cast("long").alias("_rank"),
         )
     )
@@ -145,17 +169,7 @@ def latency_stats(rows: DataFrame, by: str, latency: str, accuracy: int = 10_000
         .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
         .groupBy(by, "_v").agg(F.count("*").alias("_k"), F.first("_rank").alias("_rank"))
     )
-    up = Window.partitionBy(by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    p95 = (
-        histogram.withColumn("_upto", F.sum("_k").over(up))
-        .filter(F.col("_upto") > F.col("_rank"))
-        .groupBy(by).agg(F.min("_v").alias("_p95"))
-    )
-    return brackets.join(p95, by, "left").select(
-        by, "n",
-        F.round("_avg", 2).alias("avg_latency_ms"),
-        F.round("_p95", 2).alias("p95_latency_ms"),
-    )
+    return brackets, materialise(histogram)
 
 
 def evaluation_report(scored: DataFrame, by: str, latency: str | None = None) -> DataFrame:

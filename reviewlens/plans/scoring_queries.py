@@ -114,7 +114,7 @@ def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
         CONFIG.batch_max_texts, CONFIG.text_max_chars,
     )
     return answers.select(
-        "conv_id", "status", "count",
+        "conv_id", "status", "model", "count",
         F.array_join("predictions.label", " ").alias("labels"),
         F.array_join(
             F.transform("predictions.confidence", lambda c: F.round(c * 10000).cast("long").cast("string")), " "
@@ -315,7 +315,7 @@ ORACLES = {
             f"""g AS (SELECT conv_id, string_agg({O.verdict('p')}, ' ' ORDER BY turn) AS labels,
   string_agg(CAST(CAST(round({_CONF} * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY turn) AS confidences FROM st GROUP BY conv_id)""",
         ],
-        """SELECT conv_id, status, CASE WHEN status = 200 THEN n END AS count,
+        """SELECT conv_id, status, CASE WHEN status = 200 THEN 'log_odds' END AS model, CASE WHEN status = 200 THEN n END AS count,
   CASE WHEN status = 200 THEN labels END AS labels, CASE WHEN status = 200 THEN confidences END AS confidences
 FROM b JOIN g USING (conv_id)""",
     ),

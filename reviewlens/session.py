@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 
 # A side up to this many bytes may be broadcast; beyond it the join shuffles.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Input that one part of a spread table holds, and how many parts a shuffle can have.
+SPREAD_BYTES = 32 * 1024 * 1024
+MOST_PARTS = 100_000
 # How many tasks one hot join key is spread over when a join has to shuffle.
 SALTS = 32
 
@@ -55,13 +58,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The planner's size of everything a plan reads; what it can't tell, such as rows in memory, counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
+
+
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash rows by key into exactly spark.sql.shuffle.partitions parts.
+    """Hash rows by key into parts of some SPREAD_BYTES of input, spark.sql.shuffle.partitions at least.
 
     The number is given so that adaptive execution does not merge parts by their present
     size: the texts are exploded into many times their bytes right after.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(MOST_PARTS, -(-input_bytes(df) // SPREAD_BYTES))), *keys)
 
 
 def widen(scan: DataFrame, keys: list[str]) -> DataFrame:

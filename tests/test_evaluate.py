@@ -108,3 +108,16 @@ def test_benchmark_and_metrics_tables(spark):
     assert [r["test_accuracy"] for r in report.all_metrics(table, metrics).orderBy("ord").collect()] == [0.8912, None, None]
     summary = report.training_summary(metrics.filter(F.col("model_key") == "lstm")).first()
     assert (summary["measure"], summary["value"]) == ("val_accuracy", 0.8)
+
+
+def test_a_bracket_beside_the_rank_is_widened(spark, monkeypatch):
+    """Whatever the first bracket is, the element is the one at floor(0.95 n)."""
+    real = E.bracketed
+
+    def off(timed, by, margin, accuracy):
+        return real(timed.withColumn("_v", F.col("_v")), by, margin, 20)
+
+    monkeypatch.setattr(E, "bracketed", off)
+    df = spark.range(3000).selectExpr("'m' AS model_key", "CAST(id * 7 % 3000 AS double) AS latency")
+    for margin in (1e-6, 0.001):
+        assert E.latency_stats(df, "model_key", "latency", margin=margin).first()["p95_latency_ms"] == 2850.0

@@ -56,6 +56,35 @@ def test_metrics_are_written_as_json_and_read_back(spark, tmp_path):
     assert json.loads(file.read_text()) == {"model": "Base", "test_accuracy": 0.89, "vocab_size": 50}
 
 
+def test_indented_metrics_beside_the_artefacts(spark, tmp_path):
+    """One file is one row, however it is laid out; a report mixes records and a number."""
+    report = {"positive": {"precision": 0.5, "recall": 1.0, "f1-score": 0.6, "support": 4}, "accuracy": 0.75}
+    (tmp_path / "lstm").mkdir()
+    (tmp_path / "lstm" / "metrics.json").write_text(json.dumps(
+        {"model": "Seq", "val_accuracy": 0.75, "lstm_units": 64, "dropout_rate": 0.5, "unheard_of": [1], "classification_report": report},
+        indent=2))
+    M.save_metrics(metrics_row(spark, model="Base", test_accuracy=0.89), f"{tmp_path}/baseline")
+    rows = M.read_metrics(spark, str(tmp_path), registry.registry_table(spark)).collect()
+    got = {r["model_key"]: r for r in rows}
+    assert len(rows) == 2 and got["baseline"]["test_accuracy"] == 0.89 and got["baseline"]["lstm_units"] is None
+    assert (got["lstm"]["val_accuracy"], got["lstm"]["lstm_units"], got["lstm"]["dropout_rate"]) == (0.75, 64, 0.5)
+    scores = got["lstm"]["classification_report"]
+    assert scores["positive"].asDict() == {"precision": 0.5, "recall": 1.0, "f1_score": 0.6, "support": 4}
+    assert scores["accuracy"]["f1_score"] == 0.75
+
+
+def test_a_malformed_metrics_file_fails(spark, tmp_path):
+    (tmp_path / "lstm").mkdir()
+    (tmp_path / "lstm" / "metrics.json").write_text('{"model": "Seq"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        M.read_metrics(spark, str(tmp_path), registry.registry_table(spark)).collect()
+
+
+def test_sources_without_a_number_are_not_the_test_part(spark):
+    df = spark.createDataFrame([("src12",), ("src9",), ("web",), (None,), ("x" + "9" * 30,)], "source string")
+    assert [r[0] for r in df.select(R.in_test_part(F.col("source"))).collect()] == [True, False, False, False, True]
+
+
 def test_saved_length_or_default(spark):
     df = spark.createDataFrame([(5,), (None,)], "max_len int")
     assert [r[0] for r in df.select(M.length_setting(F.col("max_len"), 200)).collect()] == [5, 200]
