@@ -5,16 +5,18 @@ shards by hash, so many that each holds about ``shard_tokens`` tokens however la
 shard packs its pieces in one task:
 
 * pieces go in falling length, each into the open bin with the least room that still fits it;
-* if none fits, a bin of the size that costs least per token is opened, judged on what is left to place;
-* the sizes are optimised jointly: packings that open bins up to each permitted size are compared;
-* at last every bin shrinks to the cheapest permitted size that holds its contents.
+* if none fits, a bin is opened at the size the plan has for the piece's length class, which may be larger than
+  the piece needs, or at the size that costs least per token with what the pieces still to come can fill of it;
+* the sizes are optimised jointly: whole packings are compared by cost, starting from one least size for all
+  classes, and the size of one class at a time is changed until no such change makes the shard cheaper;
+* every bin of a compared packing shrinks to the cheapest permitted size that holds its contents.
 
-The cheapest packing of a shard is kept. Costs are linear in the length with a quadratic part, as attention has.
+The cheapest packing of a shard is kept; it is a local optimum, never dearer than opening smallest sizes only. Costs are linear in the length with a quadratic part, as attention has.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,43 +42,93 @@ class PackingConfig:
 
 
 def best_fit(lengths: np.ndarray, config: PackingConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each piece, size of each bin, for pieces in falling length."""
+    """Bin and offset of each piece, size of each bin, for pieces in falling length.
+
+    Starts from the cheapest of the plans that open every bin at one size at least (or the least that holds the
+    piece) and of those that judge each opened size, then changes the size of one length class at a time for as
+    long as the packing gets cheaper.
+    """
     sizes = sorted(config.sizes)
-    best = None
-    for largest in sizes:
-        if len(lengths) and largest < lengths[0] and largest != sizes[-1]:
-            continue
-        packed = fill(lengths.tolist(), [s for s in sizes if s <= largest], config)
+    pieces = lengths.tolist()
+    limits = length_classes(sizes)
+    classes = np.searchsorted(limits, lengths).tolist()
+    present = sorted(set(classes))
+    smallest = [sizes[bisect_left(sizes, limit)] for limit in limits]
+
+    def priced(plan: list[int] | None, judged: list[int]) -> tuple[float, list[int] | None, tuple]:
+        packed = fill(pieces, classes, plan, judged, config)
         cheapest = [min((s for s in sizes if s >= used), key=config.cost) for used in packed[2]]
-        total = sum(map(config.cost, cheapest))
-        if best is None or total < best[0]:
-            best = (total, np.array(packed[0], np.int64), np.array(packed[1], np.int64), np.array(cheapest, np.int64))
-    return best[1:]
-
-
-def fill(lengths: list[int], sizes: list[int], config: PackingConfig) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each piece and what each bin holds."""
+        return sum(map(config.cost, cheapest)), plan, (*packed[:2], cheapest)
+
+    floors = [[max(floor, own) for own in smallest] for floor in sizes]
+    tried = [priced(plan, sizes) for plan in floors]
+    best = min(tried, key=lambda x: x[0])
+    judged = min((priced(None, sizes[:n]) for n in range(1, len(sizes) + 1)), key=lambda x: x[0])
+    better = True
+    while better:
+        better = False
+        for own in present:
+            for size in sizes:
+                if size < smallest[own] or size == best[1][own]:
+                    continue
+                other = priced([*best[1][:own], size, *best[1][own + 1:]], sizes)
+                if other[0] < best[0]:
+                    best, better = other, True
+    if judged[0] < best[0]:
+        best = judged
+    return tuple(np.array(x, np.int64) for x in best[2])
+
+
+def length_classes(sizes: list[int]) -> list[int]:
+    """Upper bounds of the length classes: the sizes and their halves, thirds and quarters."""
+    return sorted({size // part for size in sizes for part in (1, 2, 3, 4)} - {0})
+
+
+def fill(lengths: list[int], classes: list[int], plan: list[int] | None, judged: list[int],
+         config: PackingConfig) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset of each piece and what each bin holds.
+
+    A bin is opened at the size that plan has for the length class of its first piece. Without a plan the size
+    of judged is taken that costs least per token once it is filled from the pieces still to come; if none holds
+    the piece, the least size that does.
+    """
     rooms: list[tuple[int, int]] = []  # (room left, bin), sorted
     bins, offsets, used = [], [], []
-    left = sum(lengths)
-    for length in lengths:
+    rising = [-n for n in lengths]
+    for i, length in enumerate(lengths):
         at = bisect_left(rooms, (length, -1))
         if at < len(rooms):
             room, own = rooms.pop(at)
         else:
-            # The opened size is judged by cost per token it can get filled with.
-            room = min((s for s in sizes if s >= length), key=lambda s: (config.cost(s) / min(s, left), s))
+            if plan is not None:
+                room = plan[classes[i]]
+            else:
+                room = min((s for s in judged if s >= length), default=None,
+                           key=lambda s: config.cost(s) / (length + reach(rising, i + 1, s - length)))
+                room = room or min(s for s in config.sizes if s >= length)
             own = len(used)
             used.append(0)
         bins.append(own)
         offsets.append(used[own])
         used[own] += length
-        left -= length
         if room > length:
             insort(rooms, (room - length, own))
     return bins, offsets, used
 
 
+def reach(rising: list[int], begin: int, room: int) -> int:
+    """Tokens that go into room when the pieces from begin on (negative lengths, rising) are put in longest first."""
+    filled = 0
+    while room and (begin := bisect_left(rising, -room, begin)) < len(rising):
+        length = -rising[begin]
+        end = bisect_right(rising, -length, begin)
+        taken = min(end - begin, room // length)
+        filled += taken * length
+        room -= taken * length
+        begin = end
+    return filled
+
+
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):

@@ -55,6 +55,32 @@ def test_packing_is_best_fit():
     assert packing.best_fit(np.zeros(0, np.int64), config)[0].size == 0
 
 
+def test_packing_opens_larger_bins_where_they_are_cheaper():
+    config = packing.PackingConfig()
+    lengths = np.array([350] * 400 + [40] * 3)
+    bins, offsets, sizes = packing.best_fit(lengths, config)
+    assert np.bincount(bins, lengths).max() <= 4096 and (sizes[bins] >= offsets + lengths).all()
+    smallest = 400 * config.cost(512)
+    assert sum(map(config.cost, sizes.tolist())) < 0.9 * smallest and max(sizes) > 512
+    # A longer piece opens the size it needs and doesn't keep the others from theirs.
+    longer = packing.best_fit(np.concatenate(([4096, 4096], lengths)), config)[2].tolist()
+    assert sum(map(config.cost, longer)) <= 2 * config.cost(4096) + sum(map(config.cost, sizes.tolist()))
+    random.seed(11)
+    for _ in range(20):
+        lengths = np.array(sorted((random.randint(1, 4096) for _ in range(60)), reverse=True))
+        rooms, used = [], []
+        for n in lengths.tolist():  # best fit with the smallest size that holds the piece
+            fits = [i for i, room in enumerate(rooms) if room >= n]
+            at = min(fits, key=rooms.__getitem__) if fits else len(rooms)
+            if not fits:
+                rooms.append(min(s for s in config.sizes if s >= n))
+                used.append(0)
+            rooms[at] -= n
+            used[at] += n
+        plain = sum(config.cost(min(s for s in config.sizes if s >= n)) for n in used)
+        assert sum(map(config.cost, packing.best_fit(lengths, config)[2].tolist())) <= plain
+
+
 def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).count() == 0
     docs = spark.createDataFrame([(1, None), (2, " a\tb ")], "doc_id bigint, text string")
