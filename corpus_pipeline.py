@@ -7,7 +7,7 @@ Every stage takes what the one before kept and decides on its own input:
 3. ``substring_dedup`` takes passages of 35 words or more that occur elsewhere out of the texts; documents
    that have no word left go.
 4. ``secrets`` masks the spans of secrets.
-5. ``packing`` deals the texts to training sequences: one row per piece of a document.
+5. ``packing`` deals the texts to training sequences: one row per piece of a document, with the text of the piece.
 
 All stages but the last return the columns of documents, with n_chars of the text as it then is.
 """
@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_counts(docs))
+    return packing.pack(packing.word_parts(docs), parts="parts").withColumnRenamed("content", "text")
 
 
 def with_text(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.pieces import codec
 from reviewlens.llm.words import find_words, slices, text_bytes
 from reviewlens.session import materialise
 
@@ -143,43 +144,112 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(count_batches, f"doc_id {kind}, n_tokens bigint")
 
 
+def cut_points(counts: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For tokens of all documents end to end: the first token of every part, and each document's first part."""
+    parts = -(-counts // largest)
+    first = np.concatenate(([0], np.cumsum(parts)))
+    within = np.arange(first[-1]) - np.repeat(first[:-1], parts)
+    return np.repeat(np.cumsum(counts) - counts, parts) + within * largest, first
+
+
+def word_part_batches(largest: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                data, at = text_bytes(part.column("text"))
+                starts, _, first_word = find_words(data, at)
+                counts = np.diff(first_word).astype(np.int64)
+                cuts, first = cut_points(counts, largest)
+                begins = starts[cuts].astype(np.int64)
+                begins[first[:-1][counts > 0]] = at[:-1][counts > 0]  # with the space before the first word
+                # A part ends where the next one of its text begins, or with the text.
+                ends = np.append(begins[1:], 0)[:len(begins)]
+                ends[first[1:][counts > 0] - 1] = at[1:][counts > 0]
+                raw = data.tobytes()
+                texts = [raw[a:b].decode() for a, b in zip(begins.tolist(), ends.tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(texts, pa.string()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts), lists], ["doc_id", "n_tokens", "parts"])
+    return run
+
+
+def word_parts(docs: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:
+    """word_counts with parts: the text, cut before every word that begins a piece. Joined they are the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        word_part_batches(max(config.sizes)), f"doc_id {kind}, n_tokens bigint, parts array<string>")
+
+
+def token_part_batches(model_path: str, largest: int) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_path)
+        for batch in batches:
+            for part in slices(batch):
+                ids = [np.fromstring(own.joined_ids(text.as_py() or ""), np.int32, sep=",") for text in part.column("text")]
+                counts = np.array([len(x) for x in ids], np.int64)
+                cuts, first = cut_points(counts, largest)
+                listed = pa.array(np.concatenate(ids), pa.int32())
+                inner = pa.ListArray.from_arrays(pa.array(np.append(cuts, counts.sum()), pa.int32()), listed)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts), pa.ListArray.from_arrays(pa.array(first, pa.int32()), inner)],
+                    ["doc_id", "n_tokens", "parts"])
+    return run
+
+
+def token_parts(docs: DataFrame, model_path: str, config: PackingConfig = PackingConfig()) -> DataFrame:
+    """doc_id, n_tokens, parts: the token ids of op5's encoder, cut to pieces; a null or empty text has none."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        token_part_batches(model_path, max(config.sizes)), f"doc_id {kind}, n_tokens bigint, parts array<array<int>>")
+
+
 def pack_shard(config: PackingConfig) -> callable:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets, sizes = best_fit(rows["n_tokens"].to_numpy(), config)
-        return pd.DataFrame({
+        out = {
             "doc_id": rows["doc_id"].to_numpy(), "piece": rows["piece"].to_numpy(), "start": rows["start"].to_numpy(),
             "n_tokens": rows["n_tokens"].to_numpy(), "bin_id": (np.int64(key[0]) << np.int64(32)) + bins,
-            "bin_size": sizes[bins] if len(bins) else bins, "bin_offset": offsets})
+            "bin_size": sizes[bins] if len(bins) else bins, "bin_offset": offsets}
+        if "content" in rows:
+            out["content"] = rows["content"].to_numpy()
+        return pd.DataFrame(out)
     return run
 
 
-def pack(counts: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:
+def pack(counts: DataFrame, config: PackingConfig = PackingConfig(), parts: str | None = None) -> DataFrame:
     """Pack documents (doc_id, n_tokens), token counts of any tokenizer, into bins of permitted sizes.
 
     Returns one row per piece: doc_id, piece (from 0), start (first token in the document), n_tokens, bin_id,
     bin_size, bin_offset (first token in the bin). A document without tokens (0 or null) has one row with
     bin_id, bin_size and bin_offset null. Rows that repeat a doc_id are packed each; a null doc_id is packed
-    like any other; other columns are not read.
+    like any other; other columns are not read. ``parts`` names an array column with what each piece holds (its
+    ids or text), one element for every max(sizes) tokens begun; pieces then carry it as ``content``.
     """
     if not config.sizes or min(config.sizes) < 1:
         raise ValueError("permitted sizes are positive")
     kind = counts.schema["doc_id"].dataType.simpleString()
-    counts = materialise(counts.select("doc_id", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")))
+    content = [] if parts is None else ["content"]
+    tokens = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")
+    counts = materialise(counts.select("doc_id", tokens, *(F.col(parts).alias("parts") for _ in content)))
     total = counts.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, -(-total // config.shard_tokens))
     largest = max(config.sizes)
     whole = counts.where("n_tokens > 0")
     last = F.floor((F.col("n_tokens") - 1) / largest).cast("long")
-    pieces = whole.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    cut = F.posexplode("parts").alias("piece", "content") if content else F.explode(
+        F.sequence(F.lit(0).cast("long"), last)).alias("piece")
+    pieces = whole.select("doc_id", "n_tokens", cut).withColumn("piece", F.col("piece").cast("long"))
     start = F.col("piece") * largest
     pieces = pieces.select(
         "doc_id", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(largest)).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).alias("shard"))
+        F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).alias("shard"), *content)
+    held = counts.schema["parts"].dataType.elementType.simpleString() if content else None
     packed = pieces.groupBy("shard").applyInPandas(
         pack_shard(config), f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bin_id bigint, "
-        "bin_size bigint, bin_offset bigint")
+        "bin_size bigint, bin_offset bigint" + (f", content {held}" if content else ""))
     empty = counts.where("n_tokens = 0").select(
         "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), "n_tokens",
-        *(F.lit(None).cast("long").alias(n) for n in ("bin_id", "bin_size", "bin_offset")))
+        *(F.lit(None).cast("long").alias(n) for n in ("bin_id", "bin_size", "bin_offset")),
+        *(F.lit(None).cast(held).alias(n) for n in content))
     return packed.union(empty)

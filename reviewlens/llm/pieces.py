@@ -186,6 +186,13 @@ class PieceCodec:
         ids = ",".join(map(self.known.__getitem__, units))
         return ids, "".join(map(self.differing.get, units, units))[1:]
 
+    def joined_ids(self, text: str) -> str:
+        """Decimal ids joined by commas."""
+        if len(self.known) >= UNITS_KEPT:
+            self.known.clear()
+            self.differing.clear()
+        return ",".join(map(self.known.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
         joined = self.encode_and_decode(text)[0]
         return list(map(int, joined.split(","))) if joined else []

@@ -43,7 +43,9 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_counts(table(spark, sf_dir, "documents")))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    packed = packing.pack(packing.token_parts(table(spark, sf_dir, "documents"), model), parts="parts")
+    return packed.withColumnRenamed("content", "ids")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from reviewlens.llm import ordermin, packing, queries, rollup, secrets
+import public_tokenizers
+from reviewlens.llm import ordermin, packing, pieces, queries, rollup, secrets
 from reviewlens.llm.minhash import shingle_sets
 from reviewlens.session import scratch_path
 
@@ -81,6 +82,41 @@ def test_packing_opens_larger_bins_where_they_are_cheaper():
         assert sum(map(config.cost, packing.best_fit(lengths, config)[2].tolist())) <= plain
 
 
+def test_packing_carries_token_ids(spark):
+    rows = [(1, "0123456789abcdef" * 900), (2, "two words"), (3, None), (4, ""), (None, "no id"), (2, "again\n\n two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    config = packing.PackingConfig(sizes=(4, 16))
+    packed = packing.pack(packing.token_parts(docs, model, config), config, "parts").collect()
+    bins = defaultdict(dict)
+    for r in packed:
+        assert r["n_tokens"] == len(r["content"] or []) <= 16
+        if r["bin_id"] is not None:
+            bins[r["bin_id"], r["bin_size"]][r["bin_offset"]] = r["content"]
+    for (_, size), held in bins.items():
+        assert sum(map(len, held.values())) <= size
+    long = sorted((r for r in packed if r["doc_id"] == 1), key=lambda r: r["piece"])
+    own = pieces.codec(model)
+    assert len(long) > 1 and [i for r in long for i in r["content"]] == own.encode(rows[0][1])
+    encoded = sorted(own.encode(t or "") for i, t in rows if i != 1)
+    short = packing.token_parts(docs.where("doc_id IS NULL OR doc_id <> 1"), model)
+    assert sorted(r["content"] or [] for r in packing.pack(short, parts="parts").collect()) == encoded
+    table = queries.op6_best_fit_packing(spark, SF)
+    assert table.columns == [*packing.pack(table).columns, "ids"] and table.where("n_tokens <> coalesce(size(ids), 0)").isEmpty()
+
+
+def test_packing_carries_texts(spark):
+    rows = [(1, "  a b\tc\n\nd é f "), (2, ""), (3, None), (4, " \n"), (5, "x"), (6, "1 2 3 4"), (7, " 1 2 3 4 5")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    config = packing.PackingConfig(sizes=(1, 2))
+    packed = packing.pack(packing.word_parts(docs, config), config, "parts").orderBy("doc_id", "piece").collect()
+    texts = defaultdict(str)
+    for r in packed:
+        assert len((r["content"] or "").split()) == r["n_tokens"]
+        texts[r["doc_id"]] += r["content"] or ""
+    assert texts == {i: t if t and t.strip() else "" for i, t in rows}
+
+
 def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).count() == 0
     docs = spark.createDataFrame([(1, None), (2, " a\tb ")], "doc_id bigint, text string")
