@@ -11,7 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import langid, minhash, ordermin, packing, pieces, repeats, rollup, secrets, topk, toxicity
+from reviewlens.llm import (
+    fim, langid, minhash, ordermin, packing, pieces, repeats, rollup, secrets, topk, toxicity, wordbpe,
+)
 from reviewlens.session import scratch_path
 
 
@@ -78,6 +80,19 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.fit_chain(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return wordbpe.encode_documents(table(spark, sf_dir, "documents"), path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -89,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_topk": op8_block_topk,
     "op9_token_rollup": op9_token_rollup,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 # Queries without an entry can't be expressed in SQL; tests/llm compare them with brute force.
@@ -156,5 +173,25 @@ counted AS (
         len(regexp_extract_all(text, '\\p{L}+|\\p{N}|[^\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]')) FROM kept)
 SELECT source, lang, version, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens
 FROM counted GROUP BY source, lang, version
+""",
+    # Slices go by code points; group i of the hash is read as an integer.
+    "op12_fill_in_middle": """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (
+    SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+            WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+    SELECT *, substring(text, 1, least(a, b)) AS pre, substring(text, least(a, b) + 1, abs(a - b)) AS mid,
+        substring(text, greatest(a, b) + 1) AS suf FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
 """,
 }
