@@ -3,14 +3,15 @@
 Method. A merge never crosses the border of a word, so a word's ids depend on the word alone:
 
 1. texts are split into words, in blocks of some megabytes; a block is one row with its distinct words
-   (most frequent first) and, per document, the number of each word in text order, two bytes a word;
-2. the distinct words of all blocks are made one table, and each word in it is encoded once, by merges;
-3. an id-to-piece join turns each word's ids into the text that they decode to;
-4. a block's words are joined with that table, and ids and pieces go back to their positions.
-
-Words cross the network once per block and positions once; ids never do for every occurrence. The word
-table is broadcast if its measured size allows; beyond that the join shuffles on word and salt, so that a
-word that every block has is no hot key. A block has a bounded size, but a text stays whole.
+   (most frequent first) and the number of each word in text order;
+2. distinct words are dealt to buckets by hash; the table of distinct words is spread over the buckets, and
+   the task that a bucket's rows stream through encodes each word once, by merges;
+3. an id-to-piece join gives each block the pieces of the ids that it uses;
+4. ids come back to their block by its number and their place in the bucket's list, and ids and pieces go to
+   the positions of each document.
+
+Words cross the network once per block and positions once, compressed; ids never do for every occurrence.
+Blocks and buckets have a bounded size, but a text stays whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import heapq
 import json
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,11 +29,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.session import join_by_size, materialise, measure
+from reviewlens.session import input_bytes, join_by_size, materialise, measure
 
 # Words of up to so many symbols are merged by scanning for the best pair, longer ones with a heap.
 SCANNED = 64
@@ -41,12 +44,15 @@ SCANNED = 64
 class BlockConfig:
     """A block ends with the text that reaches ``chars`` or ``words`` (distinct ones)."""
 
-    chars: int = 4_000_000
-    words: int = 50_000
-    narrow: int = 1 << 16  # blocks of up to so many distinct words number them in two bytes
+    chars: int = 16_000_000
+    words: int = 400_000
+    bytes_per_bucket: int = 16_000_000  # of input, as the planner knows it
+    least_buckets: int = 64
+    most_buckets: int = 8192
+    words_kept: int = 1_000_000  # of a bucket's table; it starts anew when it is full
 
-    def number_type(self, n_words: int) -> type:
-        return np.uint16 if n_words <= self.narrow else np.uint32
+    def buckets(self, input_size: int) -> int:
+        return max(self.least_buckets, min(self.most_buckets, -(-input_size // self.bytes_per_bucket)))
 
 
 class WordBpe:
@@ -191,23 +197,41 @@ class Numbers(dict):
         return number
 
 
-def block_row(
-    block: int, keys: list, rows: list[np.ndarray], numbers: Numbers, key_type: pa.DataType, config: BlockConfig
-) -> pa.RecordBatch:
-    """One block: its words, most frequent first, and per document the numbers of its words as bytes."""
-    counts = np.bincount(np.concatenate(rows), minlength=len(numbers)) if numbers else np.zeros(0, np.int64)
-    order = np.argsort(-counts, kind="stable")
-    renamed = np.empty(len(order), config.number_type(len(order)))
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all lowest bytes first: most are small, so the other bytes are mostly zero."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return planes.T.copy().view("<u4").reshape(-1)
+
+
+def block_row(block: int, keys: list, rows: list[np.ndarray], numbers: Numbers, key_type: pa.DataType, buckets: int) -> pa.RecordBatch:
+    """One block: its documents with the number of words of each, all word numbers in text order, and its words.
+
+    Words are numbered by falling frequency and listed by bucket in that order, separated by spaces, which no
+    word holds; ``bucket_of`` has the bucket of each number.
+    """
+    places = np.concatenate(rows)
+    order = np.argsort(-np.bincount(places, minlength=len(numbers)), kind="stable")
+    renamed = np.empty(len(order), np.uint32)
     renamed[order] = np.arange(len(order))
-    words = np.array(list(numbers), object)[order].tolist() if numbers else []
+    words = np.array(list(numbers), object)[order]
+    bucket_of = np.array([zlib.crc32(word.encode()) % buckets for word in words.tolist()], np.uint32)
+    used = np.unique(bucket_of)
+    listed = pa.StructArray.from_arrays(
+        [pa.array(used.astype(np.int32)), pa.array([" ".join(words[bucket_of == b].tolist()) for b in used.tolist()], pa.string())],
+        ["bucket", "words"])
     docs = pa.StructArray.from_arrays(
-        [pa.array(keys, key_type), pa.array([renamed[row].tobytes() for row in rows], pa.binary())], ["doc_id", "places"])
+        [pa.array(keys, key_type), pa.array([len(row) for row in rows], pa.int32())], ["doc_id", "n_words"])
     return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([words], pa.list_(pa.string())),
-         pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), docs)], ["block", "words", "docs"])
+        [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), listed),
+         pa.array([squeeze(bucket_of)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), docs),
+         pa.array([squeeze(renamed[places])], pa.binary())], ["block", "words", "bucket_of", "docs", "places"])
 
 
-def split_blocks(path: str, config: BlockConfig) -> Callable:
+def split_blocks(path: str, config: BlockConfig, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, number = codec(path), TaskContext.get().partitionId() << 32, 0
         keys, rows, numbers, chars, key_type = [], [], Numbers(), 0, None
@@ -220,34 +244,52 @@ def split_blocks(path: str, config: BlockConfig) -> Callable:
                 keys.append(key.as_py())
                 chars += len(text) + 1
                 if chars >= config.chars or len(numbers) >= config.words:
-                    yield block_row(part + number, keys, rows, numbers, key_type, config)
+                    yield block_row(part + number, keys, rows, numbers, key_type, buckets)
                     keys, rows, numbers, chars, number = [], [], Numbers(), 0, number + 1
         if keys:
-            yield block_row(part + number, keys, rows, numbers, key_type, config)
+            yield block_row(part + number, keys, rows, numbers, key_type, buckets)
     return run
 
 
 def split_documents(docs: DataFrame, path: str, config: BlockConfig = BlockConfig()) -> DataFrame:
-    """block, words, docs: blocks of documents with their distinct words; written, so that block numbers stay."""
+    """Blocks of documents with their distinct words; written, so that block numbers stay what they are."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialise(docs.select("doc_id", "text").mapInArrow(
-        split_blocks(path, config), f"block bigint, words array<string>, docs array<struct<doc_id: {kind}, places: binary>>"))
+    docs = docs.select("doc_id", "text")
+    return materialise(docs.mapInArrow(
+        split_blocks(path, config, config.buckets(input_bytes(docs))),
+        "block bigint, words array<struct<bucket: int, words: string>>, bucket_of binary, "
+        f"docs array<struct<doc_id: {kind}, n_words: int>>, places binary"))
 
 
-def encode_words(path: str) -> Callable:
+def encode_buckets(path: str, config: BlockConfig) -> Callable:
+    """Ids of the listed words of each row, by a table in which each distinct word of a bucket is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own, bucket = codec(path), None
+        table: dict[str, str] = {}
         for batch in batches:
-            ids = [own.encode_word(word) for word in batch.column("word").to_pylist()]
+            out = []
+            for this, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if this != bucket or len(table) > config.words_kept:
+                    bucket, table = this, {}
+                ids = []
+                for word in words.split(" "):
+                    if word not in table:
+                        table[word] = ",".join(map(str, own.encode_word(word)))
+                    ids.append(table[word])
+                out.append(" ".join(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+                [batch.column("block"), batch.column("bucket"), pa.array(out, pa.string())], ["block", "bucket", "ids"])
     return run
 
 
-def word_table(blocks: DataFrame, path: str) -> DataFrame:
-    """word, ids of every distinct word, each encoded once."""
-    words = blocks.select(F.explode("words").alias("word")).distinct()
-    return words.mapInArrow(encode_words(path), "word string, ids array<int>")
+def encode_listed(blocks: DataFrame, path: str, config: BlockConfig = BlockConfig()) -> DataFrame:
+    """block, bucket, ids: what encode_buckets gives, with all rows of a bucket, in a row, in one task.
+
+    A word occurs once per block, so buckets of hashed words are of equal size however common a word is.
+    """
+    listed = blocks.select("block", F.inline("words"))
+    return listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        encode_buckets(path, config), "block bigint, bucket int, ids string")
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -267,20 +309,25 @@ def decode_rows(rows: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
     return known.groupBy(key).agg(found.alias("found")).select(key, F.array_join("found.piece", " ").alias("text"))
 
 
-def fill_places(keep_ids: bool, config: BlockConfig) -> Callable:
+def fill_places(keep_ids: bool) -> Callable:
     """Ids and pieces of a block's words, back at the positions of each of its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
-                entries = batch.column("entries")[n].values
-                ids = np.array(entries.field("ids").to_pylist() if entries is not None else [], object)
-                text = np.array(entries.field("text").to_pylist() if entries is not None else [], object)
-                sizes = np.array([x.count(" ") + 1 for x in ids.tolist()], np.int64)
-                width = config.number_type(len(ids))
+                row = {name: batch.column(name)[n].as_py() for name in ("encoded", "pieces", "bucket_of", "places")}
+                bucket_of, places = unsqueeze(row["bucket_of"]), unsqueeze(row["places"])
+                ids = np.empty(len(bucket_of), object)
+                for entry in row["encoded"] or []:
+                    ids[bucket_of == entry["bucket"]] = entry["ids"].split(" ")
+                piece_of = {str(p["id"]): p["piece"] for p in row["pieces"] or []}
+                text = np.array([" ".join(map(piece_of.__getitem__, x.split(","))) for x in ids.tolist()], object)
+                sizes = np.array([x.count(",") + 1 for x in ids.tolist()], np.int64)
+                ids = np.array([x.replace(",", " ") for x in ids.tolist()], object)
                 docs = batch.column("docs")[n].values
-                counts, id_digests, text_digests, all_ids = [], [], [], []
-                for places in docs.field("places"):
-                    at = np.frombuffer(places.as_py(), width)
+                counts, id_digests, text_digests, all_ids, begin = [], [], [], [], 0
+                for n_words in docs.field("n_words").to_pylist():
+                    at = places[begin: begin + n_words]
+                    begin += n_words
                     joined = " ".join(ids[at].tolist())
                     counts.append(int(sizes[at].sum()))
                     id_digests.append(hashlib.sha256(joined.encode()).hexdigest())
@@ -309,14 +356,14 @@ def encode_documents(
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = split_documents(docs, path, config)
-    encoded = materialise(word_table(blocks, path))
-    texts = decode_rows(encoded.withColumnRenamed("word", "key"), "key", piece_table(docs.sparkSession, path))
-    words = materialise(encoded.join(texts.withColumnRenamed("key", "word"), "word").select(
-        "word", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"), "text"))
-    placed = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    known = join_by_size(placed, words, ["word"], "inner", measure(words)[1], ["block"])
-    # The group is the distinct words of one block.
-    entries = known.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "ids", "text"))).alias("entries"))
+    # Grouped are the words, and below the different ids, of one block.
+    encoded = encode_listed(blocks, path, config).groupBy("block").agg(
+        F.collect_list(F.struct("bucket", "ids")).alias("encoded"))
+    used = F.array_distinct(F.flatten(F.transform("encoded.ids", lambda ids: F.split(ids, "[ ,]"))))
+    pieces = piece_table(docs.sparkSession, path)
+    named = join_by_size(
+        encoded.select("block", F.explode(used.cast("array<int>")).alias("id")), pieces, ["id"], "inner", measure(pieces)[1], ["block"])
+    named = named.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return blocks.select("block", "docs").join(entries, "block", "left").select("entries", "docs").mapInArrow(
-        fill_places(keep_ids, config), schema)
+    return blocks.select("block", "bucket_of", "docs", "places").join(encoded, "block", "left").join(
+        named, "block", "left").mapInArrow(fill_places(keep_ids), schema)

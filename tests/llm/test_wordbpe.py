@@ -56,7 +56,7 @@ def test_heap_and_scan_merge_alike(library):
         assert merged == own.merge_short(list(parts)) == library.encode(word, add_special_tokens=False).tokens
 
 
-@pytest.mark.parametrize("config", [wordbpe.BlockConfig(), wordbpe.BlockConfig(chars=100, words=20, narrow=8)])
+@pytest.mark.parametrize("config", [wordbpe.BlockConfig(), wordbpe.BlockConfig(chars=100, words=20, least_buckets=3, words_kept=5)])
 def test_documents_like_the_library(spark, library, config):
     rows = [(i if i % 5 else 7, text, "x", i) for i, text in enumerate(ODD)] + [(None, "null key", "x", 0), (None, "null key", "x", 0)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, word string, block int")
