@@ -228,7 +228,7 @@ def train_targets(
 
     With ``folder`` each tier's artefacts and metrics are saved below it, where the registry looks for them.
     """
-    from reviewlens.sources.models import as_metrics, save_embedding_model, save_linear_model, save_metrics
+    from reviewlens.sources.models import as_metrics, save_embedding_model, save_linear_model
 
     if target not in ("baseline", "lstm", "all"):
         raise ValueError(f"unknown target {target!r}; use baseline, lstm or all")
@@ -240,14 +240,12 @@ def train_targets(
             baseline_metrics(trained, {"train": train, "val": val, "test": test}, key, text, label, config)
         ).withColumn("model_key", F.lit("baseline")))
         if folder:
-            save_linear_model(trained.model, f"{folder}/baseline")
-            save_metrics(rows[-1], f"{folder}/baseline")
+            save_linear_model(trained.model, f"{folder}/baseline", rows[-1])
     if target in ("lstm", "all"):
         trained = train_embedding(train, val, key, text, label, config)
         rows.append(as_metrics(
             embedding_metrics(trained, val, key, text, label, config)
         ).withColumn("model_key", F.lit("lstm")))
         if folder:
-            save_embedding_model(trained, f"{folder}/lstm")
-            save_metrics(rows[-1], f"{folder}/lstm")
+            save_embedding_model(trained, f"{folder}/lstm", rows[-1])
     return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])

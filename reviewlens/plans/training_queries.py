@@ -134,19 +134,41 @@ def stream_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _tracked(spark: SparkSession, scores: str, schema: str, latency: str | None = None) -> str:
+    table = scratch_path(spark, "stream-metrics")
+    ST.track_metrics(spark, scores, schema, table, scratch_path(spark, "stream-checkpoint"), latency).awaitTermination()
+    return table
+
+
 def stream_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """A second stream over what the first one wrote keeps the counts."""
     schema = ST.scored_schema(R.read_documents(spark, sf), ["doc_id"], labelled=True)
     path = _score_stream(spark, sf, R.read_labels(spark, sf))
-    scored = ST.read_stream(spark, f"{path}/batch=*", spark.createDataFrame([], schema).schema)
-    return ST.counts_available(spark, scored.filter("p_pos IS NOT NULL AND label IS NOT NULL"), ["model_key"])
+    return ST.state_confusion(ST.read_metrics_state(spark, _tracked(spark, path, schema)))
+
+
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Running metrics after two runs of the streams, over half of the files and then over all, one file a batch."""
+    docs = R.labelled_reviews(spark, sf)
+    model = tfidf.class_log_odds_model(docs, ["doc_id"], "text", "label", CONFIG.max_features, CONFIG.ngram_range)
+    # A stand-in latency that does not vary from run to run.
+    timed = R.read_documents(spark, sf).withColumn("latency_ms", F.round(F.length("text") / F.lit(100.0), 2))
+    inbox, out, table, *checkpoints = (scratch_path(spark, f"stream-{n}") for n in ("in", "scores", "metrics", "from", "to"))
+    schema = ST.scored_schema(timed, ["doc_id"], labelled=True, carry=["latency_ms"])
+    for half in (0, 1):
+        timed.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).repartition(2, "doc_id").write.mode("append").parquet(inbox)
+        ST.score_to(ST.read_stream(spark, inbox, timed.schema, files_per_trigger=1), ["doc_id"], "text", model,
+                    CONFIG.text_min_chars, CONFIG.text_max_chars, out, checkpoints[0], R.read_labels(spark, sf),
+                    ["latency_ms"]).awaitTermination()
+        ST.track_metrics(spark, out, schema, table, checkpoints[1], "latency_ms", batches_per_trigger=1).awaitTermination()
+    return ST.running_report(spark, table)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         train_logreg, train_metrics, train_embedding_mlp, early_stop_history, train_all,
-        stream_score, stream_confusion,
+        stream_score, stream_confusion, stream_metrics,
     )
 }
 
@@ -210,4 +232,17 @@ FROM documents d LEFT JOIN scored s ON d.doc_id = s.doc_id""",
         ],
         "SELECT 'log_odds' AS model_key, * FROM cm",
     ),
+    "stream_metrics": O.with_ctes(
+        [
+            O.DOCS,
+            *O.fit("bi", "docs"),
+            "ok AS (SELECT * FROM docs WHERE length(text) BETWEEN 1 AND 5000)",
+            *O.score("scored", "bi", "ok"),
+            O.confusion("scored"),
+            """r AS (SELECT round(length(text) / CAST(100.0 AS DOUBLE), 2) AS v, row_number() OVER (ORDER BY length(text)) - 1 AS i,
+  count(*) OVER () AS n FROM ok)""",
+        ],
+        f"""SELECT 'log_odds' AS model_key, cm.*, {O.METRIC_COLUMNS}, (SELECT round(avg(v), 2) FROM r) AS avg_latency_ms,
+  (SELECT round(max(v) FILTER (i = floor(n * CAST(0.95 AS DOUBLE))), 2) FROM r) AS p95_latency_ms FROM cm""",
+    ),
 }
