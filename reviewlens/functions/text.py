@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The whitespace code points of Unicode-aware regular expressions, which
 # Java's own \s does not cover.
@@ -96,12 +97,70 @@ def has_residual_markup(cleaned: Column) -> Column:
     return cleaned.contains("<br") | cleaned.contains("</") | cleaned.contains("&amp;")
 
 
-@F.pandas_udf(StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
-    """Decompose (NFKD) and drop combining marks; Spark has no built-in for it."""
-    def plain(s: str | None) -> str | None:
-        if s is None or s.isascii():
-            return s
-        return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-
-    return text.map(plain)
+@lru_cache(maxsize=1)
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition without combining marks is one other character or none (two
+    strings as ``translate`` takes them), and those where it is several. Hangul follows a rule of its own."""
+    changed, gone, several = {}, [], {}
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        if "\ud800" <= c <= "\udfff" or HANGUL_FIRST <= code <= HANGUL_LAST:
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain == c:
+            continue
+        if not plain:
+            gone.append(c)
+        elif len(plain) == 1:
+            changed[c] = plain
+        else:
+            several[c] = plain
+    # What has no partner in the second string is left out.
+    return "".join(changed) + "".join(gone), "".join(changed.values()), several
+
+
+# The syllables, and the first of each of their three kinds of parts.
+HANGUL_FIRST, HANGUL_LAST = 0xAC00, 0xD7A3
+HANGUL_PARTS = (0x1100, 0x1161, 0x11A7)
+NO_ACCENTS = "^[\\x00-\\x7f]*$"
+
+
+def code_point(value: Column) -> Column:
+    """The character of a code point below 65 536."""
+    return F.decode(F.unhex(F.lpad(F.hex(value), 4, "0")), "UTF-16BE")
+
+
+def hangul_parts(c: Column) -> Column:
+    n = F.ascii(c) - F.lit(HANGUL_FIRST)
+    lead, vowel, tail = n / F.lit(588), (n % 588) / F.lit(28), n % 28
+    first, second, third = (code_point(F.floor(x).cast("long") + F.lit(base)) for x, base in zip((lead, vowel, tail), HANGUL_PARTS))
+    return F.concat(first, second, F.when(tail > 0, third).otherwise(""))
+
+
+def without_accents(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining marks, as one expression.
+
+    Dropping all marks makes their order irrelevant, so the text's decomposition is that of its characters, one
+    after the other. Characters that become one other or none are translated; only texts with others, such as
+    ligatures and Hangul syllables, are taken apart.
+    """
+    matching, replacing, several = decompositions()
+    syllable = f"[{chr(HANGUL_FIRST)}-{chr(HANGUL_LAST)}]"
+    # The class is built of ranges of neighbours, since there are over a thousand such characters.
+    odd = "[" + "".join(f"{a}-{b}" for a, b in code_ranges(sorted(several))) + "]"
+    table = F.from_json(F.lit(json.dumps(several)), "map<string, string>")
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(syllable), hangul_parts(c)).when(
+        c.rlike(odd), F.element_at(table, c)).otherwise(c)), "")
+    whole = F.when(text.rlike(f"{syllable}|{odd}"), apart).otherwise(text)
+    return F.when(text.rlike(NO_ACCENTS), text).otherwise(F.translate(whole, matching, replacing))
+
+
+def code_ranges(chars: list[str]) -> list[tuple[str, str]]:
+    """First and last of each run of neighbouring code points."""
+    found: list[tuple[str, str]] = []
+    for c in chars:
+        if found and ord(found[-1][1]) == ord(c) - 1:
+            found[-1] = (found[-1][0], c)
+        else:
+            found.append((c, c))
+    return found

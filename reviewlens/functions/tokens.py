@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import LEGACY_PUNCTUATION
+from reviewlens.functions.text import LEGACY_PUNCTUATION, clean, null_to_empty, without_accents
 
 # Fixed value: a word has at least two word characters.
 WORD = r"(?U)\b\w\w+\b"
@@ -17,8 +20,8 @@ def word_tokens(cleaned: Column) -> Column:
 
 
 def raw_word_tokens(text: Column) -> Column:
-    """The same for text that was not cleaned."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """The same for text that was not cleaned but is in lower case."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def all_tokens(cleaned: Column) -> Column:
@@ -26,12 +29,32 @@ def all_tokens(cleaned: Column) -> Column:
     return F.filter(F.split(cleaned, " "), lambda t: t != "")
 
 
+def cleaned_words(text: Column) -> Column:
+    """Every word of raw text that is cleaned first."""
+    return all_tokens(clean(text))
+
+
 def legacy_tokens(text: Column) -> Column:
     """Words of raw text with punctuation blanked; apostrophes stay."""
-    blanked = F.translate(F.lower(text), LEGACY_PUNCTUATION, " " * len(LEGACY_PUNCTUATION))
+    blanked = F.translate(F.lower(null_to_empty(text)), LEGACY_PUNCTUATION, " " * len(LEGACY_PUNCTUATION))
     return F.filter(F.split(blanked, " "), lambda t: t != "")
 
 
+@dataclass(frozen=True)
+class WordPath:
+    """How texts become words: prepared as a whole, then cut. A text that is prepared to nothing is empty."""
+
+    name: str
+    prepare: Callable[[Column], Column]
+    cut: Callable[[Column], Column]
+
+
+CLEANED = WordPath("cleaned", clean, word_tokens)
+# Lower case and no accents, but markup and symbols stay until words are cut.
+UNCLEANED = WordPath("uncleaned", lambda text: F.trim(without_accents(F.lower(null_to_empty(text)))), raw_word_tokens)
+WORD_PATHS = {path.name: path for path in (CLEANED, UNCLEANED)}
+
+
 def ngram_terms(tokens: Column, ngram_range: tuple[int, int]) -> Column:
     """All n-grams of the range, shorter ones first, words joined by one space.
 

@@ -26,7 +26,11 @@ def batch_predict(
     max_chars: int,
     enforce_item_limit: bool = False,
 ) -> DataFrame:
-    """(batch, status, model, count, predictions) for every batch; rejected ones have null in the last three."""
+    """(batch, status, model, count, predictions) for every batch; rejected ones have null in the last three.
+
+    One prediction per text, by position; texts that share a position have one each. Rows without a batch make
+    up a batch of their own.
+    """
     statuses = materialise(validate_batches(rows, batch, text, max_texts, max_chars, enforce_item_limit))
     kept = drop_oversized(rows, batch, position, statuses)
     scored = score(kept, [batch, position], text, model)
@@ -37,7 +41,8 @@ def batch_predict(
         .agg(F.array_sort(F.collect_list(F.struct(F.col(position), F.col("prediction")))).alias("_r"))
         .select(batch, F.col("_r.prediction").alias("predictions"))
     )
-    return statuses.join(regrouped, batch, "left").select(
+    own = regrouped.select(F.col(batch).alias("_batch"), "predictions")
+    return statuses.join(own, F.col(batch).eqNullSafe(F.col("_batch")), "left").select(
         batch,
         "status",
         F.when(F.col("status") == 200, F.lit(model.key)).alias("model"),

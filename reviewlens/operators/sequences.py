@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import clean
-from reviewlens.functions.tokens import all_tokens
+from reviewlens.functions.tokens import cleaned_words
+from reviewlens.operators.rows import ROW, spread_rows
 from reviewlens.operators.vocabulary import WordIndex
-from reviewlens.session import join_by_size, spread
+from reviewlens.session import join_by_size
 
 
-def text_sequences(docs: DataFrame, key: str, text: str, index: WordIndex, carry: list[str] = []) -> DataFrame:
-    """(key, carry, ids, words): known words in text order; a text without any has empty arrays."""
-    words = (
-        spread(docs.select(key, *carry, text), [key])
-        .select(key, *carry, F.posexplode_outer(all_tokens(clean(F.col(text)))).alias("pos", "word"))
-    )
-    known = join_by_size(words, index.table.select("word", "idx"), ["word"], "left", index.size_bytes, [key, "pos"])
+def text_sequences(
+    docs: DataFrame, key: str, text: str, index: WordIndex, carry: list[str] = [],
+    words_of: Callable[[Column], Column] = cleaned_words,
+) -> DataFrame:
+    """(key, carry, ids, words): known words in text order; a text without any has empty arrays.
+
+    Each row has its own, also where rows share a key or have none. ``words_of`` cuts the texts and should be
+    what the index was fitted with.
+    """
+    words = spread_rows(docs, [key], text, carry).select(
+        key, *carry, *ROW, F.posexplode_outer(words_of(F.col(text))).alias("pos", "word"))
+    known = join_by_size(words, index.table.select("word", "idx"), ["word"], "left", index.size_bytes, [*ROW, "pos"])
     # The group is the words of one text.
     return (
-        known.groupBy(key, *carry)
+        known.groupBy(key, *carry, *ROW)
         .agg(F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("pos", "idx", "word")))).alias("_s"))
         .select(key, *carry, F.col("_s.idx").alias("ids"), F.col("_s.word").alias("words"))
     )

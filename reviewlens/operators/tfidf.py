@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.decision import sigmoid
+from reviewlens.functions.tokens import CLEANED
+from reviewlens.operators.rows import ROW
 from reviewlens.operators.vocabulary import Vocabulary, fit_vocabularies, term_counts
 from reviewlens.session import byte_size, join_by_size, materialise, scratch_path
 
@@ -19,23 +21,24 @@ def raw_weight(tf: Column, idf: Column) -> Column:
 
 
 def known_terms(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
-    """Term counts with vocabulary columns; unknown terms have null ones."""
-    counts = term_counts(docs, keys, text, vocab.ngram_range, carry)
+    """Term counts with vocabulary columns; unknown terms have null ones. ROW tells documents apart."""
+    counts = term_counts(docs, keys, text, vocab.ngram_range, carry, vocab.path)
     terms = vocab.table.drop("ctf", "df", "df_pos")
-    return join_by_size(counts, terms, ["term"], "left", vocab.size_bytes, keys)
+    return join_by_size(counts, terms, ["term"], "left", vocab.size_bytes, ROW)
 
 
 def tfidf_weights(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
     """(keys, carry, term, term_id, weight), each document of length 1.
 
     Unknown terms are dropped, but a document without any known term keeps one row with
-    null term and weight: its vector is all zero, not absent.
+    null term and weight: its vector is all zero, not absent. Rows that repeat a key have a
+    vector each.
     """
     weighted = known_terms(docs, keys, text, vocab, carry).select(
-        *keys, *carry, "term_id", "term", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
+        *keys, *carry, *ROW, "term_id", "term", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
     )
     # Grouping per document is safe: the group is the words of one text.
-    vectors = weighted.groupBy(*keys, *carry).agg(
+    vectors = weighted.groupBy(*keys, *carry, *ROW).agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
         F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "term", "raw"))).alias("terms"),
     )
@@ -48,11 +51,11 @@ def tfidf_weights(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary
 
 
 def sparse_vectors(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
-    """Feature vectors in the stored form of an ML vector: type, size, indices, values."""
+    """Feature vectors in the stored form of an ML vector: type, size, indices, values; one per row of docs."""
     weighted = known_terms(docs, keys, text, vocab, carry).select(
-        *keys, *carry, "term_id", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
+        *keys, *carry, *ROW, "term_id", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
     )
-    grouped = weighted.groupBy(*keys, *carry).agg(
+    grouped = weighted.groupBy(*keys, *carry, *ROW).agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
         F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "raw")))).alias("terms"),
     )
@@ -140,15 +143,18 @@ def class_prior_model(n_docs: int, n_pos: int, key: str = "class_prior") -> Line
 def score_models(
     docs: DataFrame, keys: list[str], text: str, models: list[LinearModel], carry: list[str] = []
 ) -> DataFrame:
-    """One row per document with ``p_<model>`` for every model, from one pass over the texts.
+    """``p_<model>`` of every model for each row, from one pass over the texts.
 
-    All models' vocabularies are laid side by side in one term table, so the documents are
+    There are as many rows as in ``docs``, also where rows share a key or have none. All models' vocabularies are laid side by side in one term table, so the documents are
     exploded, counted and grouped once however many models there are. Empty text scores 0.5.
     """
     with_terms = [m for m in models if m.vocab is not None]
     low = min((m.vocab.ngram_range[0] for m in with_terms), default=1)
     high = max((m.vocab.ngram_range[1] for m in with_terms), default=1)
-    counts = term_counts(docs, keys, text, (low, high), carry)
+    paths = {m.vocab.path for m in with_terms} or {CLEANED}
+    if len(paths) > 1:
+        raise ValueError("models that cut words in different ways need a pass each")
+    counts = term_counts(docs, keys, text, (low, high), carry, paths.pop())
     if with_terms:
         side = None
         for m in with_terms:
@@ -159,14 +165,14 @@ def score_models(
             size = byte_size(side)
         else:
             size = with_terms[0].vocab.size_bytes
-        counts = join_by_size(counts, side, ["term"], "left", size, keys)
+        counts = join_by_size(counts, side, ["term"], "left", size, ROW)
     sums = []
     for m in with_terms:
         w = raw_weight(F.col("tf"), F.col(f"idf_{m.key}"))
         sums.append(F.sum(w * F.col(f"coef_{m.key}")).alias(f"dot_{m.key}"))
         sums.append(F.sum(w * w).alias(f"sq_{m.key}"))
     # No sums at all when every model is constant; the count keeps the aggregate valid.
-    grouped = counts.groupBy(*keys, *carry, "empty").agg(*(sums or [F.count("tf").alias("n_terms")]))
+    grouped = counts.groupBy(*keys, *carry, *ROW, "empty").agg(*(sums or [F.count("tf").alias("n_terms")]))
 
     def probability(m: LinearModel) -> Column:
         z = F.lit(float(m.intercept))

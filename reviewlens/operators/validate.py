@@ -75,4 +75,7 @@ def drop_oversized(rows: DataFrame, batch: str, position: str, statuses: DataFra
     batch and may be grouped. ``statuses`` should be a materialised table.
     """
     rejected = statuses.filter(F.col("status") != 200).select(batch)
-    return join_by_size(rows, rejected, [batch], "left_anti", byte_size(rejected), [batch, position])
+    # Structs of one field are equal also where the field is null.
+    own = rejected.select(F.struct(batch).alias("_batch"))
+    kept = join_by_size(rows.withColumn("_batch", F.struct(batch)), own, ["_batch"], "left_anti", byte_size(rejected), [batch, position])
+    return kept.drop("_batch")

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import clean
-from reviewlens.functions.tokens import all_tokens
+from reviewlens.functions.tokens import cleaned_words
+from reviewlens.operators.rows import ROW, spread_rows
 from reviewlens.operators.sequences import pad_back
 from reviewlens.operators.vocabulary import WordIndex
-from reviewlens.session import materialise
+from reviewlens.session import byte_size, join_by_size, materialise
 
 # Special pieces come first, in this order; longer words are unknown.
 SPECIAL = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
@@ -34,56 +31,72 @@ def piece_vocabulary(index: WordIndex) -> DataFrame:
     return materialise(head.unionByName(words))
 
 
-def split_word(word: str, ids: dict[str, int], unknown: int) -> list[int]:
-    """Longest piece first; a word that cannot be covered is one unknown piece."""
-    if len(word) > MAX_WORD_CHARS:
-        return [unknown]
-    found, start = [], 0
-    while start < len(word):
-        mark = "##" if start else ""
-        end = next((e for e in range(len(word), start, -1) if mark + word[start:e] in ids), None)
-        if end is None:
-            return [unknown]
-        found.append(ids[mark + word[start:end]])
-        start = end
-    return found
+def longest_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, steps): for each place of a word the longest piece that begins there, as a map to (n, id).
 
-
-def piece_ids(words: Column, vocabulary: DataFrame, max_pieces: int) -> Column:
-    """Ids of an array of words, at most ``max_pieces``, without the special pieces.
-
-    The vocabulary has a fixed number of rows (frequent words plus characters); it is sent
-    to each worker once, and a worker splits a repeated word once.
+    All beginnings and inner parts of a word, up to the longest piece there is, meet the vocabulary in one join.
     """
-    rows = {r["piece"]: r["piece_id"] for r in vocabulary.collect()}
-    shared = vocabulary.sparkSession.sparkContext.broadcast(rows)
-
-    @F.pandas_udf("array<int>")
-    def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids = shared.value
-        cut = lru_cache(maxsize=100_000)(lambda w: split_word(w, ids, ids["[UNK]"]))
-        for batch in batches:
-            yield batch.map(lambda ws: [i for w in ws for i in cut(w)][:max_pieces])
-
-    return to_ids(words)
+    inner = F.col("piece").startswith("##")
+    longest = vocabulary.filter(~F.col("piece").isin(SPECIAL)).agg(
+        F.max(F.when(~inner, F.length("piece"))).alias("first"), F.max(F.when(inner, F.length("piece") - 2)).alias("inner")).first()
+    size = F.length("word")
+
+    def parts(at: Column, most: Column, mark: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), most), lambda n: F.struct(
+            at.cast("int").alias("at"), n.cast("int").alias("n"),
+            F.concat(F.lit(mark), F.substring(F.col("word"), at + F.lit(1), n)).alias("piece")))
+
+    starts = parts(F.lit(0), F.least(size, F.lit(longest["first"] or 1)), "")
+    rest = F.when(size > 1, F.flatten(F.transform(
+        F.sequence(F.lit(1), size - 1), lambda at: parts(at, F.least(size - at, F.lit(longest["inner"] or 1)), "##"))))
+    tried = words.filter(size <= MAX_WORD_CHARS).select(
+        "word", F.explode(F.concat(starts, F.coalesce(rest, F.slice(starts, 1, 0)))).alias("t")).select("word", "t.*")
+    pieces = vocabulary.filter(~F.col("piece").isin(SPECIAL))
+    found = join_by_size(tried, pieces, ["piece"], "inner", byte_size(pieces), ["word", "at"])
+    best = found.groupBy("word", "at").agg(F.max(F.struct("n", F.col("piece_id").alias("id"))).alias("best"))
+    # The group is the places of one word.
+    return best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("steps"))
+
+
+def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, ids) of distinct words: longest piece first; a word that can't be covered is one unknown piece."""
+    unknown = F.array(F.lit(SPECIAL.index("[UNK]")))
+    nothing = F.struct(F.lit(0).alias("at"), F.slice(unknown, 1, 0).alias("ids"))
+
+    def step(so_far: Column, at: Column) -> Column:
+        piece = F.element_at(F.col("steps"), at)
+        found = F.struct((at + piece["n"]).alias("at"), F.concat(so_far["ids"], F.array(piece["id"])).alias("ids"))
+        # No place is reached from a word's unknown part, so the walk ends there.
+        lost = F.struct(F.lit(-1).alias("at"), unknown.alias("ids"))
+        return F.when(so_far["at"] != at, so_far).when(piece.isNull(), lost).otherwise(found)
+
+    known = words.join(longest_pieces(words, vocabulary), "word", "left")
+    walked = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1), nothing, step)
+    return known.select("word", F.when(F.col("steps").isNull(), unknown).otherwise(walked["ids"]).alias("ids"))
 
 
 def encode(docs: DataFrame, keys: list[str], text: str, vocabulary: DataFrame, max_length: int) -> DataFrame:
-    """(keys, empty, input_ids, attention_mask) of exactly ``max_length`` elements.
+    """(keys, empty, input_ids, attention_mask) of exactly ``max_length`` elements, for each row of docs.
 
-    Every word gives at least one piece, so only the first max_length - 2 words can show in
-    the result; the others need not be split.
+    Each distinct word is cut once, by joins, and its ids are joined back to where it stands. Every word gives
+    at least one piece, so only the first max_length - 2 words can show in the result; the others need
+    not be cut. ``vocabulary`` should be a materialised table.
     """
     room = max_length - 2
-    pieces = docs.select(*keys, clean(F.col(text)).alias("_clean")).select(
-        *keys,
-        (F.col("_clean") == "").alias("empty"),
-        piece_ids(F.slice(all_tokens(F.col("_clean")), 1, room), vocabulary, room).alias("_pieces"),
-    )
+    cut = F.slice(cleaned_words(F.col(text)), 1, room)
+    distinct = docs.select(F.explode(cut).alias("word")).distinct()
+    pieces = materialise(word_pieces(materialise(distinct), vocabulary))
+    size = pieces.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 32)).first()[0] or 0
+    placed = spread_rows(docs, keys, text).withColumn("_words", cut).select(
+        *keys, *ROW, (F.size("_words") == 0).alias("empty"), F.posexplode_outer("_words").alias("pos", "word"))
+    known = join_by_size(placed, pieces, ["word"], "left", size, [*ROW, "pos"])
+    # The group is at most max_length - 2 words of one text.
+    in_order = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
+    grouped = known.groupBy(*keys, *ROW, "empty").agg(F.slice(F.flatten(in_order["ids"]), 1, room).alias("_pieces"))
     ids = F.concat(
         F.array(F.lit(SPECIAL.index("[CLS]"))), F.col("_pieces"), F.array(F.lit(SPECIAL.index("[SEP]")))
     )
-    with_ids = pieces.select(*keys, "empty", ids.alias("_ids"))
+    with_ids = grouped.select(*keys, "empty", ids.alias("_ids"))
     return with_ids.select(
         *keys, "empty",
         pad_back(F.col("_ids"), max_length).alias("input_ids"),

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from reviewlens.config import JobConfig
 from reviewlens.functions.text import clean
 from reviewlens.functions.tokens import legacy_tokens as split_legacy
-from reviewlens.functions.tokens import word_tokens
+from reviewlens.functions.tokens import UNCLEANED, word_tokens
 from reviewlens.operators import sequences as S
 from reviewlens.operators import tfidf, wordpiece as W
-from reviewlens.operators.vocabulary import Vocabulary, fit_vocabulary, fit_word_index, term_counts
+from reviewlens.operators.vocabulary import TermSketch, Vocabulary, fit_vocabulary, fit_word_index, term_counts
 from reviewlens.plans import oracle as O
 from reviewlens.plans.text_queries import _train_val
-from reviewlens.session import widen
 from reviewlens.sources import reviews as R
 
 CONFIG = JobConfig()
@@ -43,6 +42,26 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return _fit(R.labelled_reviews(spark, sf)).table.select("term", "term_id", "ctf")
 
 
+def vocabulary_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with rare terms ruled out first, as it is done for large inputs."""
+    docs = R.labelled_reviews(spark, sf)
+    pruned = fit_vocabulary(docs, KEY, "text", 2_000, CONFIG.ngram_range, sketch=TermSketch(1 << 16, 4, least_bytes=0))
+    return pruned.table.select("term", "term_id", "ctf", "df")
+
+
+def uncleaned_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as they are, markup and symbols included; only case and accents are levelled."""
+    vocab = fit_vocabulary(R.read_pages(spark, sf), ["page_id"], "html", CONFIG.max_features, CONFIG.ngram_range, path=UNCLEANED)
+    return vocab.table.select("term", "term_id", "ctf", "df")
+
+
+def uncleaned_weights(spark: SparkSession, sf: str) -> DataFrame:
+    pages = R.read_pages(spark, sf)
+    vocab = fit_vocabulary(pages, ["page_id"], "html", CONFIG.max_features, CONFIG.ngram_range, path=UNCLEANED)
+    weights = tfidf.tfidf_weights(pages, ["page_id"], "html", vocab)
+    return weights.select("page_id", "term", F.round("weight", 6).alias("weight"))
+
+
 def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
     return _fit(R.labelled_reviews(spark, sf)).table.select("term", "df")
 
@@ -103,10 +122,43 @@ def padded_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return padded.select("doc_id", F.size("ids").cast("long").alias("length"), _joined("ids").alias("ids"))
 
 
+def legacy_word_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of pages that were not cleaned: punctuation is blanked, apostrophes stay."""
+    return fit_word_index(R.read_pages(spark, sf), "page_id", "html", CONFIG.num_words, split_legacy).table
+
+
+def legacy_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    pages = R.read_pages(spark, sf)
+    index = fit_word_index(pages, "page_id", "html", CONFIG.num_words, split_legacy)
+    found = S.text_sequences(pages, "page_id", "html", index, words_of=split_legacy)
+    return found.select("page_id", F.size("ids").cast("long").alias("n_ids"), _joined("ids").alias("ids"))
+
+
+def repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document twice as it is, and its first half once more without a key."""
+    docs = R.read_documents(spark, sf).select("doc_id", "text")
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return docs.unionByName(docs).unionByName(docs.select(F.lit(None).cast("long").alias("doc_id"), half.alias("text")))
+
+
+def sequences_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """One sequence per row, also where rows share a key or have none."""
+    index = fit_word_index(R.read_documents(spark, sf), "doc_id", "text", CONFIG.num_words)
+    found = S.text_sequences(repeated(spark, sf), "doc_id", "text", index)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), _joined("ids").alias("ids"))
+
+
+def weights_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Squared lengths of all rows' vectors, and how many weights they have, by key."""
+    weights = tfidf.tfidf_weights(repeated(spark, sf), KEY, "text", _fit(R.labelled_reviews(spark, sf)))
+    return weights.groupBy("doc_id").agg(
+        F.count("term").alias("n_weights"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"))
+
+
 def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = R.read_documents(spark, sf)
     index = fit_word_index(docs, "doc_id", "text", CONFIG.num_words)
-    encoded = W.encode(widen(docs, KEY), KEY, "text", W.piece_vocabulary(index), CONFIG.max_length)
+    encoded = W.encode(docs, KEY, "text", W.piece_vocabulary(index), CONFIG.max_length)
     return encoded.select(
         "doc_id",
         _joined("input_ids").alias("input_ids"),
@@ -118,8 +170,9 @@ def wordpiece(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens, ngrams, vocabulary, doc_freq, idf, vocab_size, tfidf_weights, tfidf_transform_val,
-        sparse_vectors, word_index, legacy_tokens, sequences, padded_sequences, wordpiece,
+        tokens, ngrams, vocabulary, vocabulary_pruned, uncleaned_vocabulary, uncleaned_weights, doc_freq, idf, vocab_size, tfidf_weights, tfidf_transform_val,
+        sparse_vectors, word_index, legacy_tokens, legacy_word_index, legacy_sequences, sequences, padded_sequences,
+        sequences_repeated_keys, weights_repeated_keys, wordpiece,
     )
 }
 
@@ -150,6 +203,29 @@ _INDEX = [
   (SELECT doc_id, list(idx ORDER BY pos) AS ids FROM t JOIN idx USING (word) GROUP BY doc_id) s USING (doc_id))""",
 ]
 
+_LEGACY_WORDS = r"""list_filter(string_split(
+  regexp_replace(lower(html), '[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n]', ' ', 'g'), ' '), lambda t: t <> '')"""
+_LEGACY = [
+    f"c AS (SELECT page_id AS doc_id, {_LEGACY_WORDS} AS w FROM pages)",
+    *_INDEX[1:],
+]
+
+# Runs of letters, digits, marks and underscores; one character alone is no word.
+_PAGES = [
+    r"""raw AS (SELECT page_id AS doc_id, regexp_extract_all(strip_accents(lower(html)), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM pages)""",
+    """raw_tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM raw UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM raw) GROUP BY doc_id, term)""",
+    f"""raw_v AS (SELECT term, CAST(sum(tf) AS BIGINT) AS ctf, count(*) AS df FROM raw_tf GROUP BY term
+  ORDER BY ctf DESC, term LIMIT {O.MAX_FEATURES})""",
+    """raw_m AS (SELECT term, ctf, df, ln((1.0 + n) / (1.0 + CAST(df AS DOUBLE))) + 1.0 AS idf
+  FROM raw_v, (SELECT CAST(count(*) AS DOUBLE) AS n FROM pages))""",
+]
+_TERM_ID = "CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id"
+
+REPEATED = """thrice AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM documents
+  UNION ALL SELECT NULL, text[1:length(text) // 2] FROM documents),
+numbered AS (SELECT row_number() OVER () AS rid, doc_id, text FROM thrice)"""
+
 ORACLES = {
     "tokens": O.with_ctes(
         [O.EVERY, *O.term_freq("d", "every")],
@@ -159,6 +235,41 @@ ORACLES = {
     "vocabulary": O.with_ctes(
         _FIT, "SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, ctf FROM bi_m"
     ),
+    "vocabulary_pruned": O.with_ctes(
+        [O.DOCS, *O.fit("bi", "docs", k=2_000)], f"SELECT term, {_TERM_ID}, ctf, df FROM bi_m"
+    ),
+    "uncleaned_vocabulary": O.with_ctes(_PAGES, f"SELECT term, {_TERM_ID}, ctf, df FROM raw_m"),
+    "uncleaned_weights": O.with_ctes(
+        [*_PAGES, *_weights("raw", "raw")],
+        "SELECT page_id, term, round(weight, 6) AS weight FROM pages LEFT JOIN y ON page_id = y.doc_id",
+    ),
+    "legacy_word_index": O.with_ctes(_LEGACY, "SELECT word, idx, cnt FROM idx"),
+    "legacy_sequences": O.with_ctes(
+        _LEGACY, "SELECT doc_id AS page_id, CAST(len(ids) AS BIGINT) AS n_ids, array_to_string(ids, ' ') AS ids FROM seq",
+    ),
+    "sequences_repeated_keys": O.with_ctes(
+        [
+            *index_ctes("documents"),
+            REPEATED,
+            f"n AS (SELECT rid, doc_id, {O.words(O.clean('text'), 1)} AS w FROM numbered)",
+            "p AS (SELECT rid, unnest(range(len(w))) AS pos, unnest(w) AS word FROM n)",
+            "s AS (SELECT rid, list(idx ORDER BY pos) AS ids FROM p JOIN idx USING (word) GROUP BY rid)",
+        ],
+        """SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_ids, coalesce(array_to_string(ids, ' '), '') AS ids
+FROM n LEFT JOIN s USING (rid)""",
+    ),
+    "weights_repeated_keys": O.with_ctes(
+        [
+            *_FIT,
+            REPEATED,
+            "again AS (SELECT rid, doc_id, text FROM numbered)",
+            *O.term_freq("rep", "again", "rid"),
+            "x AS (SELECT rid, term FROM rep_tf JOIN bi_m USING (term))",
+            "g AS (SELECT rid, count(*) AS n FROM x GROUP BY rid)",
+        ],
+        """SELECT doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_weights, round(CAST(nullif(count(n), 0) AS DOUBLE), 6) AS squares
+FROM numbered LEFT JOIN g USING (rid) GROUP BY doc_id""",
+    ),
     "doc_freq": O.with_ctes(_FIT, "SELECT term, df FROM bi_m"),
     "idf": O.with_ctes(_FIT, "SELECT term, round(idf, 6) AS idf FROM bi_m"),
     "vocab_size": O.with_ctes(_FIT, "SELECT count(*) AS vocab_size FROM bi_m"),

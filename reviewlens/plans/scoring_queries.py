@@ -11,6 +11,7 @@ from reviewlens.functions.text import strip_whitespace
 from reviewlens.operators import batches, compare, evaluate as E, registry, scorers, tfidf, validate
 from reviewlens.operators.tfidf import LinearModel
 from reviewlens.plans import oracle as O
+from reviewlens.plans.feature_queries import REPEATED, repeated
 from reviewlens.plans.report_queries import saved_models
 from reviewlens.sources import models as M
 from reviewlens.sources import reviews as R
@@ -58,6 +59,12 @@ def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored_all(spark, sf).select("doc_id", F.round("p_pos", 6).alias("p_pos"))
 
 
+def scores_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """One score per row, also where rows share a key or have none."""
+    scored = tfidf.score(repeated(spark, sf), KEY, "text", log_odds_model(R.labelled_reviews(spark, sf)))
+    return scored.select("doc_id", F.round("p_pos", 6).alias("p_pos"))
+
+
 def score_markup(spark: SparkSession, sf: str) -> DataFrame:
     """Pages whole, and reduced to their first tag, which cleaning leaves empty and so undecided."""
     pages = R.read_pages(spark, sf)
@@ -122,6 +129,16 @@ def batch_predict(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def batch_repeated_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn twice at its position, and all first turns once more without a conversation."""
+    turns = R.read_conversations(spark, sf).select("conv_id", "turn", "text")
+    lost = turns.filter("turn = 0").select(F.lit(None).cast("long").alias("conv_id"), "turn", "text")
+    answers = batches.batch_predict(
+        turns.unionByName(turns).unionByName(lost), "conv_id", "turn", "text", log_odds_model(R.labelled_reviews(spark, sf)),
+        CONFIG.batch_max_texts, CONFIG.text_max_chars)
+    return answers.select("conv_id", "status", "count", F.array_join("predictions.label", " ").alias("labels"))
+
+
 def scorer_map(spark: SparkSession, sf: str) -> DataFrame:
     """The linear model as a plugged-in scorer over every document."""
     scorer = scorers.LinearScorer.of(log_odds_model(R.labelled_reviews(spark, sf)))
@@ -251,7 +268,7 @@ def latency_stats(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        linear_scores, score_markup, decide, legacy_decide, softmax2, argmax_class, batch_predict, scorer_map, model_choice, compare_models, disagreement, disagreement_pattern, confidence_band, verdict_roles,
+        linear_scores, scores_repeated_keys, score_markup, decide, legacy_decide, softmax2, argmax_class, batch_predict, batch_repeated_positions, scorer_map, model_choice, compare_models, disagreement, disagreement_pattern, confidence_band, verdict_roles,
         formatted_report, validate_texts, validate_batches, confusion_counts, binary_metrics, class_report,
         confusion_matrix, log_loss, eval_by_model, evaluation_report, latency_stats,
     )
@@ -270,6 +287,10 @@ def _report_row(name: str, p: str, r: str, n: str) -> str:
 
 ORACLES = {
     "linear_scores": O.with_ctes(_ALL, "SELECT doc_id, round(p, 6) AS p_pos FROM scored"),
+    "scores_repeated_keys": O.with_ctes(
+        [O.DOCS, *O.fit("bi", "docs"), REPEATED, *O.score("scored", "bi", "numbered", "rid")],
+        "SELECT doc_id, round(p, 6) AS p_pos FROM scored",
+    ),
     "score_markup": O.with_ctes(
         [
             O.DOCS,
@@ -318,6 +339,21 @@ ORACLES = {
         """SELECT conv_id, status, CASE WHEN status = 200 THEN 'log_odds' END AS model, CASE WHEN status = 200 THEN n END AS count,
   CASE WHEN status = 200 THEN labels END AS labels, CASE WHEN status = 200 THEN confidences END AS confidences
 FROM b JOIN g USING (conv_id)""",
+    ),
+    "batch_repeated_positions": O.with_ctes(
+        [
+            O.DOCS,
+            *O.fit("bi", "docs"),
+            """turns AS (SELECT row_number() OVER () AS rid, conv_id, turn, text FROM (SELECT conv_id, turn, text FROM conversations
+  UNION ALL SELECT conv_id, turn, text FROM conversations
+  UNION ALL SELECT NULL, turn, text FROM conversations WHERE turn = 0))""",
+            *O.score("st", "bi", "turns", "rid"),
+            """b AS (SELECT conv_id, CAST(CASE WHEN count(text) BETWEEN 1 AND 32 THEN 200 ELSE 422 END AS INTEGER) AS status,
+  count(text) AS n FROM turns GROUP BY conv_id)""",
+            f"g AS (SELECT conv_id, string_agg({O.verdict('p')}, ' ' ORDER BY turn) AS labels FROM st GROUP BY conv_id)",
+        ],
+        """SELECT b.conv_id, status, CASE WHEN status = 200 THEN n END AS count, CASE WHEN status = 200 THEN labels END AS labels
+FROM b JOIN g ON b.conv_id IS NOT DISTINCT FROM g.conv_id""",
     ),
     "scorer_map": O.with_ctes(
         _ALL,

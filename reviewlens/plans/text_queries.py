@@ -59,11 +59,7 @@ def clean_idempotent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def accent_strip(spark: SparkSession, sf: str) -> DataFrame:
-    """Only texts with a character beyond ASCII go through Python."""
-    docs = R.read_documents(spark, sf)
-    beyond = F.coalesce(F.col("text").rlike(r"[^\x00-\x7F]"), F.lit(False))
-    plain = docs.filter(~beyond).select("doc_id", F.col("text").alias("plain"))
-    return plain.unionByName(docs.filter(beyond).select("doc_id", X.strip_accents("text").alias("plain")))
+    return R.read_documents(spark, sf).select("doc_id", X.without_accents(F.col("text")).alias("plain"))
 
 
 def labelled_reviews(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,16 +75,6 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(max(least, min(MOST_PARTS, -(-input_bytes(df) // SPREAD_BYTES))), *keys)
 
 
-def widen(scan: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread a plain file scan that has fewer parts than there are cores.
-
-    For work in Python on inputs of a few files; a scan with enough parts stays as it is.
-    Only for scans: counting the parts of a plan with shuffles would run them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
-
-
 def measure(df: DataFrame) -> tuple[int, int]:
     """Rows and payload bytes of an already materialised table of flat columns."""
     width: Column = F.lit(0)

@@ -1,14 +1,18 @@
 import math
+import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.operators import sequences as S
-from reviewlens.operators import tfidf, wordpiece
-from reviewlens.operators.vocabulary import fit_vocabulary, fit_word_index, top_by_count
+from reviewlens.operators import tfidf, vocabulary, wordpiece
+from reviewlens.functions.tokens import UNCLEANED, legacy_tokens
+from reviewlens.operators.vocabulary import TermSketch, fit_vocabulary, fit_word_index, frequent_buckets, top_by_count
 from reviewlens.session import byte_size, join_by_size
 
+KEY = ["doc_id"]
 TEXTS = {
     1: "good good plot and good cast",
     2: "bad plot and bad cast",
@@ -73,6 +77,110 @@ def test_transform_uses_the_frozen_vocabulary(spark, docs):
     assert got[(12, None)] is None and got[(13, None)] is None
 
 
+def zipf_texts(n=120):
+    random.seed(8)
+    words = [f"w{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    return {i: " ".join(random.choices(words, weights, k=random.randint(0, 60))) for i in range(n)}
+
+
+@pytest.mark.parametrize("buckets", [1, 16, 256, 1 << 16])
+@pytest.mark.parametrize("k", [5, 40, 300, 100_000])
+def test_ruling_out_rare_terms_loses_none(spark, buckets, k):
+    """From one counter for all terms to one for each, and cuts from high up to below the last term, ties included."""
+    texts = zipf_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    plain, pruned = (
+        {tuple(r) for r in fit_vocabulary(docs, KEY, "text", k, (1, 2), sketch=sketch).table.collect()}
+        for sketch in (TermSketch(), TermSketch(buckets, 3, least_bytes=0)))
+    total = Counter()
+    for text in texts.values():
+        total.update(terms(text))
+    assert plain == pruned and {r[0] for r in plain} == set(sorted(total, key=lambda t: (-total[t], t))[:k])
+
+
+def test_rare_terms_are_ruled_out(spark):
+    docs = spark.createDataFrame(list(zipf_texts(400).items()), "doc_id bigint, text string")
+    sketch = TermSketch(1 << 16, 4, least_bytes=0)
+    kept = frequent_buckets(docs, "text", [(50, (1, 2))], sketch, vocabulary.CLEANED)
+    all_terms = {t for text in zipf_texts(400).values() for t in terms(text)}
+    assert 50 <= kept.count() < len(all_terms) / 4
+    assert frequent_buckets(docs, "text", [(10**6, (1, 2))], sketch, vocabulary.CLEANED) is None
+
+
+def test_several_vocabularies_from_one_pruned_count(spark):
+    docs = spark.createDataFrame([(i, t, i % 2) for i, t in zipf_texts().items()], "doc_id bigint, text string, label int")
+    limits = [(30, (1, 2)), (60, (1, 1)), (20, (2, 2))]
+    tables = [
+        [sorted(map(tuple, v.table.collect())) for v in vocabulary.fit_vocabularies(docs, KEY, "text", limits, "label", sketch)]
+        for sketch in (TermSketch(), TermSketch(64, 2, least_bytes=0))]
+    assert tables[0] == tables[1]
+
+
+REPEATS = [(1, "good plot"), (1, "bad cast bad"), (None, "good good"), (None, "plot"), (1, "good plot"), (2, ""), (None, None)]
+
+
+def test_rows_that_share_a_key_stay_apart(spark):
+    docs = spark.createDataFrame(REPEATS, "doc_id bigint, text string")
+    vocab = fit_vocabulary(docs, KEY, "text", 1000, (1, 1))
+    assert {(r["term"], r["ctf"], r["df"]) for r in vocab.table.collect()} == {
+        ("good", 4, 3), ("plot", 3, 3), ("bad", 2, 1), ("cast", 1, 1)} and vocab.n_docs == 7
+    weights = tfidf.tfidf_weights(docs, KEY, "text", vocab).collect()
+    assert Counter((r["doc_id"], r["term"]) for r in weights) == Counter(
+        [(1, "good"), (1, "plot"), (1, "bad"), (1, "cast"), (None, "good"), (None, "plot"), (1, "good"), (1, "plot"), (2, None), (None, None)])
+    assert sum(r["weight"] ** 2 for r in weights if r["weight"]) == pytest.approx(5)
+    assert tfidf.vector_table(docs, KEY, "text", vocab).count() == 7
+    index = fit_word_index(docs, "doc_id", "text", 10)
+    ids = {r["word"]: r["idx"] for r in index.table.collect()}
+    got = S.text_sequences(docs, "doc_id", "text", index).collect()
+    want = [(k, tuple(ids[w] for w in (t or "").split())) for k, t in REPEATS]
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == Counter(want)
+
+
+def test_many_copies_of_one_row_are_spread(spark):
+    docs = spark.range(0, 400, 1, 8).select(F.lit(7).alias("doc_id"), F.lit("good plot").alias("text"))
+    spots = tfidf.term_counts(docs, KEY, "text", (1, 1)).select("_spot").distinct().count()
+    assert spots == 8 and tfidf.term_counts(docs, KEY, "text", (1, 1)).count() == 800
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "double"])
+@pytest.mark.parametrize("k", [2, 3, 4, 5, 9])
+def test_word_index_keys_of_any_type(spark, kind, k):
+    rows = [(3, "zeta beta omega"), (1, "beta alpha i"), (2, "zeta gamma rho"), (None, "none alpha"), (None, "last")]
+    docs = spark.createDataFrame(rows, "n int, text string")
+    key = F.date_add(F.lit("2020-01-01"), "n") if kind == "date" else F.concat(F.lit("k"), "n") if kind == "string" else F.col("n").cast(kind)
+    index = fit_word_index(docs.select(key.alias("key"), "text"), "key", "text", k)
+    words = [w for _, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)) for w in text.split()]
+    # Texts without a key come last; among them places alone decide, which ties here.
+    count, first = Counter(words), {w: words.index(w) for w in words}
+    want = sorted(count, key=lambda w: (-count[w], first[w]))[:k - 1]
+    got = [r["word"] for r in index.table.orderBy("idx").collect()]
+    assert got == want or k == 9 and sorted(got) == sorted(want)
+
+
+def test_uncleaned_texts(spark):
+    docs = spark.createDataFrame([(1, "<b>Caf\u00e9</b> CAFE! don't"), (2, "  "), (3, None)], "doc_id bigint, text string")
+    vocab = fit_vocabulary(docs, KEY, "text", 100, (1, 1), path=UNCLEANED)
+    assert {r["term"]: r["ctf"] for r in vocab.table.collect()} == {"cafe": 2, "don": 1}
+    weights = tfidf.tfidf_weights(docs, KEY, "text", vocab).collect()
+    assert {(r["doc_id"], r["term"]) for r in weights} == {(1, "cafe"), (1, "don"), (2, None), (3, None)}
+
+
+def test_uncleaned_and_cleaned_models_do_not_share_a_pass(spark, tiny_reviews):
+    a, b = (tfidf.class_log_odds_model(tiny_reviews, KEY, "text", "label", 100, (1, 1), k) for k in "ab")
+    b = replace(b, vocab=replace(b.vocab, path=UNCLEANED))
+    with pytest.raises(ValueError):
+        tfidf.score_models(tiny_reviews, KEY, "text", [a, b])
+
+
+def test_sequences_of_raw_words(spark):
+    docs = spark.createDataFrame([(1, "It's a <b>dog</b>, it's"), (2, None)], "doc_id bigint, text string")
+    index = fit_word_index(docs, "doc_id", "text", 50, legacy_tokens)
+    assert {r["word"] for r in index.table.collect()} == {"it's", "a", "b", "dog"}
+    got = {r["doc_id"]: r["words"] for r in S.text_sequences(docs, "doc_id", "text", index, words_of=legacy_tokens).collect()}
+    assert got == {1: ["it's", "a", "b", "dog", "b", "it's"], 2: []}
+
+
 def test_vectors_agree_with_weights(docs):
     vocab = fit_vocabulary(docs, ["doc_id"], "text", 1000, (1, 2))
     ids = {r["term"]: r["term_id"] for r in vocab.table.collect()}
@@ -132,7 +240,9 @@ def test_wordpiece_equals_a_public_tokenizer(spark):
     vocab = {r["piece"]: r["piece_id"] for r in pieces.collect()}
     other = tokenizers.Tokenizer(tokenizers.models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=100))
     other.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
-    got = {r["doc_id"]: r for r in wordpiece.encode(docs, ["doc_id"], "text", pieces, 256).collect()}
+    encoded = wordpiece.encode(docs, ["doc_id"], "text", pieces, 256)
+    assert "Python" not in encoded._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: r for r in encoded.collect()}
     for key, text in texts.items():
         ids = [2, *other.encode(text.strip()).ids[:254], 3]
         assert got[key]["input_ids"] == ids + [0] * (256 - len(ids))

@@ -1,3 +1,6 @@
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,8 +84,27 @@ def test_blank_filter(spark):
 
 
 def test_accents(spark):
-    df = spark.createDataFrame([("Caf\u00e9 \ufb01n \u212b",), ("plain",), (None,)], "t string")
-    assert [r[0] for r in df.select(X.strip_accents("t")).collect()] == ["Cafe fin A", "plain", None]
+    texts = ["Caf\u00e9 \ufb01n \u212b", "plain", None, "", "e\u0301\u0323x \u00bd \u2167 \uac01\ud55c\uae00 \ud7a3", "\U0001d400\u0344 \u3300 \ufdfa"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(X.without_accents(F.col("t"))).collect()]
+    assert got == [t if t is None else by_definition(t) for t in texts] and got[0] == "Cafe fin A"
+
+
+def by_definition(text):
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+def test_accents_of_every_character(spark):
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    lines = ["-".join(chars[i: i + 500]) for i in range(0, len(chars), 500)]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", X.without_accents(F.col("t")).alias("p")).collect()}
+    assert [i for i, line in enumerate(lines) if got[i] != by_definition(line)] == []
+
+
+def test_accents_need_no_python(spark):
+    plan = spark.range(1).select(X.without_accents(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_residual_markup(spark):
@@ -108,6 +130,6 @@ def test_wider_ngram_ranges(spark):
 
 def test_raw_and_legacy_tokens(spark):
     df = spark.createDataFrame([("It's <br />Café-bar, a 1!",)], "t string")
-    row = df.select(raw_word_tokens(F.col("t")).alias("raw"), legacy_tokens(F.col("t")).alias("legacy")).first()
+    row = df.select(raw_word_tokens(F.lower("t")).alias("raw"), legacy_tokens(F.col("t")).alias("legacy")).first()
     assert row["raw"] == ["it", "br", "café", "bar"]
     assert row["legacy"] == ["it's", "br", "café", "bar", "a", "1"]
