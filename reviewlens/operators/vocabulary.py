@@ -233,13 +233,15 @@ def fit_word_index(
         early = F.lit(True) if last["without"] else F.col("_first") <= F.lit(last["key"])
         kept = words.filter(F.col("cnt") > cut["at"]).unionByName(at.filter(early))
     kept = materialise(kept)
-    firsts = materialise(kept.select(F.col("_first").alias("_key")).distinct())
-    texts = docs.withColumn("_known", F.col("_key").isNotNull())
+    size, unkeyed = kept.agg(
+        F.coalesce(F.sum(F.octet_length("word") + F.octet_length(F.col("_first").cast("string")) + 32), F.lit(0)),
+        F.coalesce(F.bool_or(F.col("_first").isNull()), F.lit(False))).first()
+    firsts = kept.select(F.col("_first").alias("_key")).distinct()
     # A null key joins nothing; the words that only such texts have are looked up there.
-    found = join_by_size(texts.filter("_known"), firsts, ["_key"], "inner", byte_size(firsts), ["_text"])
-    found = found.unionByName(texts.filter("NOT _known")) if kept.filter("_first IS NULL").take(1) else found
+    found = join_by_size(docs.filter("_key IS NOT NULL"), firsts, ["_key"], "left_semi", size, ["_text"])
+    found = found.unionByName(docs.filter("_key IS NULL")) if unkeyed else found
     places = found.select("_key", F.posexplode(words_of(F.col("_text"))).alias("pos", "word"))
-    near = join_by_size(places, kept, ["word"], "inner", byte_size(kept), ["_key", "pos"]).filter(F.col("_key").eqNullSafe(F.col("_first")))
+    near = join_by_size(places, kept, ["word"], "inner", size, ["_key", "pos"]).filter(F.col("_key").eqNullSafe(F.col("_first")))
     placed = materialise(near.groupBy("word", "cnt", "_first").agg(F.min("pos").alias("_pos")))
     # A little more than num_words rows are left, so one window over all of them is fine.
     rank = Window.orderBy(F.col("cnt").desc(), F.col("_first").asc_nulls_last(), "_pos")

@@ -11,7 +11,7 @@ from reviewlens.functions.tokens import cleaned_words
 from reviewlens.operators.rows import ROW, spread_rows
 from reviewlens.operators.sequences import pad_back
 from reviewlens.operators.vocabulary import WordIndex
-from reviewlens.session import byte_size, join_by_size, materialise
+from reviewlens.session import byte_size, join_by_size, materialise, spread
 
 # Special pieces come first, in this order; longer words are unknown.
 SPECIAL = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
@@ -31,13 +31,14 @@ def piece_vocabulary(index: WordIndex) -> DataFrame:
     return materialise(head.unionByName(words))
 
 
-def longest_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, steps): for each place of a word the longest piece that begins there, as a map to (n, id).
+def fitting_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, steps): all pieces that stand somewhere in a word, by place and, at a place, the longest first.
 
     All beginnings and inner parts of a word, up to the longest piece there is, meet the vocabulary in one join.
     """
+    pieces = vocabulary.filter(~F.col("piece").isin(SPECIAL))
     inner = F.col("piece").startswith("##")
-    longest = vocabulary.filter(~F.col("piece").isin(SPECIAL)).agg(
+    longest = pieces.agg(
         F.max(F.when(~inner, F.length("piece"))).alias("first"), F.max(F.when(inner, F.length("piece") - 2)).alias("inner")).first()
     size = F.length("word")
 
@@ -51,11 +52,10 @@ def longest_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), size - 1), lambda at: parts(at, F.least(size - at, F.lit(longest["inner"] or 1)), "##"))))
     tried = words.filter(size <= MAX_WORD_CHARS).select(
         "word", F.explode(F.concat(starts, F.coalesce(rest, F.slice(starts, 1, 0)))).alias("t")).select("word", "t.*")
-    pieces = vocabulary.filter(~F.col("piece").isin(SPECIAL))
     found = join_by_size(tried, pieces, ["piece"], "inner", byte_size(pieces), ["word", "at"])
-    best = found.groupBy("word", "at").agg(F.max(F.struct("n", F.col("piece_id").alias("id"))).alias("best"))
-    # The group is the places of one word.
-    return best.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("steps"))
+    # The group is the parts of one word of at most MAX_WORD_CHARS characters.
+    return found.groupBy("word").agg(
+        F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), F.col("piece_id").alias("id")))).alias("steps"))
 
 
 def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -63,16 +63,15 @@ def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     unknown = F.array(F.lit(SPECIAL.index("[UNK]")))
     nothing = F.struct(F.lit(0).alias("at"), F.slice(unknown, 1, 0).alias("ids"))
 
-    def step(so_far: Column, at: Column) -> Column:
-        piece = F.element_at(F.col("steps"), at)
-        found = F.struct((at + piece["n"]).alias("at"), F.concat(so_far["ids"], F.array(piece["id"])).alias("ids"))
-        # No place is reached from a word's unknown part, so the walk ends there.
-        lost = F.struct(F.lit(-1).alias("at"), unknown.alias("ids"))
-        return F.when(so_far["at"] != at, so_far).when(piece.isNull(), lost).otherwise(found)
+    def step(so_far: Column, piece: Column) -> Column:
+        # Of the pieces at a place the longest comes first; it moves the walk on, past the others.
+        taken = F.struct((piece["at"] - piece["less"]).alias("at"), F.concat(so_far["ids"], F.array(piece["id"])).alias("ids"))
+        return F.when(so_far["at"] == piece["at"], taken).otherwise(so_far)
 
-    known = words.join(longest_pieces(words, vocabulary), "word", "left")
-    walked = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1), nothing, step)
-    return known.select("word", F.when(F.col("steps").isNull(), unknown).otherwise(walked["ids"]).alias("ids"))
+    known = words.join(fitting_pieces(words, vocabulary), "word", "left").select(
+        "word", F.aggregate("steps", nothing, step).alias("walked"))
+    whole = F.coalesce(F.col("walked.at") == F.length("word"), F.lit(False))
+    return known.select("word", F.when(whole, F.col("walked.ids")).otherwise(unknown).alias("ids"))
 
 
 def encode(docs: DataFrame, keys: list[str], text: str, vocabulary: DataFrame, max_length: int) -> DataFrame:
@@ -83,11 +82,14 @@ def encode(docs: DataFrame, keys: list[str], text: str, vocabulary: DataFrame, m
     not be cut. ``vocabulary`` should be a materialised table.
     """
     room = max_length - 2
-    cut = F.slice(cleaned_words(F.col(text)), 1, room)
-    distinct = docs.select(F.explode(cut).alias("word")).distinct()
-    pieces = materialise(word_pieces(materialise(distinct), vocabulary))
+    # Written, so that texts are cleaned once; what is left of a text is a bounded number of words.
+    texts = materialise(spread_rows(docs, keys, text).select(
+        *keys, *ROW, F.slice(cleaned_words(F.col(text)), 1, room).alias("_words")))
+    distinct = materialise(texts.select(F.explode("_words").alias("word")).distinct())
+    # Words are few bytes but many parts, so they are spread by more than their size; all below stays in place.
+    pieces = materialise(word_pieces(spread(distinct, ["word"]), vocabulary))
     size = pieces.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 32)).first()[0] or 0
-    placed = spread_rows(docs, keys, text).withColumn("_words", cut).select(
+    placed = texts.select(
         *keys, *ROW, (F.size("_words") == 0).alias("empty"), F.posexplode_outer("_words").alias("pos", "word"))
     known = join_by_size(placed, pieces, ["word"], "left", size, [*ROW, "pos"])
     # The group is at most max_length - 2 words of one text.
