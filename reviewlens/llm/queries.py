@@ -62,16 +62,16 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, exact copies go, and documents cleaned of junk marks count anew; batch 1 is sent twice."""
     docs = table(spark, sf_dir, "documents")
     rollup_table = rollup.TokenRollup(spark, scratch_path(spark, "token-rollup"))
-    rollup_table.commit(1, rollup.count_changes(docs))
+    rollup_table.commit(1, rollup.count_changes(docs), add_unnamed=True)
     first = docs.where("text IS NOT NULL").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first"))
     copies = docs.select("doc_id", "source", "lang", F.md5("text").alias("digest")).join(first, "digest")
     copies = copies.where("doc_id <> first").select("doc_id", "source", "lang", F.lit(None).cast("string").alias("text"))
     rollup_table.commit(2, rollup.count_changes(copies, delete=F.lit(True)))
     junk = "[%*&$#]{3}"
     cleaned = docs.where(F.col("text").rlike(junk)).withColumn("text", F.regexp_replace("text", junk, ""))
-    kept = rollup_table.ledger().where("tokens IS NOT NULL").select("doc_id").distinct()
+    kept = rollup_table.ledger().select("doc_id").distinct()
     rollup_table.commit(3, rollup.count_changes(cleaned.join(kept, "doc_id", "left_semi")))
-    rollup_table.commit(1, rollup.count_changes(docs))
+    rollup_table.commit(1, rollup.count_changes(docs), add_unnamed=True)
     return rollup_table.totals()
 
 

@@ -206,6 +206,71 @@ def test_rollup_ignores_what_was_not_committed(spark):
     assert table.commit(9, one) and table.totals().first()["tokens"] == 4
 
 
+CHANGES = "doc_id bigint, version string, source string, lang string, tokens bigint"
+
+
+def test_batches_that_come_late_count_as_later_changes(spark):
+    table = rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
+    for batch, tokens in ((5, 10), (3, 7), (6, 1)):
+        assert table.commit(batch, spark.createDataFrame([(1, "v", "s", "en", tokens)], CHANGES))
+        assert table.totals().first()["tokens"] == tokens == table.ledger().first()["tokens"]
+    assert not table.commit(3, spark.createDataFrame([(1, "v", "s", "en", 99)], CHANGES))
+    assert [c["batch"] for c in table.commits()] == [5, 3, 6]
+
+
+def test_two_jobs_at_once(spark, monkeypatch):
+    """Between one job's reading of the ledger and its commit another job commits."""
+    folder = scratch_path(spark, "rollup")
+    one, other = rollup.TokenRollup(spark, folder), rollup.TokenRollup(spark, folder)
+    assert one.commit(1, spark.createDataFrame([(1, "v", "s", "en", 4), (2, "v", "s", "en", 5)], CHANGES))
+    own = rollup.TokenRollup._commit
+
+    def late(self, number, **content):
+        if self is one:
+            monkeypatch.setattr(rollup.TokenRollup, "_commit", own)
+            assert other.commit(2, spark.createDataFrame([(1, "v", "s", "en", 40)], CHANGES))
+        return own(self, number, **content)
+
+    monkeypatch.setattr(rollup.TokenRollup, "_commit", late)
+    assert one.commit(3, spark.createDataFrame([(1, "v", "s", "en", 7)], CHANGES))
+    assert [c["batch"] for c in one.commits()] == [1, 2, 3]
+    assert one.totals().first()["tokens"] == 12 and other.totals().first()["tokens"] == 12
+
+    def twice(self, number, **content):
+        if self is one:
+            monkeypatch.setattr(rollup.TokenRollup, "_commit", own)
+            assert other.commit(4, spark.createDataFrame([(2, "v", "s", "en", 6)], CHANGES))
+        return own(self, number, **content)
+
+    monkeypatch.setattr(rollup.TokenRollup, "_commit", twice)
+    assert not one.commit(4, spark.createDataFrame([(2, "v", "s", "en", 6)], CHANGES))
+    assert one.totals().first()["tokens"] == 13 and len(one.commits()) == 4
+
+
+def test_rollup_counts_every_row(spark):
+    table = rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
+    rows = [(1, "v", "s", "en", 4), (1, "v", "s", "en", 4), (1, "v", "t", None, 2), (None, "v", "s", "en", 9), (1, "v", "s", "en", None)]
+    assert table.commit(1, spark.createDataFrame(rows, CHANGES), add_unnamed=True)
+    got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in table.totals().collect()}
+    assert got == {("s", "en"): (3, 17), ("t", None): (1, 2)}
+    assert table.commit(2, spark.createDataFrame([(1, "v", "s", "en", None)], CHANGES))
+    assert [tuple(r) for r in table.totals().collect()] == [("s", "en", "v", 1, 9)]
+    assert table.ledger().count() == 0
+
+
+def test_a_compacted_rollup_goes_on(spark):
+    table = rollup.TokenRollup(spark, scratch_path(spark, "rollup"))
+    assert not table.compact()
+    for batch in range(3):
+        rows = [(i, "v", "s", "en", i + batch) for i in range(batch, 6)]
+        table.commit(batch, spark.createDataFrame(rows, CHANGES))
+    before = sorted(map(tuple, table.totals().collect()))
+    assert table.compact() and sorted(map(tuple, table.totals().collect())) == before
+    assert not table.commit(2, spark.createDataFrame([(1, "v", "s", "en", 50)], CHANGES))
+    assert table.commit(9, spark.createDataFrame([(5, "v", "s", "en", None)], CHANGES))
+    assert table.totals().first()["tokens"] == before[0][4] - 7 and table.totals().first()["documents"] == 5
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {"documents": docs}
@@ -238,4 +303,4 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
