@@ -18,14 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.sampling import smallest_hashes
 from reviewlens.llm.words import slices, text_bytes
 from reviewlens.session import materialise
 
 UNDECIDED = "und"
-_letter = re.compile(r"[^\W\d_]").search
+_candidates = re.compile(r"[^\W\d_]").finditer
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; number characters such as ½ and Ⅷ, which the pattern lets through, are none."""
+    return any(m.group().isalpha() for m in _candidates(text or ""))
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,7 @@ class LangConfig:
     window: int = 64
     hidden: int = 8
     per_language: int = 400  # sampled documents of a language, at most
+    most_languages: int = 256  # languages that are learned, those with the most sampled documents
     windows_each: int = 4  # training windows of a sampled document, at most
     steps: int = 240
     batch: int = 192
@@ -237,12 +244,13 @@ def window_rows(config: LangConfig) -> callable:
 def fit_network(docs: DataFrame, config: LangConfig = LangConfig()) -> ByteGRU | None:
     """Train on documents that are not held out and have a text and a language; None if there are none."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Only ids are ranked, and each task passes on per_language rows of a language at most.
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
-    ids = materialise(ids.where(F.col("rank") <= config.per_language).select("doc_id").distinct())
-    # per_language documents of each language bound this broadcast and what the driver gets.
-    pieces = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
+    ids = smallest_hashes(known, "doc_id", config.per_language, by="lang")
+    most = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.most_languages)
+    # per_language documents of most_languages languages bound this broadcast and what the driver gets: a
+    # doc_id that is repeated gives one text for each of its languages.
+    ids = materialise(ids.join(most.select("lang"), "lang", "left_semi"))
+    pieces = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    pieces = pieces.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     rows = pieces.mapInArrow(window_rows(config), "lang string, piece binary").collect()
     rows = sorted((r["lang"], bytes(r["piece"])) for r in rows if len(r["piece"]))
     if not rows:
@@ -260,7 +268,7 @@ def label_batches(network: ByteGRU | None) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [bool(t and _letter(t)) for t in part.column("text").to_pylist()]
+                found = list(map(has_letter, part.column("text").to_pylist()))
                 langs, scores = [UNDECIDED] * len(found), np.zeros(len(found))
                 if network is not None:
                     p = network.probabilities(*text_bytes(part.column("text")))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.llm.sampling import smallest_hashes
 from reviewlens.llm.words import IS_SPACE, find_words, hash_spans, lower_ascii, slices, text_bytes
 from reviewlens.session import materialise
 
@@ -174,8 +175,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxic
     flags = flags.dropna().groupBy("doc_id").agg(*(F.max(n).alias(n) for n in names))
     # Ids first: which rows are sampled is known before any text is read. sample_rows bounds the broadcast.
     ids = flags.join(docs.where("text IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    ids = materialise(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.sample_rows))
+    ids = materialise(ids.join(F.broadcast(smallest_hashes(ids, "doc_id", config.sample_rows)), "doc_id", "left_semi"))
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    # One text of a doc_id that is repeated, so that sample_rows bounds what the driver gets as well.
+    sample = sample.groupBy("doc_id", *names).agg(F.min("text").alias("text"))
     sample = materialise(sample.repartition(max(1, min(24, ids.count() // 250)), "doc_id"))
     total = sample.count()
     counts_schema = "feature bigint, n bigint, " + ", ".join(f"n_{i} bigint" for i in range(len(names)))
@@ -198,7 +201,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxic
     rows = sample.select("doc_id", *names, "text").mapInArrow(
         place_batches(vocabulary), f"doc_id {kind}, {columns}, places array<bigint>")
     rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(config.folds)))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most sample_rows and their repeats
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most sample_rows
     return fit_rows([np.array(r["places"], np.int64) for r in rows], np.array([[r[n] for n in names] for r in rows], float),
                     np.array([r["fold"] for r in rows]), names, vocabulary, config)
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from reviewlens.llm import langid, pieces, secrets, toxicity
+from reviewlens.llm import langid, pieces, sampling, secrets, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -110,6 +110,36 @@ def test_language_network(spark):
     assert again == {i: r["lang_pred"] for i, r in got.items()}
 
 
+def test_number_characters_are_no_letters():
+    assert [langid.has_letter(t) for t in (None, "", "\u00bd \u00b2 12", "\u2167", "12 \u2167 x", "\u00e9", "_ 3", "\u65e5", "\u0661")] == [
+        False, False, False, False, True, True, False, True, False]
+
+
+def test_smallest_hashes(spark):
+    rows = [(i % 900, "a" if i % 900 < 700 else "b") for i in range(1800)] + [(5, "a")] * 3000 + [(2000, "c")]
+    table = spark.createDataFrame(rows, "doc_id bigint, lang string").repartition(7)
+    order = {r[0]: r[1] for r in spark.range(0, 2001).selectExpr("id", "xxhash64(id)").collect()}
+    got = sampling.smallest_hashes(table, "doc_id", 50, by="lang").collect()
+    for lang in "abc":
+        own = sorted({i for i, x in rows if x == lang}, key=lambda i: (order[i], i))[:50]
+        assert sorted(r["doc_id"] for r in got if r["lang"] == lang) == sorted(own)
+    whole = sampling.smallest_hashes(table, "doc_id", 70).collect()
+    assert sorted(r["doc_id"] for r in whole) == sorted(sorted({i for i, _ in rows}, key=lambda i: (order[i], i))[:70])
+    assert sampling.smallest_hashes(table.limit(0), "doc_id", 5).count() == 0
+
+
+def test_a_repeated_document_adds_nothing_to_the_samples(spark, monkeypatch):
+    rows = [(i, f"text number {i} of some words", "en", i % 2) for i in range(60)] + [(7, f"again {i}", "en", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    seen = []
+    monkeypatch.setattr(langid.ByteGRU, "fit", lambda self, data, *rest: seen.append(len(data)))
+    langid.fit_network(docs, langid.LangConfig(per_language=30))
+    assert seen[0] <= 30
+    monkeypatch.setattr(toxicity, "fit_rows", lambda places, *rest: seen.append(len(places)))
+    toxicity.fit_chain(docs, docs.selectExpr("doc_id", "toxic", "1 AS quality"), toxicity.ToxicityConfig(sample_rows=40))
+    assert seen[1] <= 40
+
+
 def test_language_without_anything_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id bigint, text string, lang string")
     assert langid.fit_network(docs) is None
