@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.topk import usable, weights
+from reviewlens.llm.topk import stacked, usable, weights
 from reviewlens.session import materialise
 
 LEAST = -(1 << 62)
@@ -51,14 +51,6 @@ class MiningConfig:
     step: int = 256  # rows of a list that are scored at a time
 
 
-def stacked(vectors: list, width: int) -> np.ndarray:
-    """Weights as one matrix; shorter vectors end in zeros."""
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, vector in enumerate(vectors):
-        out[i, :len(vector)] = vector
-    return out
-
-
 def directions(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lengths, and the rows as unit vectors; a zero row stays zero."""
     matrix = matrix.astype(float)

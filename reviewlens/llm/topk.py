@@ -1,6 +1,6 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Rows are cut into blocks of neighbouring ids. For each term (a dimension and a sign) a block keeps the
+Rows are cut into blocks. For each term (a dimension and a sign) a block keeps the
 largest weight that any of its rows has, so the sum over a query's terms of weight times maximum bounds
 every score in the block. A query visits blocks in falling order of that bound, scores a block through
 its forward index (its rows as one matrix), and stops at the first block whose bound lies below the k-th
@@ -45,11 +45,19 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
+def stacked(vectors: list, width: int) -> np.ndarray:
+    """Weights as one matrix; shorter vectors end in zeros."""
+    out = np.zeros((len(vectors), width), np.int64)
+    for i, vector in enumerate(vectors):
+        out[i, :len(vector)] = vector
+    return out
+
+
 class BlockIndex:
     """Forward index of one group: blocks of rows, and each block's least and largest weight by dimension."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, block_rows: int) -> None:
-        self.ids, self.matrix = ids, matrix
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, matrix: np.ndarray, block_rows: int) -> None:
+        self.ids, self.rows, self.matrix = ids, rows, matrix
         self.starts = np.arange(0, len(ids), block_rows)
         self.high = np.maximum.reduceat(matrix, self.starts)
         self.low = np.minimum.reduceat(matrix, self.starts)
@@ -70,9 +78,9 @@ class BlockIndex:
         return up @ self.high.T.astype(up.dtype) + down @ self.low.T.astype(up.dtype)
 
 
-def search(index: BlockIndex, query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int,
+def search(index: BlockIndex, query_rows: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int,
            first_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) arrays that hold each query's k best rows of the group reaching its floor."""
+    """(query, id, score) arrays that hold each query's k best rows of the group reaching its floor."""
     bounds = index.bounds(queries)
     order = np.argsort(-bounds, axis=1, kind="stable")
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
@@ -90,7 +98,7 @@ def search(index: BlockIndex, query_ids: np.ndarray, queries: np.ndarray, floors
             span = slice(int(index.starts[block]), int(index.ends[block]))
             scores = index.scores(queries[mine], span)
             ids = index.ids[span]
-            scores_ok = (scores >= floors[mine, None]) & (ids[None, :] != query_ids[mine, None])
+            scores_ok = (scores >= floors[mine, None]) & (index.rows[span][None, :] != query_rows[mine, None])
             for q, row, ok in zip(mine.tolist(), scores, scores_ok):
                 if not ok.any():
                     continue
@@ -103,24 +111,25 @@ def search(index: BlockIndex, query_ids: np.ndarray, queries: np.ndarray, floors
     counts = [len(x[0]) for x in best]
     if not sum(counts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return (np.repeat(query_ids, counts), np.concatenate([x[0] for x in best]), np.concatenate([x[1] for x in best]))
+    return (np.repeat(query_rows, counts), np.concatenate([x[0] for x in best]), np.concatenate([x[1] for x in best]))
 
 
-def search_groups(config: TopKConfig, first_only: bool) -> callable:
+def search_groups(config: TopKConfig, width: int, first_only: bool) -> callable:
     def run(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+        out = pd.DataFrame({"query": [], "vec_id": [], "score": []}, dtype="int64")
         if not len(rows) or not len(queries):
             return out
         rows = rows.sort_values("vec_id", kind="stable")
-        index = BlockIndex(rows["vec_id"].to_numpy(), np.array(rows["w"].tolist(), np.int64), config.block_rows)
-        found = search(index, queries["query_id"].to_numpy(), np.array(queries["asked"].tolist(), np.int64),
+        index = BlockIndex(
+            rows["vec_id"].to_numpy(), rows["row"].to_numpy(), stacked(rows["w"].tolist(), width), config.block_rows)
+        found = search(index, queries["query"].to_numpy(), stacked(queries["asked"].tolist(), width),
                        queries["floor"].to_numpy(), config.k, first_only)
         return pd.DataFrame(dict(zip(out.columns, found)))
     return run
 
 
 def top_rows(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -129,38 +138,39 @@ def top_k(embeddings: DataFrame, config: TopKConfig = TopKConfig()) -> DataFrame
 
     Queries are the rows whose vec_id is divisible by ``every``; a row is no candidate of its own query.
     Vectors that are null or hold null, NaN or infinite components, and rows with a null vec_id, take no part.
-    All vectors must have one length. Rows that repeat a vec_id are taken once, with their least vector.
-    Columns other than vec_id and embedding are not read.
+    Vectors of different lengths meet as if the shorter ended in zeros. Rows that repeat a vec_id are rows of their
+    own: each is a query if its id says so, and a candidate of all others. Columns other than vec_id and
+    embedding are not read.
     """
-    vectors = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    vectors = vectors.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
-    vectors = materialise(vectors.select("vec_id", weights(F.col("embedding"), config.scale).alias("w")))
-    total, low, high = vectors.agg(F.count("*"), F.min("vec_id"), F.max("vec_id")).first()
+    vectors = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), weights(F.col("embedding"), config.scale).alias("w"))
+    vectors = materialise(vectors.withColumn("row", F.monotonically_increasing_id()))
+    total, width = vectors.agg(F.count("*"), F.max(F.size("w"))).first()
     groups = max(1, -(-(total or 0) // config.group_rows))
     batches = max(1, -(-(total or 0) // (config.every * config.batch_queries)))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // groups))
-    # Ranges of ids make the groups (blocks are ranges in them); a hash deals the queries to batches.
-    group = F.floor((F.col("vec_id") - F.lit(low or 0)) / F.lit(width)).cast("long")
+    # A hash deals rows to groups and queries to batches, so both hold what they should whatever the ids are.
+    group = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("long")
     every_batch = F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))
     every_group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
-    rows = vectors.select(group.alias("g"), every_batch.alias("b"), "vec_id", "w")
+    rows = vectors.select(group.alias("g"), every_batch.alias("b"), "row", "vec_id", "w")
     is_query = F.col("vec_id") % config.every == 0
     # A table of its own, so that rows and queries don't meet as two uses of one plan.
     queries = materialise(vectors.where(is_query).select(
-        F.col("vec_id").alias("query_id"), F.col("w").alias("asked"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int").alias("b")))
+        F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("w").alias("asked"),
+        F.pmod(F.xxhash64("row", F.lit(2)), F.lit(batches)).cast("int").alias("b")))
 
     def visit(asked: DataFrame, first_only: bool) -> DataFrame:
-        asked = asked.select(every_group.alias("g"), "b", "query_id", "asked", "floor")
+        asked = asked.select(every_group.alias("g"), "b", "query", "asked", "floor")
         return rows.groupBy("g", "b").cogroup(asked.groupBy("g", "b")).applyInPandas(
-            search_groups(config, first_only), "query_id bigint, vec_id bigint, score bigint")
+            search_groups(config, max(width or 0, 1), first_only), "query bigint, vec_id bigint, score bigint")
 
     nothing = F.lit(-float("inf"))
     if groups > 1:
         seen = visit(queries.withColumn("floor", nothing), True)
-        floors = top_rows(seen, config.k).where(F.col("rank") == config.k).select("query_id", F.col("score").alias("f"))
-        queries = materialise(queries.join(materialise(floors), "query_id", "left").withColumn(
+        floors = top_rows(seen, config.k).where(F.col("rank") == config.k).select("query", F.col("score").alias("f"))
+        queries = materialise(queries.join(materialise(floors), "query", "left").withColumn(
             "floor", F.coalesce(F.col("f").cast("double"), nothing)).drop("f"))
     else:
         queries = queries.withColumn("floor", nothing)
-    return top_rows(visit(queries, False), config.k).select("query_id", "rank", "vec_id", "score")
+    best = top_rows(visit(queries, False), config.k)
+    return best.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")
