@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewlens.functions.decision import confidence, verdict
+from reviewlens.session import materialise
+
+
+def timed(scores: DataFrame) -> DataFrame:
+    """The scores, written, with ``latency_ms``: the time of the scoring job per text.
+
+    The rows are counted by the job itself while it writes them, so measuring takes no pass of its own. All
+    models are scored in one pass, so they share the figure.
+    """
+    seen = Observation()
+    start = time.perf_counter()
+    written = materialise(scores.observe(seen, F.count(F.lit(1)).alias("n")))
+    elapsed = 1000 * (time.perf_counter() - start)
+    return written.withColumn("latency_ms", F.lit(elapsed / max(seen.get["n"], 1)))
 
 
 def to_long(scores: DataFrame, keys: list[str], models: dict[str, str], carry: list[str] = []) -> DataFrame:

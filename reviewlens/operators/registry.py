@@ -49,12 +49,43 @@ def availability(registry: DataFrame, required: DataFrame, present: DataFrame) -
     )
 
 
-def model_lists(available: DataFrame) -> DataFrame:
-    """One row: the available and the registered model keys, both in registry order."""
+def artifacts_by(present: DataFrame, by: list[str]) -> DataFrame:
+    """(by, found): the registry's artefacts that each site has, as ``folder/name``; other files don't count.
+
+    A site that has none of them keeps its row. There are few artefacts, so the group is small and is
+    merged before the shuffle, however many files of one site are listed.
+    """
+    name = F.concat_ws("/", "artifact_dir", "artifact")
+    known = name.isin([f"{folder}/{artifact}" for folder, artifact, _ in REQUIRED_ARTIFACTS])
+    return present.groupBy(*by).agg(F.collect_set(F.when(known, name)).alias("found"))
+
+
+def availability_by(present: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ord, model_key, available) for each site of ``present`` (by, artifact_dir, artifact)."""
+    models = F.array(*[
+        F.struct(F.lit(n).alias("ord"), F.lit(key).alias("model_key"), F.array(*[
+            F.lit(f"{folder}/{artifact}") for folder, artifact, essential in REQUIRED_ARTIFACTS if essential and folder == own
+        ]).alias("needs"))
+        for n, key, _, own in MODELS
+    ])
+    return artifacts_by(present, by).select(*by, "found", F.inline(models)).select(
+        *by, "ord", "model_key", (F.size(F.array_except("needs", "found")) == 0).alias("available"))
+
+
+def missing_by(present: DataFrame, by: list[str]) -> DataFrame:
+    """(by, artifact_dir, artifact) of what each site lacks."""
+    required = F.array(*[F.lit(f"{folder}/{artifact}") for folder, artifact, _ in REQUIRED_ARTIFACTS])
+    lacking = artifacts_by(present, by).select(*by, F.explode(F.array_except(required, "found")).alias("a"))
+    return lacking.select(*by, F.split_part("a", F.lit("/"), F.lit(1)).alias("artifact_dir"),
+                          F.split_part("a", F.lit("/"), F.lit(2)).alias("artifact"))
+
+
+def model_lists(available: DataFrame, by: list[str] = []) -> DataFrame:
+    """The available and the registered model keys, both in registry order; one row, or one per site."""
     def keys(only: Column) -> Column:
         return F.array_sort(F.collect_list(F.when(only, F.struct("ord", "model_key"))))["model_key"]
 
-    return available.agg(
+    return available.groupBy(*by).agg(
         keys(F.col("available")).alias("models_available"),
         keys(F.lit(True)).alias("models_registered"),
     )

@@ -38,19 +38,26 @@ def saved_models(spark: SparkSession, sf: str) -> str:
     return folder
 
 
+def deliveries(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, artifact_dir, artifact): sources as sites. Each labelled document brings one artefact of the list to
+    its source, by its number, if it is of good quality; else a file that the registry doesn't know."""
+    names = F.array(*[F.struct(F.lit(d).alias("artifact_dir"), F.lit(a).alias("artifact")) for d, a, _ in registry.REQUIRED_ARTIFACTS])
+    own = F.get(names, (F.col("doc_id") % len(registry.REQUIRED_ARTIFACTS)).cast("int"))
+    return R.labelled_reviews(spark, sf).select(
+        "source", own["artifact_dir"].alias("artifact_dir"), F.when(F.col("label") == 1, own["artifact"]).otherwise("notes.txt").alias("artifact"))
+
+
 def availability(spark: SparkSession, sf: str) -> DataFrame:
-    present = M.list_artifacts(spark, saved_models(spark, sf))
-    return registry.availability(registry.registry_table(spark), registry.required_artifacts(spark), present)
+    return registry.availability_by(deliveries(spark, sf), ["source"])
 
 
 def model_lists(spark: SparkSession, sf: str) -> DataFrame:
-    lists = registry.model_lists(availability(spark, sf))
-    return lists.select(*[F.array_join(c, " ").alias(c) for c in lists.columns])
+    lists = registry.model_lists(availability(spark, sf), ["source"])
+    return lists.select("source", *[F.array_join(c, " ").alias(c) for c in lists.columns[1:]])
 
 
 def missing_artifacts(spark: SparkSession, sf: str) -> DataFrame:
-    present = M.list_artifacts(spark, saved_models(spark, sf))
-    return registry.missing_artifacts(registry.required_artifacts(spark), present)
+    return registry.missing_by(deliveries(spark, sf), ["source"])
 
 
 def _part_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,17 +182,35 @@ def _parts() -> list[str]:
     ]
 
 
+# What each tier needs, numbered as documents bring it.
+_NEEDS = ", ".join(f"({i}, '{d}', '{a}', {str(e).lower()})" for i, (d, a, e) in enumerate(registry.REQUIRED_ARTIFACTS))
+_SITES = [
+    f"need AS (SELECT * FROM (VALUES {_NEEDS}) v(i, artifact_dir, artifact, essential))",
+    """reg AS (SELECT * FROM (VALUES (0, 'baseline', 'baseline'), (1, 'lstm', 'lstm'), (2, 'transformer', 'transformer_onnx'))
+  v(ord, model_key, artifact_dir))""",
+    "brought AS (SELECT DISTINCT source, doc_id % 13 AS i FROM documents JOIN labels USING (doc_id) WHERE quality = 1)",
+    "site AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id))",
+    """each AS (SELECT site.source, need.*, brought.i IS NOT NULL AS there FROM site JOIN need ON true
+  LEFT JOIN brought ON brought.source = site.source AND brought.i = need.i)""",
+]
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in FIGURES)
 
 ORACLES = {
-    "availability": """SELECT CAST(ord AS INTEGER) AS ord, model_key, available FROM (VALUES
-  (0, 'baseline', (SELECT count(*) > 0 FROM documents JOIN labels USING (doc_id))),
-  (1, 'lstm', false), (2, 'transformer', false)) v(ord, model_key, available)""",
-    "model_lists": "SELECT 'baseline' AS models_available, 'baseline lstm transformer' AS models_registered",
-    "missing_artifacts": """SELECT artifact_dir, artifact FROM (VALUES ('baseline', 'metrics'), ('lstm', 'embedding'), ('lstm', 'network'),
-  ('lstm', 'metrics'), ('transformer_onnx', 'model.onnx'), ('transformer_onnx', 'tokenizer.json'),
-  ('transformer_onnx', 'tokenizer_config.json'), ('transformer_onnx', 'vocab.txt'),
-  ('transformer_onnx', 'special_tokens_map.json'), ('transformer_onnx', 'metrics')) v(artifact_dir, artifact)""",
+    "availability": O.with_ctes(
+        _SITES,
+        """SELECT source, CAST(ord AS INTEGER) AS ord, model_key, count(*) FILTER (essential AND NOT there) = 0 AS available
+FROM each JOIN reg USING (artifact_dir) GROUP BY source, ord, model_key""",
+    ),
+    "model_lists": O.with_ctes(
+        [
+            *_SITES,
+            """av AS (SELECT source, ord, model_key, count(*) FILTER (essential AND NOT there) = 0 AS available
+  FROM each JOIN reg USING (artifact_dir) GROUP BY source, ord, model_key)""",
+        ],
+        """SELECT source, coalesce(string_agg(model_key, ' ' ORDER BY ord) FILTER (available), '') AS models_available,
+  string_agg(model_key, ' ' ORDER BY ord) AS models_registered FROM av GROUP BY source""",
+    ),
+    "missing_artifacts": O.with_ctes(_SITES, "SELECT source, artifact_dir, artifact FROM each WHERE NOT there"),
     "metrics_roundtrip": O.with_ctes(_parts(), f"SELECT model_key, {_ROUNDED} FROM fig"),
     "metrics_all": O.with_ctes(
         [*_parts(), _REGISTRY],

@@ -164,8 +164,9 @@ def model_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compare_models(spark: SparkSession, sf: str) -> DataFrame:
-    long = compare.to_long(wide_all(spark, sf), KEY, MODELS)
-    return long.withColumn("p_pos", F.round("p_pos", 6))
+    """Every document and model, with the time the scoring took per text."""
+    long = compare.to_long(compare.timed(wide_all(spark, sf)), KEY, MODELS, ["latency_ms"])
+    return long.withColumn("p_pos", F.round("p_pos", 6)).withColumn("timed", F.col("latency_ms") > 0).drop("latency_ms")
 
 
 def disagreement(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,7 +369,7 @@ FROM b JOIN g ON b.conv_id IS NOT DISTINCT FROM g.conv_id""",
     "compare_models": O.with_ctes(
         O.long_models("every"),
         f"""SELECT doc_id, model_key, model_name, round(p, 6) AS p_pos, {O.verdict('p')} AS verdict,
-  {_CONF} AS confidence FROM long""",
+  {_CONF} AS confidence, true AS timed FROM long""",
     ),
     "disagreement": O.with_ctes(
         O.three_models("every"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,7 +81,10 @@ def train_embedding_mlp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def early_stop_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the rounds kept to the rules: numbered from 1, the least validation loss kept, stopped in time."""
+    """Whether the rounds kept to the rules: numbered from 1, the least validation loss kept, stopped in time.
+
+    The best round must also know more of the training texts than the share of the classes does.
+    """
     train, val = _parts(spark, sf)
     trained = T.train_embedding(train, val, "doc_id", "text", "label", CONFIG)
     history = T.history_table(trained)
@@ -92,6 +96,10 @@ def early_stop_history(spark: SparkSession, sf: str) -> DataFrame:
         F.every(F.col("loss").between(0, 50) & F.col("val_loss").between(0, 50)
                 & F.col("accuracy").between(0, 1) & F.col("val_accuracy").between(0, 1)).alias("in_range"),
     )
+    share = train.agg(F.avg("label")).first()[0]
+    guess = -sum(p * math.log(p) for p in (share, 1 - share) if p > 0)
+    learned = history.filter(F.col("epoch") == best).select((F.col("loss") < guess).alias("learned"))
+    facts = facts.withColumn("learned", F.lit(learned.first()["learned"]))
     return facts.withColumn("n_val", F.lit(val.count()).cast("long"))
 
 
@@ -200,7 +208,7 @@ ORACLES = {
     ),
     "early_stop_history": O.with_ctes(
         _TRAIN,
-        """SELECT true AS numbered, true AS best_has_least_loss, true AS stopped_in_time, true AS in_range, count(*) AS n_val
+        """SELECT true AS numbered, true AS best_has_least_loss, true AS stopped_in_time, true AS in_range, true AS learned, count(*) AS n_val
 FROM va""",
     ),
     "train_all": O.with_ctes(

@@ -135,3 +135,19 @@ def test_shared_folder_is_the_named_one(spark, tmp_path, monkeypatch):
         assert session.shared_dir(spark) == before.rstrip("/")
     else:
         assert session.shared_dir(spark) == session.shared_dir(spark)
+
+
+def test_availability_of_many_sites(spark):
+    whole = [("a", d, x) for d, x, _ in registry.REQUIRED_ARTIFACTS if d == "baseline"]
+    rows = [*whole, *whole, ("b", "baseline", "vocabulary"), ("c", "elsewhere", "notes.txt"), (None, "lstm", "embedding")]
+    rows += [("d", d, x) for d, x, essential in registry.REQUIRED_ARTIFACTS if essential]
+    present = spark.createDataFrame(rows, "site string, artifact_dir string, artifact string")
+    got = registry.availability_by(present, ["site"])
+    assert {(r["site"], r["model_key"]) for r in got.collect() if r["available"]} == {
+        ("a", "baseline"), ("d", "baseline"), ("d", "lstm"), ("d", "transformer")}
+    lists = {r["site"]: (r["models_available"], len(r["models_registered"])) for r in registry.model_lists(got, ["site"]).collect()}
+    assert lists == {"a": (["baseline"], 3), "b": ([], 3), "c": ([], 3), None: ([], 3), "d": (["baseline", "lstm", "transformer"], 3)}
+    missing = registry.missing_by(present, ["site"]).collect()
+    assert sum(r["site"] == "c" for r in missing) == len(registry.REQUIRED_ARTIFACTS)
+    assert {(r["artifact_dir"], r["artifact"]) for r in missing if r["site"] == "d"} == {
+        (d, x) for d, x, essential in registry.REQUIRED_ARTIFACTS if not essential}
