@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.config import JobConfig
@@ -23,6 +25,7 @@ from reviewlens.operators.sequences import text_sequences
 from reviewlens.operators.tfidf import LinearModel, score, vector_table
 from reviewlens.operators.vocabulary import WordIndex, fit_vocabulary, fit_word_index
 from reviewlens.session import byte_size, join_by_size, materialise
+from reviewlens.sources.published import current, list_names, manifest, new_version, read_file, write_once
 
 
 # Least feature values per model weight in one training task.
@@ -148,45 +151,99 @@ def loss_and_accuracy(model: MultilayerPerceptronClassificationModel, data: Data
     return row["loss"], row["accuracy"]
 
 
+@dataclass(frozen=True)
+class RoundLog:
+    """Rounds of a fit in a folder of the shared store, each committed by one small file.
+
+    ``base`` holds what all rounds start from, as a published version; ``networks`` the network of each round.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def base(self, num_words: int) -> tuple[WordIndex, Word2VecModel] | None:
+        if not manifest(self.spark, f"{self.folder}/base"):
+            return None
+        path = current(self.spark, f"{self.folder}/base")
+        table = self.spark.read.parquet(f"{path}/word_index")
+        return WordIndex(table, byte_size(table), num_words), Word2VecModel.load(f"{path}/embedding")
+
+    def save_base(self, index: WordIndex, embedding: Word2VecModel) -> None:
+        with new_version(self.spark, f"{self.folder}/base") as path:
+            index.table.write.parquet(f"{path}/word_index")
+            embedding.write().save(f"{path}/embedding")
+
+    def commit(self, row: tuple, model: MultilayerPerceptronClassificationModel) -> None:
+        """The network first, then the file that names it; a round that was committed before stays as it is."""
+        network = f"{self.folder}/networks/{row[0]}-{uuid.uuid4().hex}"
+        model.write().save(network)
+        write_once(self.spark, f"{self.folder}/rounds/{row[0]:06d}.json", json.dumps({"row": row, "network": network}))
+
+    def committed(self) -> list[tuple[tuple, str]]:
+        """(history row, network) of the rounds from the first on."""
+        names = sorted(n for n in list_names(self.spark, f"{self.folder}/rounds") if n.endswith(".json"))
+        rounds = [json.loads(read_file(self.spark, f"{self.folder}/rounds/{name}")) for name in names]
+        return [(tuple(r["row"]), r["network"]) for r in rounds]
+
+
 def train_embedding(
-    train: DataFrame, val: DataFrame, key: str, text: str, label: str, config: JobConfig = JobConfig()
+    train: DataFrame, val: DataFrame, key: str, text: str, label: str, config: JobConfig = JobConfig(),
+    rounds: str | None = None,
 ) -> TrainedEmbedding:
     """Word embeddings averaged per text, then a perceptron, with early stopping.
 
     Only words of the bounded index are embedded, so the embedding table has at most
     num_words rows. Each round continues from the last weights for a few iterations; it
     stops after ``patience`` rounds without a better validation loss and keeps the best.
+    With a folder for ``rounds``, embedding and rounds are committed there, and a fit that
+    was stopped goes on after its last committed round; it must get the same texts.
     """
     start = time.perf_counter()
-    index = fit_word_index(train.select(key, text), key, text, config.num_words)
+    log = RoundLog(train.sparkSession, rounds.rstrip("/")) if rounds else None
+    before = log.base(config.num_words) if log else None
+    index = before[0] if before else fit_word_index(train.select(key, text), key, text, config.num_words)
     words = materialise(last_words(train, key, text, label, index, config.max_len))
-    # The default of one learner would pull all texts into a single task. Their number shapes the
-    # fitted vectors, so it is a parameter of the model and not of the cluster.
-    embedding = Word2Vec(
-        vectorSize=config.embedding_dim, minCount=0, maxIter=1, seed=config.seed,
-        numPartitions=config.embedding_parts,
-        inputCol="words", outputCol="features",
-    ).fit(words)
+    if before:
+        embedding = before[1]
+    else:
+        # The default of one learner would pull all texts into a single task. Their number shapes the
+        # fitted vectors, so it is a parameter of the model and not of the cluster.
+        embedding = Word2Vec(
+            vectorSize=config.embedding_dim, minCount=0, maxIter=1, seed=config.seed,
+            numPartitions=config.embedding_parts,
+            inputCol="words", outputCol="features",
+        ).fit(words)
+        if log:
+            log.save_base(index, embedding)
     train_set = materialise(embedding.transform(words).select(key, label, "features"))
     val_set = materialise(embed(val, key, text, label, index, embedding, config.max_len))
 
     layers = [config.embedding_dim, config.hidden_units, 2]
     weights, best, best_loss, best_epoch, history = None, None, np.inf, 0, []
-    for epoch in range(1, config.epochs + 1):
+
+    def judge(row: tuple, model: MultilayerPerceptronClassificationModel) -> None:
+        nonlocal weights, best, best_loss, best_epoch
+        history.append(row)
+        weights = model.weights
+        if row[4] < best_loss:
+            best, best_loss, best_epoch = model, row[4], row[0]
+
+    for row, network in log.committed() if log else []:
+        judge(row, MultilayerPerceptronClassificationModel.load(network))
+    for epoch in range(len(history) + 1, config.epochs + 1):
+        if epoch - 1 - best_epoch >= config.patience:
+            break
         learner = MultilayerPerceptronClassifier(
             labelCol=label, featuresCol="features", layers=layers, maxIter=config.epoch_iterations, seed=config.seed, solver="l-bfgs"
         )
         if weights is not None:
             learner = learner.setInitialWeights(weights)
         model = learner.fit(train_set)
-        weights = model.weights
         loss, accuracy = loss_and_accuracy(model, train_set, label)
         val_loss, val_accuracy = loss_and_accuracy(model, val_set, label)
-        history.append((epoch, accuracy, loss, val_accuracy, val_loss))
-        if val_loss < best_loss:
-            best, best_loss, best_epoch = model, val_loss, epoch
-        if epoch - best_epoch >= config.patience:
-            break
+        judge((epoch, accuracy, loss, val_accuracy, val_loss), model)
+        if log:
+            log.commit(history[-1], model)
     return TrainedEmbedding(embedding, best, index, history, best_epoch, time.perf_counter() - start)
 
 

@@ -99,3 +99,34 @@ def test_train_all(reviews):
 def test_unknown_target(reviews):
     with pytest.raises(ValueError):
         T.train_targets("bert", reviews, "doc_id", "text", "label", CONFIG)
+
+
+def test_a_stopped_fit_goes_on_after_its_last_round(spark, tiny_reviews, tmp_path, monkeypatch):
+    config = JobConfig(embedding_dim=4, hidden_units=3, epochs=4, patience=4, epoch_iterations=2, embedding_parts=1, num_words=50)
+    train, val = tiny_reviews.filter("doc_id <> 3"), tiny_reviews.filter("doc_id = 3")
+    folder = str(tmp_path / "rounds")
+    own, fits = T.loss_and_accuracy, []
+
+    def stops(model, data, label):
+        fits.append(1)
+        if len(fits) == 5:  # in the third round
+            raise RuntimeError("stopped")
+        return own(model, data, label)
+
+    monkeypatch.setattr(T, "loss_and_accuracy", stops)
+    with pytest.raises(RuntimeError):
+        T.train_embedding(train, val, "doc_id", "text", "label", config, folder)
+    monkeypatch.setattr(T, "loss_and_accuracy", own)
+    log = T.RoundLog(spark, folder)
+    assert [row[0] for row, _ in log.committed()] == [1, 2]
+    resumed = T.train_embedding(train, val, "doc_id", "text", "label", config, folder)
+    assert [row[0] for row, _ in log.committed()] == [1, 2, 3, 4]
+    again = T.train_embedding(train, val, "doc_id", "text", "label", config, folder)
+    assert again.history == resumed.history and again.best_epoch == resumed.best_epoch
+    monkeypatch.setattr(T, "fit_word_index", lambda *a: pytest.fail("the base is there"))
+    fresh = str(tmp_path / "fresh")
+    T.RoundLog(spark, fresh).save_base(resumed.index, resumed.embedding)
+    whole = T.train_embedding(train, val, "doc_id", "text", "label", config, fresh)
+    assert whole.best_epoch == resumed.best_epoch
+    for one, other in zip(whole.history, resumed.history):
+        assert one == pytest.approx(other, abs=1e-6)
