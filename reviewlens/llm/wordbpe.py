@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +212,7 @@ def block_row(block: int, keys: list, rows: list[np.ndarray], numbers: Numbers,
     """One block: its documents with the number of words of each, all word numbers in text order, and its words.
 
     Words are numbered by falling frequency and listed by bucket in that order, separated by spaces, which no
-    word holds; ``bucket_of`` has the bucket of each number.
+    word holds, and compressed; ``bucket_of`` has the bucket of each number.
     """
     places = np.concatenate(rows)
     order = np.argsort(-np.bincount(places, minlength=len(numbers)), kind="stable")
@@ -221,7 +222,8 @@ def block_row(block: int, keys: list, rows: list[np.ndarray], numbers: Numbers,
     bucket_of = np.array([zlib.crc32(word.encode()) % buckets for word in words.tolist()], np.uint32)
     used = np.unique(bucket_of)
     listed = pa.StructArray.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array([" ".join(words[bucket_of == b].tolist()) for b in used.tolist()], pa.string())],
+        [pa.array(used.astype(np.int32)),
+         pa.array([zstandard.compress(" ".join(words[bucket_of == b].tolist()).encode()) for b in used.tolist()], pa.binary())],
         ["bucket", "words"])
     docs = pa.StructArray.from_arrays(
         [pa.array(keys, key_type), pa.array([len(row) for row in rows], pa.int32())], ["doc_id", "n_words"])
@@ -257,7 +259,7 @@ def split_documents(docs: DataFrame, path: str, config: BlockConfig = BlockConfi
     docs = docs.select("doc_id", "text")
     return materialise(docs.mapInArrow(
         split_blocks(path, config, config.buckets(input_bytes(docs))),
-        "block bigint, words array<struct<bucket: int, words: string>>, bucket_of binary, "
+        "block bigint, words array<struct<bucket: int, words: binary>>, bucket_of binary, "
         f"docs array<struct<doc_id: {kind}, n_words: int>>, places binary"))
 
 
@@ -265,31 +267,34 @@ def encode_buckets(path: str, config: BlockConfig) -> Callable:
     """Ids of the listed words of each row, by a table in which each distinct word of a bucket is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, bucket = codec(path), None
-        table: dict[str, str] = {}
+        table: dict[str, list[int]] = {}
         for batch in batches:
-            out = []
-            for this, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+            sizes, ids = [], []
+            for this, words in zip(batch.column("bucket").to_pylist(), batch.column("words")):
                 if this != bucket or len(table) > config.words_kept:
                     bucket, table = this, {}
-                ids = []
-                for word in words.split(" "):
+                found = []
+                for word in zstandard.decompress(words.as_py()).decode().split(" "):
                     if word not in table:
-                        table[word] = ",".join(map(str, own.encode_word(word)))
-                    ids.append(table[word])
-                out.append(" ".join(ids))
+                        table[word] = own.encode_word(word)
+                    found.append(table[word])
+                sizes.append(squeeze(np.fromiter(map(len, found), np.uint32, len(found))))
+                ids.append(squeeze(np.fromiter(chain.from_iterable(found), np.uint32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("bucket"), pa.array(out, pa.string())], ["block", "bucket", "ids"])
+                [batch.column("block"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
+                ["block", "bucket", "sizes", "ids"])
     return run
 
 
 def encode_listed(blocks: DataFrame, path: str, config: BlockConfig = BlockConfig()) -> DataFrame:
-    """block, bucket, ids: what encode_buckets gives, with all rows of a bucket, in a row, in one task.
+    """block, bucket, sizes, ids: how many ids each listed word has, and the ids, both compressed.
 
+    All rows of a bucket pass through one task, one after the other.
     A word occurs once per block, so buckets of hashed words are of equal size however common a word is.
     """
     listed = blocks.select("block", F.inline("words"))
     return listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        encode_buckets(path, config), "block bigint, bucket int, ids string")
+        encode_buckets(path, config), "block bigint, bucket int, sizes binary, ids binary")
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -309,6 +314,15 @@ def decode_rows(rows: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
     return known.groupBy(key).agg(found.alias("found")).select(key, F.array_join("found.piece", " ").alias("text"))
 
 
+def used_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different ids of each block."""
+    for batch in batches:
+        for block, encoded in zip(batch.column("block"), batch.column("encoded").to_pylist()):
+            ids = np.unique(np.concatenate([unsqueeze(entry["ids"]) for entry in encoded]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block.as_py()] * len(ids), pa.int64()), pa.array(ids.astype(np.int32))], ["block", "id"])
+
+
 def fill_places(keep_ids: bool) -> Callable:
     """Ids and pieces of a block's words, back at the positions of each of its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,13 +330,15 @@ def fill_places(keep_ids: bool) -> Callable:
             for n in range(batch.num_rows):
                 row = {name: batch.column(name)[n].as_py() for name in ("encoded", "pieces", "bucket_of", "places")}
                 bucket_of, places = unsqueeze(row["bucket_of"]), unsqueeze(row["places"])
-                ids = np.empty(len(bucket_of), object)
+                ids, text, sizes = (np.empty(len(bucket_of), kind) for kind in (object, object, np.int64))
+                piece_of = {p["id"]: p["piece"] for p in row["pieces"] or []}
                 for entry in row["encoded"] or []:
-                    ids[bucket_of == entry["bucket"]] = entry["ids"].split(" ")
-                piece_of = {str(p["id"]): p["piece"] for p in row["pieces"] or []}
-                text = np.array([" ".join(map(piece_of.__getitem__, x.split(","))) for x in ids.tolist()], object)
-                sizes = np.array([x.count(",") + 1 for x in ids.tolist()], np.int64)
-                ids = np.array([x.replace(",", " ") for x in ids.tolist()], object)
+                    mine, own_sizes = bucket_of == entry["bucket"], unsqueeze(entry["sizes"])
+                    flat, ends = unsqueeze(entry["ids"]).tolist(), np.cumsum(own_sizes).tolist()
+                    decimal, shown = list(map(str, flat)), list(map(piece_of.__getitem__, flat))
+                    sizes[mine] = own_sizes
+                    ids[mine] = [" ".join(decimal[a:b]) for a, b in zip([0, *ends], ends)]
+                    text[mine] = [" ".join(shown[a:b]) for a, b in zip([0, *ends], ends)]
                 docs = batch.column("docs")[n].values
                 counts, id_digests, text_digests, all_ids, begin = [], [], [], [], 0
                 for n_words in docs.field("n_words").to_pylist():
@@ -357,12 +373,12 @@ def encode_documents(
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = split_documents(docs, path, config)
     # Grouped are the words, and below the different ids, of one block.
-    encoded = encode_listed(blocks, path, config).groupBy("block").agg(
-        F.collect_list(F.struct("bucket", "ids")).alias("encoded"))
-    used = F.array_distinct(F.flatten(F.transform("encoded.ids", lambda ids: F.split(ids, "[ ,]"))))
+    # The filter is what the join below asks for anyway; with it both uses of the rows read one exchange.
+    encoded = encode_listed(blocks, path, config).where("block IS NOT NULL").groupBy("block").agg(
+        F.collect_list(F.struct("bucket", "sizes", "ids")).alias("encoded"))
+    used = encoded.mapInArrow(used_ids, "block bigint, id int")
     pieces = piece_table(docs.sparkSession, path)
-    named = join_by_size(
-        encoded.select("block", F.explode(used.cast("array<int>")).alias("id")), pieces, ["id"], "inner", measure(pieces)[1], ["block"])
+    named = join_by_size(used, pieces, ["id"], "inner", measure(pieces)[1], ["block"])
     named = named.groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     return blocks.select("block", "bucket_of", "docs", "places").join(encoded, "block", "left").join(
