@@ -303,4 +303,4 @@ def without_near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConf
     found = near_duplicates(docs, config)
     gone = materialise(found.where("NOT kept").select("doc_id").distinct())
     few = gone.count() * 8 <= config.broadcast_bytes
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

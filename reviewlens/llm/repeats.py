@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlens.llm.words import find_words, hash_spans, joined_hashes, slices, text_bytes
 from reviewlens.session import materialise
@@ -319,5 +320,6 @@ def remove_repeats(docs: DataFrame, config: RepeatConfig = RepeatConfig(), diges
     rows = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")]
                                            if others else []))
     joined = rows.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return joined.mapInArrow(keep_batches(config, digest), f"{carried}, n_words bigint, n_removed bigint, kept string")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields if f.name != "text"])
+    schema = schema.add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept", T.StringType())
+    return joined.mapInArrow(keep_batches(config, digest), schema)

@@ -251,6 +251,7 @@ def mask_batches(rules: tuple[Rule, ...], mask: str) -> callable:
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span of a secret in ``text`` replaced; overlapping spans become one mask.
 
-    All columns and rows are kept; null texts stay null.
+    All columns, whatever their names, and rows are kept; null texts stay null.
     """
-    return docs.mapInArrow(mask_batches(rules, mask), docs.schema)
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(mask_batches(rules, mask), plain.schema).toDF(*docs.columns)

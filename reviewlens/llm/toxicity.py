@@ -276,5 +276,6 @@ def accept_batches(chain: Chain, config: ToxicityConfig) -> callable:
 
 
 def accepted(docs: DataFrame, chain: Chain, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """The rows of docs, all columns, that the chain's verdict does not reject."""
-    return docs.mapInArrow(accept_batches(chain, config), docs.schema)
+    """The rows of docs, all columns whatever their names, that the chain's verdict does not reject."""
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(accept_batches(chain, config), plain.schema).toDF(*docs.columns)
