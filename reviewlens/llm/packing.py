@@ -1,8 +1,7 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
-Documents longer than the largest sequence are cut into pieces of that length and a rest. Pieces are dealt to
-shards by hash, so many that each holds about ``shard_tokens`` tokens however large the table is, and each
-shard packs its pieces in one task:
+Documents longer than the largest sequence are cut into pieces of that length and a rest. The pieces of a run of
+documents with about ``shard_tokens`` tokens are a shard, and each shard is packed where its documents lie:
 
 * pieces go in falling length, each into the open bin with the least room that still fits it;
 * if none fits, a bin is opened at the size the plan has for the piece's length class, which may be larger than
@@ -17,18 +16,17 @@ The cheapest packing of a shard is kept; it is a local optimum, never dearer tha
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.llm.pieces import codec
 from reviewlens.llm.words import find_words, slices, text_bytes
-from reviewlens.session import materialise
 
 
 @dataclass(frozen=True)
@@ -56,10 +54,13 @@ def best_fit(lengths: np.ndarray, config: PackingConfig) -> tuple[np.ndarray, np
     present = sorted(set(classes))
     smallest = [sizes[bisect_left(sizes, limit)] for limit in limits]
 
-    def priced(plan: list[int] | None, judged: list[int]) -> tuple[float, list[int] | None, tuple]:
-        packed = fill(pieces, classes, plan, judged, config)
-        cheapest = [min((s for s in sizes if s >= used), key=config.cost) for used in packed[2]]
-        return sum(map(config.cost, cheapest)), plan, (*packed[:2], cheapest)
+    # The cheapest size that holds so much, and its cost, for every filling there can be.
+    shrunk = [min((s for s in sizes if s >= n), key=config.cost) for n in range(sizes[-1] + 1)]
+    costs = [config.cost(s) for s in shrunk]
+
+    def priced(plan: list[int] | None, judged: list[int]) -> tuple[float, list[int] | None, tuple, set[int]]:
+        bins, offsets, used, opened = fill(pieces, classes, plan, judged, config)
+        return sum(map(costs.__getitem__, used)), plan, (bins, offsets, used), opened
 
     floors = [[max(floor, own) for own in smallest] for floor in sizes]
     tried = [priced(plan, sizes) for plan in floors]
@@ -70,14 +71,16 @@ def best_fit(lengths: np.ndarray, config: PackingConfig) -> tuple[np.ndarray, np
         better = False
         for own in present:
             for size in sizes:
-                if size < smallest[own] or size == best[1][own]:
+                # A class that opens no bin has no say, so another size for it changes nothing.
+                if size < smallest[own] or size == best[1][own] or own not in best[3]:
                     continue
                 other = priced([*best[1][:own], size, *best[1][own + 1:]], sizes)
                 if other[0] < best[0]:
                     best, better = other, True
     if judged[0] < best[0]:
         best = judged
-    return tuple(np.array(x, np.int64) for x in best[2])
+    bins, offsets, used = best[2]
+    return np.array(bins, np.int64), np.array(offsets, np.int64), np.array([shrunk[n] for n in used], np.int64)
 
 
 def length_classes(sizes: list[int]) -> list[int]:
@@ -86,15 +89,15 @@ def length_classes(sizes: list[int]) -> list[int]:
 
 
 def fill(lengths: list[int], classes: list[int], plan: list[int] | None, judged: list[int],
-         config: PackingConfig) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each piece and what each bin holds.
+         config: PackingConfig) -> tuple[list[int], list[int], list[int], set[int]]:
+    """Bin and offset of each piece, what each bin holds, and the classes of the pieces that opened one.
 
     A bin is opened at the size that plan has for the length class of its first piece. Without a plan the size
     of judged is taken that costs least per token once it is filled from the pieces still to come; if none holds
     the piece, the least size that does.
     """
     rooms: list[tuple[int, int]] = []  # (room left, bin), sorted
-    bins, offsets, used = [], [], []
+    bins, offsets, used, opened = [], [], [], set()
     rising = [-n for n in lengths]
     for i, length in enumerate(lengths):
         at = bisect_left(rooms, (length, -1))
@@ -109,12 +112,13 @@ def fill(lengths: list[int], classes: list[int], plan: list[int] | None, judged:
                 room = room or min(s for s in config.sizes if s >= length)
             own = len(used)
             used.append(0)
+            opened.add(classes[i])
         bins.append(own)
         offsets.append(used[own])
         used[own] += length
         if room > length:
             insort(rooms, (room - length, own))
-    return bins, offsets, used
+    return bins, offsets, used, opened
 
 
 def reach(rising: list[int], begin: int, room: int) -> int:
@@ -152,7 +156,7 @@ def cut_points(counts: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.cumsum(counts) - counts, parts) + within * largest, first
 
 
-def word_part_batches(largest: int) -> callable:
+def word_part_batches(largest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -180,12 +184,12 @@ def word_parts(docs: DataFrame, config: PackingConfig = PackingConfig()) -> Data
         word_part_batches(max(config.sizes)), f"doc_id {kind}, n_tokens bigint, parts array<string>")
 
 
-def token_part_batches(model_path: str, largest: int) -> callable:
+def token_part_batches(model_path: str, largest: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
             for part in slices(batch):
-                ids = [np.fromstring(own.joined_ids(text.as_py() or ""), np.int32, sep=",") for text in part.column("text")]
+                ids = [own.packed_ids(text.as_py() or "") for text in part.column("text")]
                 counts = np.array([len(x) for x in ids], np.int64)
                 cuts, first = cut_points(counts, largest)
                 listed = pa.array(np.concatenate(ids), pa.int32())
@@ -203,20 +207,92 @@ def token_parts(docs: DataFrame, model_path: str, config: PackingConfig = Packin
         token_part_batches(model_path, max(config.sizes)), f"doc_id {kind}, n_tokens bigint, parts array<array<int>>")
 
 
-def pack_shard(config: PackingConfig) -> callable:
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets, sizes = best_fit(rows["n_tokens"].to_numpy(), config)
-        out = {
-            "doc_id": rows["doc_id"].to_numpy(), "piece": rows["piece"].to_numpy(), "start": rows["start"].to_numpy(),
-            "n_tokens": rows["n_tokens"].to_numpy(), "bin_id": (np.int64(key[0]) << np.int64(32)) + bins,
-            "bin_size": sizes[bins] if len(bins) else bins, "bin_offset": offsets}
-        if "content" in rows:
-            out["content"] = rows["content"].to_numpy()
-        return pd.DataFrame(out)
+class Shard:
+    """Pieces that are packed together, gathered from the batches of a task."""
+
+    def __init__(self, config: PackingConfig) -> None:
+        self.config, self.held, self.tokens = config, [], 0
+
+    def add(self, pieces: pa.RecordBatch, tokens: int) -> None:
+        if pieces.num_rows:
+            self.held.append(pieces)
+            self.tokens += tokens
+
+    def packed(self, first_bin: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces with their bins, which are numbered from first_bin on, and how many bins there are."""
+        pieces = pa.Table.from_batches(self.held).combine_chunks().to_batches()[0]
+        order = np.argsort(-pieces.column("n_tokens").to_numpy(), kind="stable")
+        pieces = pieces.take(pa.array(order))
+        bins, offsets, sizes = best_fit(pieces.column("n_tokens").to_numpy(), self.config)
+        placed = [pa.array(bins + first_bin), pa.array(sizes[bins]), pa.array(offsets)]
+        return piece_rows(pieces, placed), len(sizes)
+
+
+def piece_rows(pieces: pa.RecordBatch, placed: list[pa.Array]) -> pa.RecordBatch:
+    """Bins go between a piece's own columns and its content."""
+    return pa.RecordBatch.from_arrays(
+        [*pieces.columns[:4], *placed, *pieces.columns[4:]],
+        [*pieces.schema.names[:4], "bin_id", "bin_size", "bin_offset", *pieces.schema.names[4:]])
+
+
+def cut_pieces(batch: pa.RecordBatch, largest: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The pieces of documents with tokens, and a row for each document without any."""
+    counts = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = -(-counts // largest)
+    owner = np.repeat(np.arange(len(counts)), parts)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = piece * largest
+    columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(piece), pa.array(start),
+               pa.array(np.minimum(counts[owner] - start, largest))]
+    names = ["doc_id", "piece", "start", "n_tokens"]
+    none = np.flatnonzero(counts == 0)
+    zeros = pa.array(np.zeros(len(none), np.int64))
+    empty = [batch.column("doc_id").take(pa.array(none)), zeros, zeros, zeros]
+    if "parts" in batch.schema.names:
+        held = batch.filter(pa.array(counts > 0)).column("parts")
+        columns.append(held.flatten())
+        empty.append(pa.nulls(len(none), held.type.value_type))
+        names.append("content")
+    return pa.RecordBatch.from_arrays(columns, names), pa.RecordBatch.from_arrays(empty, names)
+
+
+def pack_batches(config: PackingConfig) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, next_bin = Shard(config), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            pieces, empty = cut_pieces(batch, max(config.sizes))
+            if empty.num_rows:
+                yield piece_rows(empty, [pa.nulls(empty.num_rows, pa.int64())] * 3)
+            upto, begin = np.cumsum(pieces.column("n_tokens").to_numpy()), 0
+            while begin < pieces.num_rows:
+                before = int(upto[begin - 1]) if begin else 0
+                end = int(np.searchsorted(upto, before + config.shard_tokens - shard.tokens)) + 1
+                end = min(end, pieces.num_rows)
+                shard.add(pieces.slice(begin, end - begin), int(upto[end - 1]) - before)
+                begin = end
+                if shard.tokens >= config.shard_tokens:
+                    rows, bins = shard.packed(next_bin)
+                    yield rows
+                    shard, next_bin = Shard(config), next_bin + bins
+        if shard.held:
+            yield shard.packed(next_bin)[0]
     return run
 
 
+ROWS = "doc_id {}, piece bigint, start bigint, n_tokens bigint, bin_id bigint, bin_size bigint, bin_offset bigint"
+
+
+def pack_tokens(docs: DataFrame, model_path: str, config: PackingConfig = PackingConfig()) -> DataFrame:
+    """What ``pack`` gives for ``token_parts``, with ids as content: encoded and packed in one pass of one worker."""
+    encode, place = token_part_batches(model_path, max(config.sizes)), pack_batches(config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return place(encode(batches))
+
+    schema = ROWS.format(docs.schema["doc_id"].dataType.simpleString()) + ", content array<int>"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def pack(counts: DataFrame, config: PackingConfig = PackingConfig(), parts: str | None = None) -> DataFrame:
     """Pack documents (doc_id, n_tokens), token counts of any tokenizer, into bins of permitted sizes.
 
@@ -225,31 +301,16 @@ def pack(counts: DataFrame, config: PackingConfig = PackingConfig(), parts: str
     bin_id, bin_size and bin_offset null. Rows that repeat a doc_id are packed each; a null doc_id is packed
     like any other; other columns are not read. ``parts`` names an array column with what each piece holds (its
     ids or text), one element for every max(sizes) tokens begun; pieces then carry it as ``content``.
+
+    A shard is a run of rows of an input partition, so nothing moves and no key makes a large shard; the last
+    shard of a partition is smaller. Bins depend on how the input is partitioned.
     """
     if not config.sizes or min(config.sizes) < 1:
         raise ValueError("permitted sizes are positive")
     kind = counts.schema["doc_id"].dataType.simpleString()
-    content = [] if parts is None else ["content"]
     tokens = F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")
-    counts = materialise(counts.select("doc_id", tokens, *(F.col(parts).alias("parts") for _ in content)))
-    total = counts.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-total // config.shard_tokens))
-    largest = max(config.sizes)
-    whole = counts.where("n_tokens > 0")
-    last = F.floor((F.col("n_tokens") - 1) / largest).cast("long")
-    cut = F.posexplode("parts").alias("piece", "content") if content else F.explode(
-        F.sequence(F.lit(0).cast("long"), last)).alias("piece")
-    pieces = whole.select("doc_id", "n_tokens", cut).withColumn("piece", F.col("piece").cast("long"))
-    start = F.col("piece") * largest
-    pieces = pieces.select(
-        "doc_id", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(largest)).alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards)).alias("shard"), *content)
-    held = counts.schema["parts"].dataType.elementType.simpleString() if content else None
-    packed = pieces.groupBy("shard").applyInPandas(
-        pack_shard(config), f"doc_id {kind}, piece bigint, start bigint, n_tokens bigint, bin_id bigint, "
-        "bin_size bigint, bin_offset bigint" + (f", content {held}" if content else ""))
-    empty = counts.where("n_tokens = 0").select(
-        "doc_id", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), "n_tokens",
-        *(F.lit(None).cast("long").alias(n) for n in ("bin_id", "bin_size", "bin_offset")),
-        *(F.lit(None).cast(held).alias(n) for n in content))
-    return packed.union(empty)
+    held = [] if parts is None else [F.col(parts).alias("parts")]
+    schema = ROWS.format(kind)
+    if held:
+        schema += f", content {counts.schema[parts].dataType.elementType.simpleString()}"
+    return counts.select("doc_id", tokens, *held).mapInArrow(pack_batches(config), schema)

@@ -16,40 +16,66 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MARK = "▁"
-# Entries of the per-worker tables: a table is emptied when it is full, results don't depend on it.
+# Bounds of the per-worker tables: what they keep decides how fast a text is encoded, never the result.
 UNITS_KEPT = 300_000
+UNIT_BYTES_KEPT = 64 << 20
+LONGEST_KEPT = 256
 PAIRS_KEPT = 500_000
 
 
 class Units(dict):
-    """Ids of units as decimal text; a missing unit is encoded, and decoded again."""
+    """What ``make`` gives for a unit, kept for the units asked for last.
 
-    def __init__(self, own: PieceCodec) -> None:
+    There are two generations: a full one becomes the old one, and what is asked for again moves on to the
+    new one. So units in use stay, and at most twice the bounds are held. Long units are not kept.
+    """
+
+    def __init__(self, make: Callable[[str], str | bytes]) -> None:
         super().__init__()
-        self.own = own
+        self.make, self.old, self.size = make, {}, 0
+
+    def __missing__(self, unit: str) -> str | bytes:
+        found = self.old.get(unit)
+        if found is None:
+            found = self.make(unit)
+        if len(unit) <= LONGEST_KEPT:
+            if len(self) >= UNITS_KEPT or self.size >= UNIT_BYTES_KEPT:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[unit] = found
+            self.size += 4 * len(unit) + len(found)
+        return found
 
-    def __missing__(self, unit: str) -> str:
-        ids = self.own.encode_unit(unit.replace(" ", MARK))
-        back = self.own.decode_pieces(ids)
-        if back != unit:
-            self.own.differing[unit] = back
-        text = self[unit] = ",".join(map(str, ids))
-        return text
+
+@dataclass(frozen=True)
+class Growth:
+    """How a piece comes about from its characters: the symbols at both ends, each with the rank of the merge that
+    takes it up (infinite for the last), whether ranks only rise, and whether the piece is reached at all."""
+
+    left: list[tuple[str, float]]
+    right: list[tuple[str, float]]
+    rising: bool
+    whole: bool
 
 
 class PieceCodec:
     """Encoder and decoder of one model file whose pieces were merged pairwise (BPE).
 
-    The file is read through the public library; nothing else of the library is used. Models with a
-    normaliser other than identity, or with pieces that cross a word's start, are refused.
+    The file is read through the public library; nothing else of the library is used. Models with pieces
+    that cross a word's start, or without byte pieces, are refused; a normaliser other than identity is not
+    looked for and must not be there.
     """
 
     def __init__(self, model_path: str) -> None:
@@ -90,9 +116,12 @@ class PieceCodec:
             prefixes = (self.id_of.get(piece[:n]) for n in range(len(piece) - 1, 0, -1))
             self.shorter[i] = next((x for x in prefixes if x is not None), -1)
         self.units = re.compile(self.unit_pattern()).findall
-        self.pairs: dict[int, bool] = {}
-        self.known = Units(self)
-        self.differing: dict[str, str] = {}  # units that decode to another text than their own
+        self.pairs: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.n_pairs = 0
+        self.grown: dict[int, Growth] = {}
+        self.known = Units(lambda unit: ",".join(map(str, self.encode_unit(unit.replace(" ", MARK)))))
+        self.packed = Units(lambda unit: array("i", self.encode_unit(unit.replace(" ", MARK))).tobytes())
+        self.back = Units(lambda unit: self.decode_pieces(list(map(int, self.known[unit].split(",")))))
 
     def unit_pattern(self) -> str:
         """Spaces with a run of one class of characters; classes join what some piece holds side by side."""
@@ -112,52 +141,105 @@ class PieceCodec:
         runs = "|".join(f"[{''.join(x)}]+" for x in sorted(classes.values(), key=len, reverse=True))
         return f"(?s: *(?:{runs})| +|.)"
 
-    def merged(self, text: str) -> list[str]:
-        """Merge from single characters: always the best-scored pair, the leftmost of equals."""
-        parts, rank, never = list(text), self.rank.get, float("inf")
+    def merges(self, parts: list[str]) -> Iterator[tuple[int, float]]:
+        """Merge characters in place: always the best-scored pair, the leftmost of equals; its place and rank."""
+        rank, never = self.rank.get, float("inf")
         ranks = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != never:
             at = ranks.index(best)
+            yield at, best
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
             del ranks[at]
             if at:
                 ranks[at - 1] = rank(parts[at - 1] + parts[at], never)
             if at < len(ranks):
                 ranks[at] = rank(parts[at] + parts[at + 1], never)
+
+    def merged(self, text: str) -> list[str]:
+        parts = list(text)
+        for _ in self.merges(parts):
+            pass
         return parts
 
+    def growth(self, piece: int) -> Growth:
+        """Found once for each piece: there are no more than pieces in the model."""
+        known = self.grown.get(piece)
+        if known is None:
+            parts, left, right, before, rising = list(self.piece_of[piece]), [], [], -float("inf"), True
+            for at, rank in self.merges(parts):
+                if at == 0:
+                    left.append((parts[0], rank))
+                if at == len(parts) - 2:
+                    right.append((parts[-1], rank))
+                rising, before = rising and rank >= before, rank
+            last = float("inf")
+            known = self.grown[piece] = Growth(
+                [*left, (parts[0], last)], [*right, (parts[-1], last)], rising, len(parts) == 1)
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether two pieces, side by side, stay as they are when their text is merged anew."""
         if self.unknown in (left, right):
             return True
-        if len(self.pairs) >= PAIRS_KEPT:
-            self.pairs.clear()
-        pieces = [self.piece_of[i] for i in (left, right) if i != self.start]
-        fits = self.pairs[left << 32 | right] = self.merged("".join(pieces)) == pieces
+        if self.n_pairs >= PAIRS_KEPT:
+            for known in self.pairs.values():
+                known.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        fits = self.pairs[left][right] = self.stays(left, right)
         return fits
 
+    def stays(self, left: int, right: int) -> bool:
+        """Merging anew goes on in both pieces as in each alone until something merges across the border.
+
+        Where ranks only rise in both, a rank is a point in time, and of two symbols that meet at the border the
+        one whose own merge comes first gives way (the left one of equals). They merge with each other if that
+        comes before both: before the left one's, which is further left, and no later than the right one's.
+        """
+        other = self.growth(right)
+        if left == self.start or not other.whole:
+            return other.whole
+        own = self.growth(left)
+        if not (own.rising and other.rising):
+            return self.merged(self.piece_of[left] + self.piece_of[right]) == [self.piece_of[left], self.piece_of[right]]
+        i = j = 0
+        while True:
+            (x, until), (y, other_until) = own.right[i], other.left[j]
+            across = self.rank.get(x + y)
+            if across is not None and across < until and across <= other_until:
+                return False
+            if until == other_until == float("inf"):
+                return True
+            if until <= other_until:
+                i += 1
+            else:
+                j += 1
+
     def encode_unit(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks."""
-        longest = [self.unknown] * len(text)
+        n = len(text)
+        longest = [self.unknown] * n
         for last, (length, i) in self.automaton.iter(text):
             longest[last - length + 1] = i  # ends rise, so the longest piece stays
         shorter, lengths, pairs, compatible = self.shorter, self.length, self.pairs, self.compatible
-        failed = bytearray(len(text) + 1)
+        longest.append(-1)
+        failed = bytearray(n + 1)
         ids: list[int] = []
-        at, n, before = 0, len(text), self.start
-        now = longest[0] if text else -1
+        at, before = 0, self.start
+        now = longest[0]
         while at < n:
+            fitting = pairs[before].get
             while now >= 0:
                 end = at + lengths[now]
                 if not failed[end]:
-                    fits = pairs.get(before << 32 | now)
+                    fits = fitting(now)
                     if compatible(before, now) if fits is None else fits:
                         break
                 now = shorter[now]
             if now >= 0:
                 ids.append(now)
                 at, before = end, now
-                now = longest[at] if at < n else -1
+                now = longest[end]
             else:
                 failed[at] = 1
                 last = ids.pop()
@@ -179,23 +261,14 @@ class PieceCodec:
 
     def encode_and_decode(self, text: str) -> tuple[str, str]:
         """Decimal ids joined by commas, and the text that these ids decode to."""
-        if len(self.known) >= UNITS_KEPT:
-            self.known.clear()
-            self.differing.clear()
         units = self.split(text)
-        ids = ",".join(map(self.known.__getitem__, units))
-        return ids, "".join(map(self.differing.get, units, units))[1:]
+        return ",".join(map(self.known.__getitem__, units)), "".join(map(self.back.__getitem__, units))[1:]
 
-    def joined_ids(self, text: str) -> str:
-        """Decimal ids joined by commas."""
-        if len(self.known) >= UNITS_KEPT:
-            self.known.clear()
-            self.differing.clear()
-        return ",".join(map(self.known.__getitem__, self.split(text)))
+    def packed_ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.packed.__getitem__, self.split(text))), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_and_decode(text)[0]
-        return list(map(int, joined.split(","))) if joined else []
+        return self.packed_ids(text).tolist()
 
     def decode_pieces(self, ids: list[int]) -> str:
         """Text of ids with marks as spaces; runs of byte pieces are read as UTF-8."""
@@ -225,7 +298,7 @@ def codec(model_path: str) -> PieceCodec:
     return PieceCodec(model_path)
 
 
-def encode_batches(model_path: str, keep_ids: bool) -> callable:
+def encode_batches(model_path: str, keep_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:

@@ -46,8 +46,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    packed = packing.pack(packing.token_parts(table(spark, sf_dir, "documents"), model), parts="parts")
-    return packed.withColumnRenamed("content", "ids")
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), model).withColumnRenamed("content", "ids")
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,49 @@ def test_packing_opens_larger_bins_where_they_are_cheaper():
         assert sum(map(config.cost, packing.best_fit(lengths, config)[2].tolist())) <= plain
 
 
+def cheapest(lengths, config):
+    """The least cost of any packing, by trying each piece in each bin."""
+    best = float("inf")
+
+    def put(at, used):
+        nonlocal best
+        if at == len(lengths):
+            best = min(best, sum(min(config.cost(s) for s in config.sizes if s >= n) for n in used))
+            return
+        for i in range(len(used) + 1):
+            if i == len(used):
+                put(at + 1, [*used, lengths[at]])
+            elif used[i] + lengths[at] <= max(config.sizes):
+                put(at + 1, [*used[:i], used[i] + lengths[at], *used[i + 1:]])
+
+    put(0, [])
+    return best
+
+
+@pytest.mark.parametrize("config", [packing.PackingConfig(sizes=(4, 8, 16), per_token_pair=0.05), packing.PackingConfig(sizes=(5, 12), per_token_pair=0.0)])
+def test_packing_next_to_all_packings(config):
+    random.seed(6)
+    ratios = []
+    for _ in range(40):
+        lengths = sorted((random.randint(1, max(config.sizes)) for _ in range(random.randint(1, 7))), reverse=True)
+        own = sum(map(config.cost, packing.best_fit(np.array(lengths), config)[2].tolist()))
+        ratios.append(own / cheapest(lengths, config))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) <= 1.35 and np.mean(ratios) <= 1.05
+
+
+def test_rows_without_an_id_share_no_shard(spark):
+    rows = [(None, 50)] * 600 + [(i, 50) for i in range(600)]
+    counts = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint").repartition(4)
+    config = packing.PackingConfig(sizes=(128, 256), shard_tokens=2000)
+    plan = packing.pack(counts, config)._jdf.queryExecution().executedPlan().toString()
+    got = packing.pack(counts, config).collect()
+    assert len(got) == 1200 and len({r["bin_id"] for r in got}) >= 240 and plan.count("Exchange") == 1  # the test's own
+    used = defaultdict(int)
+    for r in got:
+        used[r["bin_id"]] += r["n_tokens"]
+    assert max(used.values()) <= 256
+
+
 def test_packing_carries_token_ids(spark):
     rows = [(1, "0123456789abcdef" * 900), (2, "two words"), (3, None), (4, ""), (None, "no id"), (2, "again\n\n two")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -101,6 +144,9 @@ def test_packing_carries_token_ids(spark):
     encoded = sorted(own.encode(t or "") for i, t in rows if i != 1)
     short = packing.token_parts(docs.where("doc_id IS NULL OR doc_id <> 1"), model)
     assert sorted(r["content"] or [] for r in packing.pack(short, parts="parts").collect()) == encoded
+    together = packing.pack_tokens(docs, model, config)
+    assert together.columns == [*packing.pack(short).columns, "content"]
+    assert sorted((r["content"] or [] for r in together.collect())) == sorted((r["content"] or [] for r in packed))
     table = queries.op6_best_fit_packing(spark, SF)
     assert table.columns == [*packing.pack(table).columns, "ids"] and table.where("n_tokens <> coalesce(size(ids), 0)").isEmpty()
 

@@ -52,6 +52,56 @@ def test_tables_of_pieces_are_bounded(monkeypatch):
         assert own.encode(text) == library.encode(text)
 
 
+def test_units_in_use_survive_a_full_table(monkeypatch):
+    monkeypatch.setattr(pieces, "UNITS_KEPT", 4)
+    made = []
+    table = pieces.Units(lambda unit: made.append(unit) or unit.upper())
+    for unit in ["a", "b", "c", "d", "e", "a", "f", "a", "g", "a", "x" * 1000, "x" * 1000]:
+        assert table[unit] == unit.upper()
+    assert made.count("a") == 1 and made.count("x" * 1000) == 2 and len(table) <= 4 and len(table.old) <= 4
+    monkeypatch.setattr(pieces, "UNIT_BYTES_KEPT", 100)
+    for i in range(300):
+        table[f"unit {i}"]
+    assert len(table) + len(table.old) < 20
+
+
+def test_pairs_are_checked_along_the_border_as_by_merging_anew():
+    own = pieces.codec(MODEL)
+    random.seed(9)
+    ids = sorted(own.piece_of)
+    short = [i for i in ids if len(own.piece_of[i]) <= 3]
+    pairs = [(random.choice(ids), random.choice(ids)) for _ in range(6000)] + [(random.choice(short), random.choice(short)) for _ in range(6000)]
+    for text in (" ".join(own.piece_of[i].replace("\u2581", "") for i in random.sample(ids, 400)), "aaaaaaaabaaaa ----==== ......"):
+        found = own.encode(text)
+        pairs += [p for p in zip(found, found[1:]) if p[0] in own.piece_of and p[1] in own.piece_of]
+    seen = set()
+    for left, right in pairs:
+        texts = [own.piece_of[left], own.piece_of[right]]
+        if own.merged(texts[0]) != [texts[0]]:
+            continue
+        want = own.merged("".join(texts)) == texts
+        assert own.stays(left, right) == want, texts
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_growth_of_pieces_by_other_ranks(monkeypatch):
+    """Models in which a later merge makes room for an earlier one: ranks don't only rise."""
+    own = pieces.PieceCodec(MODEL)
+    random.seed(5)
+    made = [a + b + c for a in "xyz" for b in ["", *"xyz"] for c in ["", *"xyz"]] + ["xyxy", "yxyx", "zzzz", "xyz" * 2, "zyzy"]
+    made = sorted(set(made))
+    for _ in range(12):
+        order = random.sample([m for m in made if len(m) > 1], len([m for m in made if len(m) > 1]))
+        monkeypatch.setattr(own, "rank", {m: float(n) for n, m in enumerate(order)})
+        monkeypatch.setattr(own, "piece_of", dict(enumerate(made)))
+        monkeypatch.setattr(own, "grown", {})
+        for i, left in enumerate(made):
+            for j, right in enumerate(made):
+                if own.merged(left) == [left]:
+                    assert own.stays(i, j) == (own.merged(left + right) == [left, right]), (left, right, order)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secrets.trigram_query("[0-9a-f]+") is None and secrets.trigram_query("a?b?") is None
