@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 # Bounds of the per-worker tables: what they keep decides how fast a text is encoded, never the result.
-UNITS_KEPT = 300_000
+UNITS_KEPT = 400_000
 UNIT_BYTES_KEPT = 64 << 20
 LONGEST_KEPT = 256
 PAIRS_KEPT = 500_000
