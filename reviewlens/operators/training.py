@@ -24,7 +24,7 @@ from reviewlens.operators.evaluate import binary_metrics, class_report, confusio
 from reviewlens.operators.sequences import text_sequences
 from reviewlens.operators.tfidf import LinearModel, score, vector_table
 from reviewlens.operators.vocabulary import WordIndex, fit_vocabulary, fit_word_index
-from reviewlens.session import byte_size, join_by_size, materialise
+from reviewlens.session import byte_size, join_by_size, materialise, scratch_path
 from reviewlens.sources.published import current, list_names, manifest, new_version, read_file, write_once
 
 
@@ -57,6 +57,11 @@ def train_logreg(train: DataFrame, key: str, text: str, label: str, config: JobC
         standardization=False, fitIntercept=True, aggregationDepth=2,
     ).fit(vectors)
     spark = train.sparkSession
+    # A fitted classifier keeps a summary that refers to the session, which no task can be sent once
+    # anything was observed in it; a saved and loaded one has none.
+    path = scratch_path(spark, "classifier")
+    classifier.write().save(path)
+    classifier = LogisticRegressionModel.load(path)
     # One number per vocabulary entry: the fitted weights are as bounded as the vocabulary.
     weights = spark.createDataFrame(
         list(enumerate(map(float, classifier.coefficients.toArray()))), "term_id int, coef double"

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewlens.config import JobConfig
@@ -42,6 +43,16 @@ def test_scores_equal_the_ml_model(reviews, trained):
     assert ours == pytest.approx(ml)
 
 
+def test_a_fitted_classifier_works_after_an_observation(spark, reviews):
+    """Comparing models observes a job, and the session then can't be sent to tasks."""
+    fitted = T.train_logreg(reviews, "doc_id", "text", "label", CONFIG)
+    seen = Observation()
+    reviews.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 10}
+    vectors = tfidf.vector_table(reviews, ["doc_id"], "text", fitted.model.vocab, ["label"])
+    assert fitted.classifier.transform(vectors).filter("prediction = label").count() >= 8
+
+
 def test_known_polarity(spark, trained):
     df = spark.createDataFrame([(1, "Superb, lovely!"), (2, "<br>dreadful"), (3, "")], "doc_id bigint, text string")
     p = {r["doc_id"]: r["p_pos"] for r in tfidf.score(df, ["doc_id"], "text", trained.model).collect()}
