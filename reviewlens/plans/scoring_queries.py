@@ -87,12 +87,13 @@ def legacy_decide(spark: SparkSession, sf: str) -> DataFrame:
         R.read_pages(spark, sf).select(
             (-1 - F.col("page_id")).alias("doc_id"),
             F.when(F.col("html").contains("&"), " ").otherwise("").alias("text")))
-    tidy = docs.withColumn("tidy", strip_whitespace(F.lower("text")))
-    scored = tfidf.score(tidy, KEY, "tidy", log_odds_model(R.labelled_reviews(spark, sf)), ["text"])
+    # Whether a text is empty shows in its first character; the text itself would be copied per word.
+    tidy = docs.select("doc_id", strip_whitespace(F.lower("text")).alias("tidy"), F.substring("text", 1, 1).alias("head"))
+    scored = tfidf.score(tidy, KEY, "tidy", log_odds_model(R.labelled_reviews(spark, sf)), ["head"])
     return scored.select(
         "doc_id",
-        D.legacy_verdict(F.col("text"), F.col("p_pos")).alias("sentiment"),
-        F.round(D.legacy_confidence(F.col("text"), F.col("p_pos")), 6).alias("confidence"),
+        D.legacy_verdict(F.col("head"), F.col("p_pos")).alias("sentiment"),
+        F.round(D.legacy_confidence(F.col("head"), F.col("p_pos")), 6).alias("confidence"),
     )
 
 

@@ -66,6 +66,13 @@ def test_no_text_is_carried_past_an_explode(docs, model):
     assert "_clean" not in kept and "text" not in kept
 
 
+def test_the_oldest_verdict_carries_no_text_past_an_explode(spark):
+    text = plan(catalog.QUERIES["legacy_decide"](spark, SF))
+    generate = next(line for line in text.splitlines() if "Generate" in line)
+    kept = re.search(r"\[([^\]]*)\], (true|false), \[term", generate).group(1)
+    assert "text" not in kept and "head" in kept
+
+
 @pytest.mark.parametrize("name", ["clean_pages", "clean_steps", "clean_conversations", "legacy_normalise", "tokens"])
 def test_cleaning_is_a_narrow_codegen_job(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
