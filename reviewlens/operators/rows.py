@@ -11,6 +11,14 @@ from reviewlens.session import spread
 ROW = ["_spot", "_row"]
 
 
+def numbered_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str] = []) -> DataFrame:
+    """(keys, carry, ROW, text) of every row where it lies."""
+    return docs.select(
+        *keys, *carry, text,
+        F.xxhash64(*keys, text, F.spark_partition_id()).alias("_spot"),
+        F.monotonically_increasing_id().alias("_row"))
+
+
 def spread_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str] = []) -> DataFrame:
     """(keys, carry, ROW, text) of every row, spread evenly: rows that repeat a key, or have none, stay apart.
 
@@ -19,8 +27,4 @@ def spread_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str] =
     An input partition that has to be computed again may number its rows anew; it still sends every row
     to the same spot, so no row is lost or counted twice.
     """
-    rows = docs.select(
-        *keys, *carry, text,
-        F.xxhash64(*keys, text, F.spark_partition_id()).alias("_spot"),
-        F.monotonically_increasing_id().alias("_row"))
-    return spread(rows, ["_spot"])
+    return spread(numbered_rows(docs, keys, text, carry), ["_spot"])

@@ -7,8 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens import session
 from reviewlens.functions.tokens import cleaned_words
-from reviewlens.operators.rows import ROW, spread_rows
+from reviewlens.operators.rows import ROW, numbered_rows
 from reviewlens.operators.sequences import pad_back
 from reviewlens.operators.vocabulary import WordIndex
 from reviewlens.session import byte_size, join_by_size, materialise, spread
@@ -77,21 +78,35 @@ def word_pieces(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, keys: list[str], text: str, vocabulary: DataFrame, max_length: int) -> DataFrame:
     """(keys, empty, input_ids, attention_mask) of exactly ``max_length`` elements, for each row of docs.
 
-    Each distinct word is cut once, by joins, and its ids are joined back to where it stands. Every word gives
-    at least one piece, so only the first max_length - 2 words can show in the result; the others need
-    not be cut. ``vocabulary`` should be a materialised table.
+    A word that is a piece as a whole needs no cutting; each other distinct word is cut once, by joins, and its
+    ids are joined back to where it stands. Every word gives at least one piece, so only the first max_length - 2
+    words can show in the result; the others need not be cut. ``vocabulary`` should be a materialised table.
     """
     room = max_length - 2
-    # Written, so that texts are cleaned once; what is left of a text is a bounded number of words.
-    texts = materialise(spread_rows(docs, keys, text).select(
+    # Written, so that texts are cleaned once; what is left of a text is a bounded number of words, and only
+    # these are moved.
+    texts = materialise(numbered_rows(docs, keys, text).select(
         *keys, *ROW, F.slice(cleaned_words(F.col(text)), 1, room).alias("_words")))
-    distinct = materialise(texts.select(F.explode("_words").alias("word")).distinct())
+    whole = vocabulary.filter(~F.col("piece").isin(SPECIAL) & (F.length("piece") <= MAX_WORD_CHARS)).select(
+        F.col("piece").alias("word"), F.array("piece_id").alias("_whole"))
+    whole_bytes = byte_size(whole.select("word"))
+    words = texts.select(F.explode("_words").alias("word")).distinct()
     # Words are few bytes but many parts, so they are spread by more than their size; all below stays in place.
+    distinct = materialise(join_by_size(words, whole, ["word"], "left_anti", whole_bytes, ["word"]))
     pieces = materialise(word_pieces(spread(distinct, ["word"]), vocabulary))
     size = pieces.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 32)).first()[0] or 0
-    placed = texts.select(
+    small = size <= session.BROADCAST_LIMIT_BYTES
+    placed = (spread(texts, ["_spot"]) if small else texts).select(
         *keys, *ROW, (F.size("_words") == 0).alias("empty"), F.posexplode_outer("_words").alias("pos", "word"))
-    known = join_by_size(placed, pieces, ["word"], "left", size, [*ROW, "pos"])
+    found = join_by_size(placed, whole, ["word"], "left", whole_bytes, [*ROW, "pos"])
+    if small:
+        known = found.join(F.broadcast(pieces), "word", "left").withColumn("ids", F.coalesce("_whole", "ids"))
+    else:
+        # Words grow with the texts, but the frequent ones are pieces: only the rest meets the large table, and
+        # needs no salt, which would repeat that table.
+        cut = F.col("_whole").isNull() & F.col("word").isNotNull()
+        rest = found.filter(cut).join(pieces, "word")
+        known = found.filter(~cut).withColumn("ids", F.col("_whole")).unionByName(rest)
     # The group is at most max_length - 2 words of one text.
     in_order = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
     grouped = known.groupBy(*keys, *ROW, "empty").agg(F.slice(F.flatten(in_order["ids"]), 1, room).alias("_pieces"))

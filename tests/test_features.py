@@ -10,7 +10,7 @@ from reviewlens.operators import sequences as S
 from reviewlens.operators import tfidf, vocabulary, wordpiece
 from reviewlens.functions.tokens import UNCLEANED, legacy_tokens
 from reviewlens.operators.vocabulary import TermSketch, fit_vocabulary, fit_word_index, frequent_buckets, top_by_count
-from reviewlens.session import byte_size, join_by_size
+from reviewlens.session import byte_size, join_by_size, materialise
 
 KEY = ["doc_id"]
 TEXTS = {
@@ -264,3 +264,40 @@ def test_salted_join_equals_broadcast_join_on_a_hot_key(spark, how):
 def test_salted_join_refuses_other_kinds(spark):
     with pytest.raises(ValueError):
         join_by_size(spark.range(1), spark.range(1), ["id"], "full", 0, ["id"])
+
+
+@pytest.fixture
+def piece_texts(spark):
+    rows = [(1, "warm pictures and warmest zz"), (1, "and unwarm"), (None, ""), (2, "x" * 101), (3, None)]
+    vocabulary = [*wordpiece.SPECIAL, *"adehimnprstuwxz", *(f"##{c}" for c in "adeimnrstuwxz"), "warm", "and", "##est", "picture"]
+    return (
+        spark.createDataFrame(rows, "doc_id bigint, text string"),
+        materialise(spark.createDataFrame([(p, i) for i, p in enumerate(vocabulary)], "piece string, piece_id int")),
+    )
+
+
+def piece_ids(df):
+    return sorted([tuple(r["input_ids"]) for r in df.select("input_ids").collect()])
+
+
+def test_words_that_are_pieces_are_not_cut_and_words_move_before_they_are_exploded(piece_texts, monkeypatch):
+    docs, vocabulary = piece_texts
+    cut, own = [], wordpiece.word_pieces
+    monkeypatch.setattr(wordpiece, "word_pieces", lambda words, v: cut.extend(r["word"] for r in words.collect()) or own(words, v))
+    encoded = wordpiece.encode(docs, ["doc_id"], "text", vocabulary, 16)
+    assert sorted(cut) == ["pictures", "unwarm", "warmest", "x" * 101, "zz"]
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_wordpiece_when_cut_words_are_too_many_to_broadcast(piece_texts, monkeypatch):
+    docs, vocabulary = piece_texts
+    broadcast = piece_ids(wordpiece.encode(docs, ["doc_id"], "text", vocabulary, 16))
+    monkeypatch.setattr("reviewlens.session.BROADCAST_LIMIT_BYTES", 250)
+    monkeypatch.setattr(wordpiece, "byte_size", lambda df: 0)  # the vocabulary is bounded
+    far = wordpiece.encode(docs, ["doc_id"], "text", vocabulary, 16)
+    assert "_salt" not in far._jdf.queryExecution().executedPlan().toString()
+    assert len(broadcast) == 5 and piece_ids(far) == broadcast
+    pieces = {r["piece"]: r["piece_id"] for r in vocabulary.collect()}
+    first = [2, pieces["warm"], pieces["picture"], pieces["##s"], pieces["and"], pieces["warm"], pieces["##est"], pieces["z"], pieces["##z"], 3]
+    assert tuple(first + [0] * (16 - len(first))) in broadcast and (2, 1, 3, *[0] * 13) in broadcast
