@@ -29,11 +29,29 @@ class Scorer(Protocol):
         """P(positive) for a batch of cleaned, non-empty texts."""
 
 
+# Characters of text that a scorer is handed at a time; a longer text comes alone.
+PART_CHARS = 1 << 20
+
+
+def text_parts(texts: pd.Series) -> list[np.ndarray]:
+    """Places of the texts that are not empty, in runs of at most PART_CHARS characters or of one text."""
+    size = texts.str.len().to_numpy(dtype=np.int64)
+    parts, part, held = [], [], 0
+    for place in np.flatnonzero(size):
+        if part and held + size[place] > PART_CHARS:
+            parts.append(np.array(part))
+            part, held = [], 0
+        part.append(place)
+        held += size[place]
+    return [*parts, np.array(part)] if part else parts
+
+
 def score_texts(docs: DataFrame, keys: list[str], text: str, scorer: Scorer) -> DataFrame:
     """(keys, model_name, p_pos, latency_ms). No shuffle and no state, so it serves streams too.
 
-    Empty text is not handed to the scorer: it gets 0.5 and no latency. The latency of a
-    text is its batch's time divided by the texts in it.
+    Empty text is not handed to the scorer: it gets 0.5 and no latency. Rows arrive in batches of a number of
+    rows; the scorer gets them in parts of some PART_CHARS characters, so its memory does not depend on how long
+    the texts are. The latency of a text is its part's time divided by the texts in it.
     """
     cleaned = docs.select(*keys, clean(F.col(text)).alias("_clean"))
     schema = ", ".join(
@@ -47,11 +65,10 @@ def score_texts(docs: DataFrame, keys: list[str], text: str, scorer: Scorer) ->
             out = batch[keys].copy()
             p = np.full(len(batch), 0.5)
             latency = np.zeros(len(batch))
-            some = (batch["_clean"] != "").to_numpy()
-            if some.any():
+            for part in text_parts(batch["_clean"]):
                 start = time.perf_counter()
-                p[some] = scorer.predict(batch.loc[some, "_clean"])
-                latency[some] = (time.perf_counter() - start) * 1000 / some.sum()
+                p[part] = scorer.predict(batch["_clean"].iloc[part])
+                latency[part] = (time.perf_counter() - start) * 1000 / len(part)
             yield out.assign(model_name=scorer.name, p_pos=p, latency_ms=latency)
 
     return cleaned.mapInPandas(run, schema)

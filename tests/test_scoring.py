@@ -268,3 +268,28 @@ def test_onnx_session_runs_in_the_workers(spark, tmp_path):
     assert (got[1]["logit_neg"], got[1]["logit_pos"]) == (-4.0, 2.0)
     assert got[1]["p_pos"] == pytest.approx(1 / (1 + math.exp(-6)))
     assert got[2]["p_pos"] == 0.5 and got[3]["logit_neg"] == -3.0
+
+
+def test_a_scorer_gets_bounded_parts_however_long_the_texts_are(monkeypatch):
+    monkeypatch.setattr(scorers, "PART_CHARS", 10)
+    texts = pd.Series(["aaaa", "", "bbbb", "cc", "d", "e" * 30, "f", ""])
+    parts = [p.tolist() for p in scorers.text_parts(texts)]
+    assert parts == [[0, 2, 3], [4], [5], [6]]
+    assert scorers.text_parts(pd.Series([""])) == [] and scorers.text_parts(pd.Series([], dtype=object)) == []
+
+
+def test_parts_change_no_score(spark):
+    class Lengths:
+        name = "lengths"
+
+        def load(self):
+            pass
+
+        def predict(self, cleaned):
+            assert cleaned.str.len().sum() <= 1 << 20
+            return cleaned.str.len().to_numpy() / 1e6
+
+    docs = spark.range(6).selectExpr("id AS doc_id", "if(id = 3, '', repeat('a', 400000 + cast(id AS int))) AS text").coalesce(1)
+    rows = scorers.score_texts(docs, ["doc_id"], "text", Lengths()).collect()
+    assert {r["doc_id"]: r["p_pos"] for r in rows} == {i: 0.5 if i == 3 else (400000 + i) / 1e6 for i in range(6)}
+    assert all((r["latency_ms"] == 0) == (r["doc_id"] == 3) for r in rows)
