@@ -53,8 +53,19 @@ def clean(text: Column) -> Column:
 
     Symbols and whitespace runs are handled by one pattern, since both end as one space.
     """
-    unmarked = strip_web_addresses(strip_entities(strip_tags(null_to_empty(text))))
-    return F.trim(F.regexp_replace(F.lower(unmarked), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(without_markup(text)), "[^a-z0-9]+", " "))
+
+
+def without_markup(text: Column) -> Column:
+    """Tags, entities and web addresses stripped in turn.
+
+    A pattern is tried only where the raw text holds characters that each of its matches has. What is stripped
+    before leaves a space, so no match of a later pattern arises that way.
+    """
+    raw = null_to_empty(text)
+    tags = F.when(raw.contains("<"), strip_tags(raw)).otherwise(raw)
+    entities = F.when(raw.contains("&"), strip_entities(tags)).otherwise(tags)
+    return F.when(raw.contains("http") | raw.contains("www."), strip_web_addresses(entities)).otherwise(entities)
 
 
 def clean_steps(text: Column) -> dict[str, Column]:

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.decision import sigmoid
-from reviewlens.functions.tokens import CLEANED
+from reviewlens.functions.tokens import CLEANED, WordPath
 from reviewlens.operators.rows import ROW
-from reviewlens.operators.vocabulary import Vocabulary, fit_vocabularies, term_counts
-from reviewlens.session import byte_size, join_by_size, materialise, scratch_path
+from reviewlens.operators.vocabulary import Vocabulary, fit_vocabularies, term_counts, term_rows
+from reviewlens.session import byte_size, fits_broadcast, join_by_size, materialise, scratch_path
 
 
 def raw_weight(tf: Column, idf: Column) -> Column:
@@ -20,11 +20,32 @@ def raw_weight(tf: Column, idf: Column) -> Column:
     return (F.lit(1.0) + F.log(tf.cast("double"))) * idf
 
 
+def known_counts(
+    docs: DataFrame, keys: list[str], text: str, ngram_range: tuple[int, int], path: WordPath, terms: DataFrame, size_bytes: int,
+    carry: list[str] = [],
+) -> DataFrame:
+    """(keys, carry, ROW, empty, term_id, tf, other columns of terms) of the terms that ``terms`` (term, term_id,
+    numbers) knows, and rows with a null term_id, at least one of which each document without known terms has.
+
+    Terms that can be broadcast are matched before they are counted: numbers are counted faster than strings, and
+    unknown terms not at all. Others are counted first, so that fewer rows are shuffled to meet them.
+    """
+    numbers = [c for c in terms.columns if c not in ("term", "term_id")]
+    if not fits_broadcast(size_bytes):
+        counts = term_counts(docs, keys, text, ngram_range, carry, path)
+        return join_by_size(counts, terms, ["term"], "left", size_bytes, ROW).drop("term")
+    rows = term_rows(docs, keys, text, ngram_range, carry, path)
+    found = join_by_size(rows, terms, ["term"], "left", size_bytes, ROW)
+    found = found.filter(F.col("term_id").isNotNull() | F.col("term").isNull())
+    # The numbers are the same wherever the term is.
+    return found.groupBy(*keys, *carry, *ROW, "empty", "term_id").agg(
+        F.count("*").alias("tf"), *[F.max(c).alias(c) for c in numbers])
+
+
 def known_terms(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
-    """Term counts with vocabulary columns; unknown terms have null ones. ROW tells documents apart."""
-    counts = term_counts(docs, keys, text, vocab.ngram_range, carry, vocab.path)
-    terms = vocab.table.drop("ctf", "df", "df_pos")
-    return join_by_size(counts, terms, ["term"], "left", vocab.size_bytes, ROW)
+    """Counts of known terms with their idf; ROW tells documents apart."""
+    terms = vocab.table.select("term", "term_id", "idf")
+    return known_counts(docs, keys, text, vocab.ngram_range, vocab.path, terms, vocab.size_bytes, carry)
 
 
 def tfidf_weights(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
@@ -35,19 +56,21 @@ def tfidf_weights(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary
     vector each.
     """
     weighted = known_terms(docs, keys, text, vocab, carry).select(
-        *keys, *carry, *ROW, "term_id", "term", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
+        *keys, *carry, *ROW, "term_id", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
     )
     # Grouping per document is safe: the group is the words of one text.
     vectors = weighted.groupBy(*keys, *carry, *ROW).agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "term", "raw"))).alias("terms"),
+        F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "raw"))).alias("terms"),
     )
-    return vectors.select(*keys, *carry, "norm", F.explode_outer("terms").alias("t")).select(
-        *keys, *carry,
-        F.col("t.term").alias("term"),
+    weights = vectors.select(*keys, *carry, *ROW, "norm", F.explode_outer("terms").alias("t")).select(
+        *keys, *carry, *ROW,
         F.col("t.term_id").alias("term_id"),
         (F.col("t.raw") / F.col("norm")).alias("weight"),
     )
+    names = vocab.table.select("term_id", "term")
+    return join_by_size(weights, names, ["term_id"], "left", vocab.size_bytes, ROW).select(
+        *keys, *carry, "term", "term_id", "weight")
 
 
 def sparse_vectors(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
@@ -154,18 +177,21 @@ def score_models(
     paths = {m.vocab.path for m in with_terms} or {CLEANED}
     if len(paths) > 1:
         raise ValueError("models that cut words in different ways need a pass each")
-    counts = term_counts(docs, keys, text, (low, high), carry, paths.pop())
+    path = paths.pop()
     if with_terms:
         side = None
         for m in with_terms:
-            own = m.vocab.table.select("term", F.col("idf").alias(f"idf_{m.key}"), F.col("coef").alias(f"coef_{m.key}"))
-            side = own if side is None else side.join(own, "term", "full")
+            own = m.vocab.table.select(
+                "term", "term_id", F.col("idf").alias(f"idf_{m.key}"), F.col("coef").alias(f"coef_{m.key}"))
+            side = own if side is None else side.drop("term_id").join(own.drop("term_id"), "term", "full")
         if len(with_terms) > 1:
-            side = materialise(side)
+            side = materialise(side.withColumn("term_id", F.monotonically_increasing_id()))
             size = byte_size(side)
         else:
             size = with_terms[0].vocab.size_bytes
-        counts = join_by_size(counts, side, ["term"], "left", size, ROW)
+        counts = known_counts(docs, keys, text, (low, high), path, side, size, carry)
+    else:
+        counts = term_counts(docs, keys, text, (low, high), carry, path)
     sums = []
     for m in with_terms:
         w = raw_weight(F.col("tf"), F.col(f"idf_{m.key}"))

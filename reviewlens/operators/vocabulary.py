@@ -52,6 +52,30 @@ def row_tokens(docs: DataFrame, keys: list[str], text: str, carry: list[str] = [
     )
 
 
+def term_rows(
+    docs: DataFrame, keys: list[str], text: str, ngram_range: tuple[int, int], carry: list[str] = [], path: WordPath = CLEANED
+) -> DataFrame:
+    """(keys, carry, ROW, empty, term), one row per occurrence and one more with a null term per document."""
+    grams = ngram_terms(F.col("_tokens"), ngram_range)
+    # Nothing but keys and flags may pass the explode: a text would be copied per word.
+    return row_tokens(docs, keys, text, carry, path).select(
+        *keys, *carry, *ROW, "empty", F.explode(F.concat(grams, F.array(F.lit(None).cast("string")))).alias("term"))
+
+
+def first_and_again(docs: DataFrame, text: str, ngram_range: tuple[int, int], carry: list[str] = [], path: WordPath = CLEANED) -> DataFrame:
+    """(carry, first, term), one row per occurrence; ``first`` marks one occurrence of each term in each document.
+
+    Repeats are told apart in the sorted terms of a text, so terms can be counted over all documents without being
+    counted per document before.
+    """
+    grams = row_tokens(docs, [], text, carry, path).select(
+        *carry, F.sort_array(ngram_terms(F.col("_tokens"), ngram_range)).alias("_grams"))
+    again = F.filter("_grams", lambda term, i: term == F.get(F.col("_grams"), i - 1))
+    parted = grams.select(*carry, F.array_distinct("_grams").alias("_once"), again.alias("_again"))
+    rows = parted.select(*carry, F.size("_once").alias("_n"), F.posexplode(F.concat("_once", "_again")).alias("_pos", "term"))
+    return rows.select(*carry, (F.col("_pos") < F.col("_n")).alias("first"), "term")
+
+
 def term_counts(
     docs: DataFrame, keys: list[str], text: str, ngram_range: tuple[int, int], carry: list[str] = [], path: WordPath = CLEANED
 ) -> DataFrame:
@@ -140,18 +164,14 @@ def count_terms(
     widest = (min(r[0] for _, r in limits), max(r[1] for _, r in limits))
     carry = [label] if label else []
     kept = frequent_buckets(docs, text, limits, sketch, path) if input_bytes(docs) >= sketch.least_bytes else None
-    if kept is None:
-        counts = term_counts(docs, [], text, widest, carry, path)
-    else:
+    terms = first_and_again(docs, text, widest, carry, path)
+    if kept is not None:
         # At most sketch.buckets numbers, so the broadcast is bounded whatever the corpus holds.
-        terms = row_tokens(docs, [], text, carry, path).select(
-            *carry, *ROW, F.explode(ngram_terms(F.col("_tokens"), widest)).alias("term"))
         terms = terms.withColumn("bucket", bucket_of("term", sketch)).join(F.broadcast(kept), "bucket", "left_semi")
-        counts = terms.groupBy(*carry, *ROW, "term").agg(F.count("*").alias("tf"))
-    return counts.filter(F.col("term").isNotNull()).groupBy("term").agg(
-        F.sum("tf").alias("ctf"),
-        F.count("*").alias("df"),
-        *([F.sum(F.col(label).cast("long")).alias("df_pos")] if label else []),
+    return terms.groupBy("term").agg(
+        F.count("*").alias("ctf"),
+        F.count_if("first").alias("df"),
+        *([F.sum(F.when(F.col("first"), F.col(label).cast("long"))).alias("df_pos")] if label else []),
     )
 
 

@@ -89,6 +89,11 @@ def byte_size(df: DataFrame) -> int:
     return measure(df)[1]
 
 
+def fits_broadcast(size_bytes: int) -> bool:
+    """Whether ``join_by_size`` broadcasts a side of this size, unless it is given another limit."""
+    return size_bytes <= BROADCAST_LIMIT_BYTES
+
+
 def join_by_size(
     left: DataFrame,
     right: DataFrame,

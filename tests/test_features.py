@@ -63,6 +63,14 @@ def test_weights(docs, k):
     same(as_dict(tfidf.tfidf_weights(docs, ["doc_id"], "text", vocab)), brute_force(TEXTS, k))
 
 
+def test_repeats_are_told_apart(spark):
+    docs = spark.createDataFrame([("aa bb aa aa bb", 1), ("bb", 0), ("", 1), (None, 0)], "text string, label int")
+    rows = vocabulary.first_and_again(docs, "text", (1, 2), ["label"]).collect()
+    assert Counter((r["label"], r["first"], r["term"]) for r in rows) == Counter({
+        (1, True, "aa"): 1, (1, False, "aa"): 2, (1, True, "bb"): 1, (1, False, "bb"): 1, (1, True, "aa bb"): 1,
+        (1, False, "aa bb"): 1, (1, True, "bb aa"): 1, (1, True, "aa aa"): 1, (0, True, "bb"): 1})
+
+
 def test_weights_when_nothing_is_broadcast(docs, always_shuffle):
     vocab = fit_vocabulary(docs, ["doc_id"], "text", 7, (1, 2))
     same(as_dict(tfidf.tfidf_weights(docs, ["doc_id"], "text", vocab)), brute_force(TEXTS, 7))

@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlens.functions.tokens import CLEANED
 from reviewlens.operators import sequences, tfidf
-from reviewlens.operators.vocabulary import fit_vocabulary, fit_word_index
+from reviewlens.operators.vocabulary import TermSketch, count_terms, fit_vocabulary, fit_word_index
 from reviewlens.plans import catalog
 from reviewlens.sources import reviews as R
 
@@ -55,6 +56,19 @@ def test_weights_and_vectors_move_the_texts_once(docs):
         assert exchanges(df) == ["hashpartitioning"] and "Python" not in plan(df)
 
 
+def test_terms_are_matched_before_they_are_counted(docs, model):
+    """No string is counted per text: aggregates are keyed by the number of a term."""
+    vocab = fit_vocabulary(docs, ["doc_id"], "text", 500, (1, 2))
+    for df in (tfidf.score(docs, ["doc_id"], "text", model), tfidf.tfidf_weights(docs, ["doc_id"], "text", vocab)):
+        keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", plan(df))
+        assert any("term_id#" in k for k in keys) and not any("term#" in k for k in keys)
+
+
+def test_fitting_does_not_count_per_text(docs):
+    counted = count_terms(docs, "text", [(500, (1, 2))], "label", TermSketch(), CLEANED)
+    assert set(re.findall(r"Aggregate\(keys=\[([^\]]*?)#\d+\]", plan(counted))) == {"term"}
+
+
 def test_sequences_move_the_texts_once(docs):
     index = fit_word_index(docs, "doc_id", "text", 100)
     assert exchanges(sequences.text_sequences(docs, "doc_id", "text", index)) == ["hashpartitioning"]

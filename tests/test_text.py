@@ -133,3 +133,14 @@ def test_raw_and_legacy_tokens(spark):
     row = df.select(raw_word_tokens(F.lower("t")).alias("raw"), legacy_tokens(F.col("t")).alias("legacy")).first()
     assert row["raw"] == ["it", "br", "café", "bar"]
     assert row["legacy"] == ["it's", "br", "café", "bar", "a", "1"]
+
+
+def test_patterns_are_tried_only_where_they_can_match(spark):
+    """Cleaning equals the chain of all its steps, whichever of the marks a text holds, and skips what can't match."""
+    parts = ["plain Text", "<b>x</b>", "&amp;", "&#39;", "http://a.b/c?d&e;f", "www.x<i>", "htt<b>p://q", "&am<b>p;", "ww<w.", "<", "https:/"]
+    texts = [a + s + b for a in parts for b in parts for s in (" ", "")] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(X.clean(F.col("t")).alias("a"), X.clean_steps(F.col("t"))["cleaned"].alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    plan = df.select(X.clean(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"Contains(" in plan and f", {mark})" in plan for mark in ("<", "&", "http", "www."))
