@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.decision import sigmoid
@@ -25,21 +25,21 @@ def known_counts(
     carry: list[str] = [],
 ) -> DataFrame:
     """(keys, carry, ROW, empty, term_id, tf, other columns of terms) of the terms that ``terms`` (term, term_id,
-    numbers) knows, and rows with a null term_id, at least one of which each document without known terms has.
+    numbers) knows; a document without known terms has one row with a null term_id, others may have one.
 
     Terms that can be broadcast are matched before they are counted: numbers are counted faster than strings, and
     unknown terms not at all. Others are counted first, so that fewer rows are shuffled to meet them.
     """
     numbers = [c for c in terms.columns if c not in ("term", "term_id")]
     if not fits_broadcast(size_bytes):
-        counts = term_counts(docs, keys, text, ngram_range, carry, path)
-        return join_by_size(counts, terms, ["term"], "left", size_bytes, ROW).drop("term")
-    rows = term_rows(docs, keys, text, ngram_range, carry, path)
-    found = join_by_size(rows, terms, ["term"], "left", size_bytes, ROW)
-    found = found.filter(F.col("term_id").isNotNull() | F.col("term").isNull())
+        rows, tf = term_counts(docs, keys, text, ngram_range, carry, path), F.sum("tf")
+        found = join_by_size(rows, terms, ["term"], "left", size_bytes, ROW)
+    else:
+        rows, tf = term_rows(docs, keys, text, ngram_range, carry, path), F.count("*")
+        found = join_by_size(rows, terms, ["term"], "left", size_bytes, ROW)
+        found = found.filter(F.col("term_id").isNotNull() | F.col("term").isNull())
     # The numbers are the same wherever the term is.
-    return found.groupBy(*keys, *carry, *ROW, "empty", "term_id").agg(
-        F.count("*").alias("tf"), *[F.max(c).alias(c) for c in numbers])
+    return found.groupBy(*keys, *carry, *ROW, "empty", "term_id").agg(tf.alias("tf"), *[F.max(c).alias(c) for c in numbers])
 
 
 def known_terms(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary, carry: list[str] = []) -> DataFrame:
@@ -58,16 +58,13 @@ def tfidf_weights(docs: DataFrame, keys: list[str], text: str, vocab: Vocabulary
     weighted = known_terms(docs, keys, text, vocab, carry).select(
         *keys, *carry, *ROW, "term_id", raw_weight(F.col("tf"), F.col("idf")).alias("raw")
     )
-    # Grouping per document is safe: the group is the words of one text.
-    vectors = weighted.groupBy(*keys, *carry, *ROW).agg(
-        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "raw"))).alias("terms"),
-    )
-    weights = vectors.select(*keys, *carry, *ROW, "norm", F.explode_outer("terms").alias("t")).select(
-        *keys, *carry, *ROW,
-        F.col("t.term_id").alias("term_id"),
-        (F.col("t.raw") / F.col("norm")).alias("weight"),
-    )
+    # The window is the known terms of one text.
+    own = Window.partitionBy(*ROW)
+    weights = weighted.select(
+        *keys, *carry, *ROW, "term_id", "raw",
+        F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own)).alias("norm"),
+    ).filter(F.col("raw").isNotNull() | F.col("norm").isNull()).select(
+        *keys, *carry, *ROW, "term_id", (F.col("raw") / F.col("norm")).alias("weight"))
     names = vocab.table.select("term_id", "term")
     return join_by_size(weights, names, ["term_id"], "left", vocab.size_bytes, ROW).select(
         *keys, *carry, "term", "term_id", "weight")

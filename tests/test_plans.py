@@ -64,6 +64,11 @@ def test_terms_are_matched_before_they_are_counted(docs, model):
         assert any("term_id#" in k for k in keys) and not any("term#" in k for k in keys)
 
 
+def test_weights_of_a_text_are_not_gathered_in_one_row(docs):
+    text = plan(tfidf.tfidf_weights(docs, ["doc_id"], "text", fit_vocabulary(docs, ["doc_id"], "text", 500, (1, 2))))
+    assert "collect_list" not in text and "Window" in text
+
+
 def test_fitting_does_not_count_per_text(docs):
     counted = count_terms(docs, "text", [(500, (1, 2))], "label", TermSketch(), CLEANED)
     assert set(re.findall(r"Aggregate\(keys=\[([^\]]*?)#\d+\]", plan(counted))) == {"term"}
