@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.word_parts(docs), parts="parts").withColumnRenamed("content", "text")
+    return packing.pack_words(docs).withColumnRenamed("content", "text")
 
 
 def with_text(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -293,6 +293,17 @@ def pack_tokens(docs: DataFrame, model_path: str, config: PackingConfig = Packin
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def pack_words(docs: DataFrame, config: PackingConfig = PackingConfig()) -> DataFrame:
+    """What ``pack`` gives for ``word_parts``, with texts as content: cut and packed in one pass of one worker."""
+    cut, place = word_part_batches(max(config.sizes)), pack_batches(config)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return place(cut(batches))
+
+    schema = ROWS.format(docs.schema["doc_id"].dataType.simpleString()) + ", content string"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
 def pack(counts: DataFrame, config: PackingConfig = PackingConfig(), parts: str | None = None) -> DataFrame:
     """Pack documents (doc_id, n_tokens), token counts of any tokenizer, into bins of permitted sizes.
 

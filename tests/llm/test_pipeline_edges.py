@@ -9,7 +9,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from reviewlens.llm import queries
+from reviewlens.llm import packing, queries
 from reviewlens.session import scratch_path
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, component_id bigint, n_tokens string, "
@@ -72,3 +72,15 @@ def test_every_query_is_held_against_something():
     for name in PLAIN_TESTS.values():
         file, function = name.split("::")
         assert re.search(rf"^def {function}\(", (here / file).read_text(), re.M)
+
+
+def test_words_are_packed_by_one_worker_a_task(spark):
+    """Cutting and packing run in one Python pass, with the rows that the two of them give one after the other."""
+    rows = [(i, " ".join(f"w{j}" for j in range(n)) if n else None) for i, n in enumerate((0, 5, 700, 4096, 9000, 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    once = packing.pack_words(docs)
+    twice = packing.pack(packing.word_parts(docs), parts="parts")
+    assert once.schema == twice.schema
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+    staged = corpus_pipeline.pack_sequences(spark, docs, "")
+    assert staged._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from reviewlens.llm.repeats import RepeatConfig, remove_repeats
+from reviewlens.llm.repeats import RepeatConfig, remove_repeats, run_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -71,3 +73,18 @@ def test_texts_and_other_columns(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert remove_repeats(empty, RepeatConfig()).count() == 0
+
+
+def test_runs_need_little_memory_beside_their_text():
+    """Runs overlap; cutting out their text must not take an index of eight bytes for each of its bytes."""
+    draw = random.Random(5)
+    texts = [" ".join(f"w{draw.randrange(5000)}" for _ in range(400)) for _ in range(460)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = run_batches(RepeatConfig())
+    expected = sum(part.num_rows for part in run([batch]))  # tables that are kept are made here
+    tracemalloc.start()
+    found = sum(part.num_rows for part in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == expected > 10_000
+    assert peak < 15 * sum(map(len, texts))
