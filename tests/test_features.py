@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.operators import sequences as S
 from reviewlens.operators import tfidf, vocabulary, wordpiece
-from reviewlens.functions.tokens import UNCLEANED, legacy_tokens
+from reviewlens.functions.tokens import UNCLEANED, cleaned_words, legacy_tokens
 from reviewlens.operators.vocabulary import TermSketch, fit_vocabulary, fit_word_index, frequent_buckets, top_by_count
 from reviewlens.session import byte_size, join_by_size, materialise
 
@@ -309,3 +309,21 @@ def test_wordpiece_when_cut_words_are_too_many_to_broadcast(piece_texts, monkeyp
     pieces = {r["piece"]: r["piece_id"] for r in vocabulary.collect()}
     first = [2, pieces["warm"], pieces["picture"], pieces["##s"], pieces["and"], pieces["warm"], pieces["##est"], pieces["z"], pieces["##z"], 3]
     assert tuple(first + [0] * (16 - len(first))) in broadcast and (2, 1, 3, *[0] * 13) in broadcast
+
+
+@pytest.mark.parametrize("cut", [cleaned_words, legacy_tokens])
+def test_sequences_by_lookup_equal_those_by_join(spark, monkeypatch, cut):
+    texts = ["b a  a zz", None, "", "unknown", "A <br> b! 'b c-d", "ü aüb a", "a a", " b\t"] * 90
+    docs = spark.createDataFrame([(i if i % 5 else None, t, i % 3) for i, t in enumerate(texts)], "doc_id bigint, text string, mark int")
+    index = fit_word_index(docs.filter("doc_id IS NOT NULL AND text <> 'unknown'"), "doc_id", "text", 4, words_of=cut)
+
+    def rows():
+        found = S.text_sequences(docs, "doc_id", "text", index, ["mark"], cut)
+        return found.columns, [f.dataType for f in found.schema.fields], sorted(map(str, found.collect()))
+
+    looked_up = rows()
+    monkeypatch.setattr("reviewlens.session.BROADCAST_LIMIT_BYTES", -1)
+    joined = rows()
+    assert looked_up[0] == joined[0] and looked_up[2] == joined[2]
+    assert len(joined[2]) == len(texts)
+    assert [t.simpleString() for t in looked_up[1]] == [t.simpleString() for t in joined[1]]

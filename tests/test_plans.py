@@ -101,3 +101,10 @@ def test_cleaning_is_a_narrow_codegen_job(spark, name):
 def test_scans_read_only_what_is_used(spark):
     text = plan(catalog.QUERIES["clean_pages"](spark, SF))
     assert "ReadSchema: struct<page_id:bigint,html:string>" in text
+
+
+def test_sequences_look_words_up_without_a_row_per_word(docs):
+    """A broadcast index is looked up text by text: no word is exploded and nothing is grouped."""
+    index = fit_word_index(docs, "doc_id", "text", 50)
+    plan = sequences.text_sequences(docs, "doc_id", "text", index)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
