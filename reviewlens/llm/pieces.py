@@ -42,20 +42,22 @@ class Units(dict):
     new one. So units in use stay, and at most twice the bounds are held. Long units are not kept.
     """
 
-    def __init__(self, make: Callable[[str], str | bytes]) -> None:
+    def __init__(self, make: Callable[[str], str | bytes], kept: int | None = None) -> None:
         super().__init__()
         self.make, self.old, self.size = make, {}, 0
+        self.kept = UNITS_KEPT if kept is None else kept
 
     def __missing__(self, unit: str) -> str | bytes:
         found = self.old.get(unit)
         if found is None:
             found = self.make(unit)
-        if len(unit) <= LONGEST_KEPT:
-            if len(self) >= UNITS_KEPT or self.size >= UNIT_BYTES_KEPT:
+        length = len(unit)
+        if length <= LONGEST_KEPT:
+            if len(self) >= self.kept or self.size >= UNIT_BYTES_KEPT:
                 self.old, self.size = dict(self), 0
                 self.clear()
             self[unit] = found
-            self.size += 4 * len(unit) + len(found)
+            self.size += 4 * length + len(found)
         return found
 
 
@@ -106,9 +108,9 @@ class PieceCodec:
             raise ValueError("a piece crosses the start of a word")
         if len(self.byte_ids) != 256:
             raise ValueError("the model has no byte pieces to fall back on")
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for piece, i in self.id_of.items():
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         # The longest piece that is a proper prefix of a piece: what to try when the piece doesn't fit.
         self.shorter = [-1] * (size + 2)
@@ -120,7 +122,8 @@ class PieceCodec:
         self.n_pairs = 0
         self.grown: dict[int, Growth] = {}
         self.known = Units(lambda unit: ",".join(map(str, self.encode_unit(unit.replace(" ", MARK)))))
-        self.packed = Units(lambda unit: array("i", self.encode_unit(unit.replace(" ", MARK))).tobytes())
+        # Packing keeps this table alone, encoding the two others together.
+        self.packed = Units(lambda unit: array("i", self.encode_unit(unit.replace(" ", MARK))).tobytes(), UNITS_KEPT * 7 // 4)
         self.back = Units(lambda unit: self.decode_pieces(list(map(int, self.known[unit].split(",")))))
 
     def unit_pattern(self) -> str:
@@ -132,9 +135,8 @@ class PieceCodec:
                 c = root[c]
             return c
 
-        for piece in self.id_of:
-            for left, right in zip(piece, piece[1:]):
-                root[find(right if left == MARK else left)] = find(right)
+        for left, right in {pair for piece in self.id_of for pair in zip(piece, piece[1:])}:
+            root[find(right if left == MARK else left)] = find(right)
         classes: dict[str, list[str]] = {}
         for c in sorted(root):
             classes.setdefault(find(c), []).append(re.escape(c))
@@ -219,29 +221,26 @@ class PieceCodec:
         """Ids of a text whose spaces are marks."""
         n = len(text)
         longest = [self.unknown] * n
-        for last, (length, i) in self.automaton.iter(text):
-            longest[last - length + 1] = i  # ends rise, so the longest piece stays
         shorter, lengths, pairs, compatible = self.shorter, self.length, self.pairs, self.compatible
+        for last, i in self.automaton.iter(text):
+            longest[last + 1 - lengths[i]] = i  # ends rise, so the longest piece stays
         longest.append(-1)
-        failed = bytearray(n + 1)
         ids: list[int] = []
         at, before = 0, self.start
         now = longest[0]
         while at < n:
             fitting = pairs[before].get
             while now >= 0:
-                end = at + lengths[now]
-                if not failed[end]:
-                    fits = fitting(now)
-                    if compatible(before, now) if fits is None else fits:
-                        break
+                fits = fitting(now)
+                if compatible(before, now) if fits is None else fits:
+                    break
                 now = shorter[now]
             if now >= 0:
                 ids.append(now)
-                at, before = end, now
-                now = longest[end]
+                at, before = at + lengths[now], now
+                now = longest[at]
             else:
-                failed[at] = 1
+                longest[at] = -1  # failed: nothing is tried here again
                 last = ids.pop()
                 at -= lengths[last]
                 before = ids[-1] if ids else self.start
