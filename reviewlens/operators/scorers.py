@@ -10,6 +10,8 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ class Scorer(Protocol):
 
 
 # Characters of text that a scorer is handed at a time; a longer text comes alone.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 18
 
 
 def text_parts(texts: pd.Series) -> list[np.ndarray]:
@@ -46,12 +48,24 @@ def text_parts(texts: pd.Series) -> list[np.ndarray]:
     return [*parts, np.array(part)] if part else parts
 
 
+def text_runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows with at most PART_CHARS bytes of text, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + PART_CHARS, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def score_texts(docs: DataFrame, keys: list[str], text: str, scorer: Scorer) -> DataFrame:
     """(keys, model_name, p_pos, latency_ms). No shuffle and no state, so it serves streams too.
 
     Empty text is not handed to the scorer: it gets 0.5 and no latency. Rows arrive in batches of a number of
-    rows; the scorer gets them in parts of some PART_CHARS characters, so its memory does not depend on how long
-    the texts are. The latency of a text is its part's time divided by the texts in it.
+    rows; only runs of some PART_CHARS characters at a time become Python strings and go to the scorer, so its
+    memory does not depend on how long the texts are. The latency of a text is its part's time divided by the
+    texts in it.
     """
     cleaned = docs.select(*keys, clean(F.col(text)).alias("_clean"))
     schema = ", ".join(
@@ -59,19 +73,22 @@ def score_texts(docs: DataFrame, keys: list[str], text: str, scorer: Scorer) ->
         + ["model_name string", "p_pos double", "latency_ms double"]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer.load()
-        for batch in batches:
-            out = batch[keys].copy()
-            p = np.full(len(batch), 0.5)
-            latency = np.zeros(len(batch))
-            for part in text_parts(batch["_clean"]):
+        for batch in (part for whole in batches for part in text_runs(whole, "_clean")):
+            texts = batch.column("_clean").to_pandas()
+            p = np.full(len(texts), 0.5)
+            latency = np.zeros(len(texts))
+            for part in text_parts(texts):
                 start = time.perf_counter()
-                p[part] = scorer.predict(batch["_clean"].iloc[part])
+                p[part] = scorer.predict(texts.iloc[part])
                 latency[part] = (time.perf_counter() - start) * 1000 / len(part)
-            yield out.assign(model_name=scorer.name, p_pos=p, latency_ms=latency)
+            names = pa.array([scorer.name] * len(texts), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keys), names, pa.array(p), pa.array(latency)],
+                [*keys, "model_name", "p_pos", "latency_ms"])
 
-    return cleaned.mapInPandas(run, schema)
+    return cleaned.mapInArrow(run, schema)
 
 
 def with_prediction_record(scored: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,13 @@ def test_parts_change_no_score(spark):
     rows = scorers.score_texts(docs, ["doc_id"], "text", Lengths()).collect()
     assert {r["doc_id"]: r["p_pos"] for r in rows} == {i: 0.5 if i == 3 else (400000 + i) / 1e6 for i in range(6)}
     assert all((r["latency_ms"] == 0) == (r["doc_id"] == 3) for r in rows)
+
+
+def test_few_texts_at_a_time_become_python_strings(monkeypatch):
+    """A batch of rows is cut while it is Arrow, before its texts are Python strings."""
+    monkeypatch.setattr(scorers, "PART_CHARS", 10)
+    texts = ["a" * 4, None, "b" * 6, "", "c" * 30, "d", "e" * 10]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["_clean"])
+    runs = [r.column("_clean").to_pylist() for r in scorers.text_runs(batch, "_clean")]
+    assert runs == [texts[:4], texts[4:5], texts[5:6], texts[6:]]
+    assert list(scorers.text_runs(batch.slice(0, 0), "_clean")) == []
