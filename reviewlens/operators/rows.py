@@ -19,7 +19,7 @@ def numbered_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str]
         F.monotonically_increasing_id().alias("_row"))
 
 
-def spread_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str] = []) -> DataFrame:
+def spread_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str] = [], part_bytes: int | None = None) -> DataFrame:
     """(keys, carry, ROW, text) of every row, spread evenly: rows that repeat a key, or have none, stay apart.
 
     ``_spot``, which deals the rows, is a hash of key, text and input partition, so neither a null or
@@ -27,4 +27,4 @@ def spread_rows(docs: DataFrame, keys: list[str], text: str, carry: list[str] =
     An input partition that has to be computed again may number its rows anew; it still sends every row
     to the same spot, so no row is lost or counted twice.
     """
-    return spread(numbered_rows(docs, keys, text, carry), ["_spot"])
+    return spread(numbered_rows(docs, keys, text, carry), ["_spot"], part_bytes)

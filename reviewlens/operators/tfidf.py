@@ -77,7 +77,8 @@ def sparse_vectors(docs: DataFrame, keys: list[str], text: str, vocab: Vocabular
     )
     grouped = weighted.groupBy(*keys, *carry, *ROW).agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
-        F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "raw")))).alias("terms"),
+        # The natural order of structs; array_sort would call a comparing function for each two.
+        F.sort_array(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("term_id", "raw")))).alias("terms"),
     )
     return grouped.select(
         *keys, *carry,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.tokens import CLEANED, WordPath, cleaned_words, ngram_terms
 from reviewlens.operators.rows import ROW, spread_rows
-from reviewlens.session import byte_size, input_bytes, join_by_size, materialise, measure
+from reviewlens.session import COUNTED_BYTES, byte_size, input_bytes, join_by_size, materialise, measure
 
 
 def count_at_cut(table: DataFrame, count: str, k: int) -> Row | None:
@@ -43,10 +43,12 @@ def top_by_count(table: DataFrame, count: str, ties: list[str], k: int) -> DataF
     return above.unionByName(at)
 
 
-def row_tokens(docs: DataFrame, keys: list[str], text: str, carry: list[str] = [], path: WordPath = CLEANED) -> DataFrame:
+def row_tokens(
+    docs: DataFrame, keys: list[str], text: str, carry: list[str] = [], path: WordPath = CLEANED, part_bytes: int | None = None
+) -> DataFrame:
     """(keys, carry, ROW, empty, _tokens), one row per document; its text is left behind."""
     return (
-        spread_rows(docs, keys, text, carry)
+        spread_rows(docs, keys, text, carry, part_bytes)
         .withColumn("_clean", path.prepare(F.col(text)))
         .select(*keys, *carry, *ROW, (F.col("_clean") == "").alias("empty"), path.cut(F.col("_clean")).alias("_tokens"))
     )
@@ -58,7 +60,7 @@ def term_rows(
     """(keys, carry, ROW, empty, term), one row per occurrence and one more with a null term per document."""
     grams = ngram_terms(F.col("_tokens"), ngram_range)
     # Nothing but keys and flags may pass the explode: a text would be copied per word.
-    return row_tokens(docs, keys, text, carry, path).select(
+    return row_tokens(docs, keys, text, carry, path, COUNTED_BYTES).select(
         *keys, *carry, *ROW, "empty", F.explode(F.concat(grams, F.array(F.lit(None).cast("string")))).alias("term"))
 
 
@@ -85,7 +87,7 @@ def term_counts(
     work per document finds its rows already together. ROW tells documents apart that share a key.
     """
     return (
-        row_tokens(docs, keys, text, carry, path)
+        row_tokens(docs, keys, text, carry, path, COUNTED_BYTES)
         # Nothing but keys and flags may pass the explode: a text would be copied per word.
         .select(
             *keys, *carry, *ROW, "empty",

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Input that one part of a spread table holds, and how many parts a shuffle can have.
 SPREAD_BYTES = 32 * 1024 * 1024
+# The same where a part's rows are counted per document: a task then holds every known term of its documents.
+COUNTED_BYTES = 8 * 1024 * 1024
 MOST_PARTS = 100_000
 # How many tasks one hot join key is spread over when a join has to shuffle.
 SALTS = 32
@@ -65,14 +67,14 @@ def input_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 62)
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash rows by key into parts of some SPREAD_BYTES of input, spark.sql.shuffle.partitions at least.
+def spread(df: DataFrame, keys: list[str], part_bytes: int | None = None) -> DataFrame:
+    """Hash rows by key into parts of some ``part_bytes`` (SPREAD_BYTES) of input, spark.sql.shuffle.partitions at least.
 
     The number is given so that adaptive execution does not merge parts by their present
     size: the texts are exploded into many times their bytes right after.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, min(MOST_PARTS, -(-input_bytes(df) // SPREAD_BYTES))), *keys)
+    return df.repartition(max(least, min(MOST_PARTS, -(-input_bytes(df) // (part_bytes or SPREAD_BYTES)))), *keys)
 
 
 def measure(df: DataFrame) -> tuple[int, int]:

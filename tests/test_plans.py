@@ -9,6 +9,7 @@ from reviewlens.functions.tokens import CLEANED
 from reviewlens.operators import sequences, tfidf
 from reviewlens.operators.vocabulary import TermSketch, count_terms, fit_vocabulary, fit_word_index
 from reviewlens.plans import catalog
+from reviewlens.session import input_bytes
 from reviewlens.sources import reviews as R
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +109,17 @@ def test_sequences_look_words_up_without_a_row_per_word(docs):
     index = fit_word_index(docs, "doc_id", "text", 50)
     plan = sequences.text_sequences(docs, "doc_id", "text", index)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_vectors_are_sorted_without_a_comparing_function(docs):
+    vectors = tfidf.sparse_vectors(docs, ["doc_id"], "text", fit_vocabulary(docs, ["doc_id"], "text", 500, (1, 2)))
+    text = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in text and "array_sort(" not in text
+
+
+def test_texts_that_are_counted_one_by_one_lie_in_smaller_parts(docs, model, monkeypatch):
+    """A task holds every known term of its documents, so its part is smaller than one whose terms are summed."""
+    parts = lambda df: sorted(map(int, re.findall(r"Exchange hashpartitioning\(_spot#\d+L?, (\d+)\)", plan(df))))
+    monkeypatch.setattr("reviewlens.operators.vocabulary.COUNTED_BYTES", input_bytes(docs) // 60)
+    assert parts(tfidf.score(docs, ["doc_id"], "text", model))[0] >= 60
+    assert parts(count_terms(docs, "text", [(500, (1, 2))], "label", TermSketch(), CLEANED))[0] < 60
